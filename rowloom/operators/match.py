@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from rowloom.functions import values as V
 from rowloom.operators.cells import categorical_cells, cells, numeric_cells
-from rowloom.session import join_small, stage_small
+from rowloom.session import join_bounded, join_small, stage_small
 
 CONDITION_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType()), T.StructField("pos", T.IntegerType()),
@@ -98,7 +98,7 @@ def match_anchor(corpus: DataFrame, conditions: DataFrame, width: int | None = N
     width = condition_width(conditions) if width is None else width
     if width == 0:
         return corpus.select(F.lit(None).cast("string").alias("query_id"), "idx").limit(0)
-    queries, _ = stage_small(anchored(conditions, width), "anchored")
+    queries, fits = stage_small(anchored(conditions, width), "anchored")
     others = reduce(lambda a, b: a & b, [_slot_holds(i) for i in range(1, width)], F.lit(True))
 
     by_category = queries.filter(F.col("y0") == "categorical")
@@ -115,10 +115,10 @@ def match_anchor(corpus: DataFrame, conditions: DataFrame, width: int | None = N
     number_cells = numeric_cells(corpus, "nums", "cats")
     gridded = number_cells.withColumn("_grid", _grid_point(F.col("num").cast("float").cast("double")))
     parts = [
-        join_small(categorical_cells(corpus, "nums", "cats"), by_category, ["column", "str"], spread="idx",
-                   residual=others),
-        join_small(gridded, by_number, ["column", "_grid"], spread="idx", residual=first & others),
-        join_small(number_cells, by_range, ["column"], spread="idx", residual=first & others),
+        join_bounded(categorical_cells(corpus, "nums", "cats"), by_category, ["column", "str"], fits, spread="idx",
+                     residual=others),
+        join_bounded(gridded, by_number, ["column", "_grid"], fits, spread="idx", residual=first & others),
+        join_bounded(number_cells, by_range, ["column"], fits, spread="idx", residual=first & others),
     ]
     return reduce(DataFrame.unionByName, [p.select("query_id", "idx") for p in parts])
 

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from rowloom.config import BuildConfig
 from rowloom.functions.draws import seed_hash
 from rowloom.operators.rank import group_cut, up_to_cut
-from rowloom.session import join_small
+from rowloom.session import join_small, write_stage
 
 
-def with_draw(samples: DataFrame, seed: int, name: str = "draw") -> DataFrame:
+def with_draw(samples: DataFrame, seed: int, name: str = "_draw") -> DataFrame:
+    """Add the row's draw; a written table already carries it as draw_{seed}."""
+    if f"draw_{seed}" in samples.columns:
+        return samples.withColumn(name, F.col(f"draw_{seed}"))
     return samples.withColumn(name, seed_hash(seed, F.col("dataset_key"), F.col("row_id")))
 
 
@@ -47,14 +50,21 @@ def gate_min_samples(samples: DataFrame, min_samples: int = 100) -> DataFrame:
 
 def length_filter(samples: DataFrame, max_chars: int) -> DataFrame:
     """Drop rows whose text is longer than max_chars characters."""
-    return samples.filter(F.length("text") <= max_chars)
+    size = F.col("n_chars") if "n_chars" in samples.columns else F.length("text")
+    return samples.filter(size <= max_chars)
 
 
 def build_samples(samples: DataFrame, config: BuildConfig = BuildConfig(), max_samples: int | None = None) -> DataFrame:
-    """Row cap, then size gate, then length filter."""
+    """Row cap, then size gate, then length filter.
+
+    The rows are serialised once, into a written table that also keeps their length and draw. Later
+    passes (counts, ranks, the length filter itself) read a few of its columns.
+    """
     sampled = sample_per_dataset(samples, max_samples, config.random_seed)
     gated = gate_min_samples(sampled, config.min_samples)
-    return length_filter(gated, config.serializer.max_chars)
+    seed = config.random_seed
+    timed = with_draw(gated.withColumn("n_chars", F.length("text")), seed, f"draw_{seed}")
+    return length_filter(write_stage(timed, "samples"), config.serializer.max_chars)
 
 
 def class_counts(samples: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from rowloom.session import join_small, stage_small, write_stage
 
 QUERY_TYPES = ["numeric", "categorical", "mixed"]
 ATTEMPTS_PER_QUERY = 50
+FIRST_RATE = 0.4
 POOL_BLOCKS = 1024
 
 
@@ -153,7 +154,7 @@ def candidate_key() -> Column:
 def _next_range(target: int, done: int, accepted: int) -> int:
     """Attempts to add so that the rest of a quota is likely to be filled at the rate seen so far."""
     left = target - accepted
-    rate = 0.5 if done == 0 else max(accepted / done, 1 / ATTEMPTS_PER_QUERY)
+    rate = FIRST_RATE if done == 0 else max(accepted / done, 1 / ATTEMPTS_PER_QUERY)
     return min(math.ceil(left / rate * 1.2) + 5, target * ATTEMPTS_PER_QUERY - done)
 
 
@@ -183,9 +184,7 @@ def build_queries(corpus: DataFrame, config: RetrievalConfig = RetrievalConfig()
         conds = candidate_conditions(chosen, seed, config.numeric_precision)
         conds = write_stage(conds.withColumn("query_id", candidate_key()), "candidates")
         counts = match_counts(match_anchor(corpus, conds, config.max_conditions), config.min_matches)
-        counts = write_stage(counts, "accepted")
-        found = join_small(conds, counts, ["query_id"])
-        rounds.append(write_stage(found, "found"))
+        rounds.append(write_stage(join_small(conds, counts, ["query_id"]), "found"))
         per_quota = rounds[-1].filter(F.col("pos") == 1).groupBy("query_type", "num_conditions").count().collect()
         for t, n, _, last, _ in ask:
             done[t, n] = last

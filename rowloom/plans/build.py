@@ -12,8 +12,8 @@ from rowloom.config import BuildConfig
 from rowloom.operators.cells import number_corpus
 from rowloom.operators.match import match_anchor
 from rowloom.operators.samples import (
-    build_samples, class_cuts, clf_stats, keep_classifiable, keep_sampled, length_filter, mark_split, retrieval_stats,
-    sample_cuts, split_metadata,
+    build_samples, class_cuts, clf_stats, keep_classifiable, length_filter, mark_split, retrieval_stats,
+    sample_per_dataset, split_metadata,
 )
 from rowloom.operators.workload import build_queries
 from rowloom.session import stage_small, write_stage
@@ -38,25 +38,22 @@ def discovered_tables(spark: SparkSession, root: str, config: BuildConfig = Buil
     return [(spec, with_row_id(load_table(spark, spec))) for spec in specs(catalog)]
 
 
-def classification_cuts(spark: SparkSession, tables: Tables, config: BuildConfig = BuildConfig()) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """(samples, sampling cuts, class cuts): everything that decides a row's split, found in small tables."""
+def classification_cuts(spark: SparkSession, tables: Tables, config: BuildConfig = BuildConfig()) -> tuple[DataFrame, DataFrame]:
+    """(samples, class cuts).
+
+    Class cuts exist for the datasets that passed every gate, so marking rows with them also drops
+    the other datasets.
+    """
     raw = union_samples(spark, tables, config.serializer.numeric_precision)
-    cap = config.classification.max_samples_per_dataset
-    capped = stage_small(sample_cuts(raw, cap, config.random_seed), "sample_cuts")[0] if cap else None
-    samples = raw if capped is None else keep_sampled(raw, capped, config.random_seed)
-    kept = keep_classifiable(build_samples(samples, config), config)
-    cuts = class_cuts(kept, config.classification.train_ratio, config.random_seed)
-    return samples, capped, stage_small(cuts, "class_cuts")[0]
+    samples = build_samples(raw, config, config.classification.max_samples_per_dataset)
+    cuts = class_cuts(keep_classifiable(samples, config), config.classification.train_ratio, config.random_seed)
+    return samples, stage_small(cuts, "class_cuts")[0]
 
 
 def classification_set(spark: SparkSession, tables: Tables, config: BuildConfig = BuildConfig()) -> DataFrame:
-    """Samples of all classifiable datasets with their split.
-
-    Class cuts exist for the datasets that passed every gate, so marking the rows also drops the
-    other datasets.
-    """
-    samples, _, cuts = classification_cuts(spark, tables, config)
-    return mark_split(length_filter(samples, config.serializer.max_chars), cuts, config.random_seed)
+    """Samples of all classifiable datasets with their split."""
+    samples, cuts = classification_cuts(spark, tables, config)
+    return mark_split(samples, cuts, config.random_seed)
 
 
 def retrieval_corpus(spark: SparkSession, tables: Tables, config: BuildConfig = BuildConfig()) -> DataFrame:
@@ -76,19 +73,19 @@ def retrieval_set(spark: SparkSession, tables: Tables, config: BuildConfig = Bui
 
 def write_classification(spark: SparkSession, tables: Tables, root: str, config: BuildConfig = BuildConfig()) -> None:
     """Splits as JSON lines and as CSV per dataset, with metadata and totals."""
-    samples, capped, cuts = classification_cuts(spark, tables, config)
-    split = mark_split(length_filter(samples, config.serializer.max_chars), cuts, config.random_seed)
-    store.write_splits(split, root)
+    samples, cuts = classification_cuts(spark, tables, config)
+    store.write_splits(mark_split(samples, cuts, config.random_seed), root)
     written = store.load_splits(spark, root)
     about = spark.createDataFrame([(s.key, s.target, s.data_type) for s, _ in tables],
                                   "dataset_key string, target_column string, data_type string")
     store.write_jsonl(split_metadata(written).join(F.broadcast(about), "dataset_key"), f"{root}/classification_metadata")
     store.write_jsonl(clf_stats(written), f"{root}/classification_stats")
     kept = {r["dataset_key"] for r in cuts.select("dataset_key").distinct().collect()}
+    cap = config.classification.max_samples_per_dataset
     for spec, df in tables:
         if spec.key in kept:
             rows = project_samples(df, spec, 0, config.serializer.numeric_precision, with_csv=True)
-            rows = rows if capped is None else keep_sampled(rows, capped, config.random_seed)
+            rows = sample_per_dataset(rows, cap, config.random_seed)
             rows = mark_split(length_filter(rows, config.serializer.max_chars), cuts, config.random_seed)
             store.write_csv(rows, f"{root}/classification_csv/{spec.key}", ("split",))
 

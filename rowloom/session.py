@@ -76,22 +76,28 @@ def stage_small(df: DataFrame, name: str = "small", max_rows: int = BROADCAST_RO
     return staged, size["rows"] <= max_rows and size["chars"] <= max_chars
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-               spread: str | None = None, residual: Column | None = None,
-               max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a large table with one that is normally small.
+def join_bounded(big: DataFrame, small: DataFrame, on: list[str], fits: bool, how: str = "inner",
+                 spread: str | None = None, residual: Column | None = None) -> DataFrame:
+    """Join a large table with one whose size has been checked.
 
-    Within the bounds the small side is broadcast and the large one does not move. Beyond them both
-    sides are shuffled; with `spread` (a column of the large side) an inner join is salted, so that
-    one hot key is shared out over many tasks. `residual` is a further condition on the joined row.
+    If it fits, the small side is broadcast and the large one does not move. If not, both sides are
+    shuffled; with `spread` (a column of the large side) an inner join is salted, so that one hot key
+    is shared out over many tasks. `residual` is a further condition on the joined row.
     """
-    staged, fits = stage_small(small, max_rows=max_rows)
     if fits:
-        joined = big.join(F.broadcast(staged), on, how)
+        joined = big.join(F.broadcast(small), on, how)
     elif spread is None or how != "inner":
-        joined = big.join(staged, on, how)
+        joined = big.join(small, on, how)
     else:
         salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        copies = staged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(copies, [*on, "_salt"], how).drop("_salt")
     return joined if residual is None else joined.filter(residual)
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+               spread: str | None = None, residual: Column | None = None,
+               max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write the small side once, check its size, and join."""
+    staged, fits = stage_small(small, max_rows=max_rows)
+    return join_bounded(big, staged, on, fits, how, spread, residual)

@@ -56,8 +56,8 @@ def dataset_folders(files: DataFrame, benchmarks: list[str] | None = None) -> Da
 def discover_datasets(spark: SparkSession, root: str, benchmarks: list[str] | None = None) -> DataFrame:
     """Catalog: one row per dataset folder with a CSV table, a YAML file, a feature list and a target.
 
-    The first CSV by name counts; it may also be a folder of part files. The YAML file of the same
-    name is preferred, else the first one.
+    The first CSV by name counts. The YAML file of the same name is preferred, else the first one.
+    Each of the three may also be a folder of part files, as Spark writes them.
     """
     files = dataset_folders(list_files(spark, root), benchmarks)
     about = ["folder", "benchmark", "sub_benchmark", "owner", "task_type", "data_type"]
@@ -65,25 +65,26 @@ def discover_datasets(spark: SparkSession, root: str, benchmarks: list[str] | No
     csv = files.withColumn("name", table).filter(F.col("name") != "") \
         .withColumn("csv_path", F.regexp_replace("path", r"(\.csv)/part-[^/]*$", "$1")) \
         .groupBy(*about).agg(F.min_by("name", "file").alias("name"), F.min_by("csv_path", "file").alias("csv_path"))
-    yaml = files.filter(F.col("file").rlike(r"^[^/]+\.yaml$")).select(
-        F.col("folder"), F.col("path").alias("yaml_path"), F.regexp_extract("file", r"^(.*)\.yaml$", 1).alias("stem"))
+    stem = F.regexp_extract("file", r"^([^/]+)\.yaml(/part-[^/]*)?$", 1)
+    yaml = files.withColumn("stem", stem).filter(F.col("stem") != "").select(
+        "folder", F.col("path").alias("yaml_path"), "stem")
     yaml = csv.join(yaml, "folder").groupBy("folder").agg(
         F.coalesce(F.min(F.when(F.col("stem") == F.col("name"), F.col("yaml_path"))), F.min("yaml_path")).alias("yaml_path"))
-    listed = files.filter(F.col("file") == FEATURE_FILE).select("folder", F.col("path").alias("feature_path"))
     targets = resolve_targets(features_scan(spark, root))
-    return csv.join(yaml, "folder").join(listed, "folder").join(targets, "folder") \
+    return csv.join(yaml, "folder").join(targets, "folder") \
         .withColumn("dataset_key", V.dataset_key(F.col("benchmark"), F.col("sub_benchmark"),
                                                  F.concat_ws("/", F.nullif("owner", F.lit("")), "name")))
 
 
 def features_scan(spark: SparkSession, root: str) -> DataFrame:
     """(folder, pos, name, kind, is_target) of all feature lists; a list with a broken line is left out."""
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", FEATURE_FILE) \
-        .option("wholetext", True).text(root)
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{FEATURE_FILE},part-*.txt}}") \
+        .text(root, wholetext=True)
     rel = _relative(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), root)
     lines = texts.select(
-        F.regexp_replace(rel, f"/{re.escape(FEATURE_FILE)}$", "").alias("folder"),
-        F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("pos", "line")).filter(F.trim("line") != "")
+        F.regexp_extract(rel, rf"^(.*)/{re.escape(FEATURE_FILE)}(/part-[^/]*)?$", 1).alias("folder"),
+        F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("pos", "line"))
+    lines = lines.filter((F.col("folder") != "") & (F.trim("line") != ""))
     parsed = lines.withColumn("f", F.from_json("line", FEATURE_SCHEMA, {"columnNameOfCorruptRecord": "_bad"}))
     broken = parsed.filter(F.col("f._bad").isNotNull()).select("folder").distinct()
     return parsed.join(broken, "folder", "left_anti").select(

@@ -6,6 +6,7 @@ to the canonical sample: text, label, identity, and two maps with the numeric an
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -59,10 +60,19 @@ class DatasetSpec:
         }
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Does a quoted cell of the CSV contain a line break? True if some line has an unpaired quote."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with missing-cell texts as null and column types inferred from all remaining cells."""
-    raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", False) \
-        .option("escape", '"').csv(path)
+    """CSV with missing-cell texts as null and column types inferred from all remaining cells.
+
+    A file is read whole by one task only if its records span lines; otherwise it is split.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).option("escape", '"') \
+        .option("multiLine", spans_lines(spark, path)).csv(path)
     raw = raw.select(*[V.without_na_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     return cast_inferred(raw)
 
@@ -209,3 +219,16 @@ def union_samples(spark: SparkSession, tables: Sequence[tuple[DatasetSpec, DataF
     if not parts:
         return spark.createDataFrame([], SAMPLE_SCHEMA)
     return reduce(DataFrame.unionByName, parts)
+
+
+def write_dataset(df: DataFrame, spec: DatasetSpec, folder: str) -> None:
+    """Lay out a table as a dataset folder: CSV, YAML and feature list, each written by Spark."""
+    spark = df.sparkSession
+    names = [*spec.feature_columns(df), spec.target]
+    df.select(*names).write.option("header", True).option("escape", '"').option("emptyValue", "") \
+        .mode("overwrite").csv(f"{folder}/{spec.name}.csv")
+    lines = [json.dumps({"name": c, "kind": spec.kinds.get(c, "category"), "is_target": c == spec.target}) for c in names]
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{folder}/feature_list.jsonl")
+    spark.createDataFrame([(f"name: {spec.name}",)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{folder}/{spec.name}.yaml")

@@ -57,7 +57,7 @@ def raw_samples(specs=SPECS, target=None, source=None) -> str:
     return " UNION ALL ".join(parts)
 
 
-DRAW = "md5(concat_ws('|', '42', dataset_key, row_id))"
+DRAW = "substr(md5(concat_ws('|', '42', dataset_key, row_id)), 1, 16)"
 RAW = f"raw AS ({raw_samples()})"
 # Gate on rows before the length filter.
 BUILT = (f"{RAW}, drawn AS (SELECT *, {DRAW} AS draw, count(*) OVER (PARTITION BY dataset_key) AS n_all FROM raw), "

@@ -12,10 +12,10 @@ from rowloom.session import join_small, write_stage
 
 
 def with_draw(samples: DataFrame, seed: int, name: str = "_draw") -> DataFrame:
-    """Add the row's draw; a written table already carries it as draw_{seed}."""
+    """Add the row's draw, 64 random bits as hex digits; a written table already carries it as draw_{seed}."""
     if f"draw_{seed}" in samples.columns:
         return samples.withColumn(name, F.col(f"draw_{seed}"))
-    return samples.withColumn(name, seed_hash(seed, F.col("dataset_key"), F.col("row_id")))
+    return samples.withColumn(name, F.substring(seed_hash(seed, F.col("dataset_key"), F.col("row_id")), 1, 16))
 
 
 def sample_cuts(samples: DataFrame, max_samples: int, seed: int = 42) -> DataFrame:

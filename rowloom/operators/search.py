@@ -19,18 +19,26 @@ from rowloom.functions.vectors import cluster_counts
 from rowloom.session import join_small
 
 BLOCK_BYTES = 128 * 2**20
-MIN_BLOCK_ROWS = 256
+MIN_BLOCK_ROWS = 128
 SCORE_CELLS = 4_000_000
 TRAIN_ROWS_PER_CLUSTER = 256
 SCORE_DECIMALS = 10
 _CELL = ["_cluster", "_part", "_qblock"]
 
 
-def _rows_per_block(dim: int, rows: int, parallelism: int) -> int:
-    """Rows of one block: bounded by bytes, and small enough to occupy all cores."""
-    by_bytes = max(1, BLOCK_BYTES // (4 * max(dim, 1)))
-    by_cores = max(MIN_BLOCK_ROWS, -(-rows // max(parallelism, 1)))
-    return max(1, min(by_bytes, by_cores))
+def _rows_per_block(dim: int) -> int:
+    return max(1, BLOCK_BYTES // (4 * max(dim, 1)))
+
+
+def _query_blocks(n_queries: int, dim: int, parts: int, cores: int) -> int:
+    """Blocks of queries: bounded by bytes, and enough to occupy all cores when the corpus has few blocks.
+
+    Cutting the queries finer costs nothing but copies of a small corpus; cutting the corpus finer
+    would multiply the candidates to merge.
+    """
+    by_bytes = -(-n_queries // _rows_per_block(dim))
+    by_cores = min(-(-cores // max(parts, 1)), -(-n_queries // MIN_BLOCK_ROWS))
+    return max(1, by_bytes, by_cores)
 
 
 def _shape(df: DataFrame) -> tuple[int, int]:
@@ -94,8 +102,8 @@ def topk_flat(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     n_corpus, dim = _shape(corpus)
     n_queries, _ = _shape(queries)
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, -(-n_corpus // _rows_per_block(dim, n_corpus, cores)))
-    qblocks = max(1, -(-n_queries * dim * 4 // BLOCK_BYTES))
+    parts = max(1, -(-n_corpus // _rows_per_block(dim)))
+    qblocks = _query_blocks(n_queries, dim, parts, cores)
     c = corpus.select("idx", "embedding").withColumn("_cluster", F.lit(0)) \
         .withColumn("_part", _block_of("idx", F.lit(parts))) \
         .withColumn("_qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
@@ -143,8 +151,8 @@ def topk_ivf(queries: DataFrame, corpus: DataFrame, k: int, nlist: int | None =
     nprobe = min(nprobe or (auto_nprobe if nlist == auto_nlist else nlist), nlist)
     centroids = train_centroids(corpus, nlist, n_corpus, seed)
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    rows = _rows_per_block(dim, n_corpus, cores)
-    qblocks = max(1, -(-n_queries * dim * 4 // BLOCK_BYTES))
+    rows = _rows_per_block(dim)
+    qblocks = _query_blocks(n_queries, dim, nlist, cores)
     assigned = nearest_centroids(corpus, "idx", centroids, 1)
     sizes = assigned.groupBy("_cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_parts"))
     c = join_small(assigned, sizes, ["_cluster"]).withColumn("_part", _block_of("idx", F.col("_parts"))) \

@@ -23,7 +23,7 @@ from rowloom.session import join_small, stage_small, write_stage
 
 QUERY_TYPES = ["numeric", "categorical", "mixed"]
 ATTEMPTS_PER_QUERY = 50
-FIRST_RATE = 0.4
+FIRST_RATE = 0.25
 POOL_BLOCKS = 1024
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 BROADCAST_CHARS = 128_000_000
 SALTS = 64
+STAGE_ROW_GROUP = 16 * 2**20
 
 
 def get_spark(app_name: str = "rowloom", master: str | None = None, **settings: str) -> SparkSession:
@@ -55,10 +56,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def write_stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors, and keeps column pruning for the readers.
+    Cuts the lineage, survives lost executors, and keeps column pruning for the readers. Small row
+    groups let readers split what one task wrote.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("parquet.block.size", STAGE_ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

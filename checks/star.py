@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.sources.tables import DatasetSpec, with_row_id
+from rowloom.sources.tables import DatasetSpec, spread, with_row_id
 
 LINEITEM_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -47,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def star_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = None) -> list[tuple[DatasetSpec, DataFrame]]:
     """(description, identified rows) of the test datasets, in catalog order."""
-    return [(spec, with_row_id(table(spark, sf_dir, name), spec.id_columns))
+    return [(spec, with_row_id(spread(table(spark, sf_dir, name)), spec.id_columns))
             for name, spec in SPECS.items() if names is None or name in names]
 
 

@@ -60,6 +60,12 @@ class DatasetSpec:
         }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share a scan of few input splits out over the idle cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def spans_lines(spark: SparkSession, path: str) -> bool:
     """Does a quoted cell of the CSV contain a line break? True if some line has an unpaired quote."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
@@ -153,7 +159,7 @@ def promote_integers(df: DataFrame) -> DataFrame:
 
 def load_table(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     """Typed rows of a discovered dataset."""
-    return promote_integers(scan_csv(spark, spec.csv_path))
+    return promote_integers(spread(scan_csv(spark, spec.csv_path)))
 
 
 def project_samples(df: DataFrame, spec: DatasetSpec, position: int = 0, precision: int = 2,

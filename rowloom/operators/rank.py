@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 from rowloom.session import join_small
 
 BUCKET_DIGITS = 3
+BUCKET_ROWS = 1_000_000
+
+
+def digits_for(rows: int) -> int:
+    """Leading digits that keep the buckets of even one group of this size within BUCKET_ROWS."""
+    digits = BUCKET_DIGITS
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
 
 
 def _with_bucket(df: DataFrame, digest: str, digits: int) -> DataFrame:
@@ -61,12 +70,13 @@ def up_to_cut(digest: str, row_id: str) -> Column:
     )
 
 
-def dense_position(df: DataFrame, group: str, digest: str, row_id: str, digits: int = BUCKET_DIGITS) -> DataFrame:
+def dense_position(df: DataFrame, group: str, digest: str, row_id: str) -> DataFrame:
     """Add `idx`: 0-based position in the order (group, digest, row_id), without a global window.
 
     Offsets come from two small prefix sums (groups, then buckets inside a group); the rows are
     shuffled once, by (group, bucket).
     """
+    digits = digits_for(df.count())
     profile = bucket_profile(df, [group], digest, digits)
     totals = profile.groupBy(group).agg(F.max("_total").alias("_total"))
     running = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)

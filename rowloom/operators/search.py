@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.draws import draw_unit, seed_hash
 from rowloom.functions.vectors import cluster_counts
-from rowloom.session import join_small
+from rowloom.session import join_small, write_stage
 
 BLOCK_BYTES = 128 * 2**20
 MIN_BLOCK_ROWS = 128
@@ -153,7 +153,7 @@ def topk_ivf(queries: DataFrame, corpus: DataFrame, k: int, nlist: int | None =
     cores = queries.sparkSession.sparkContext.defaultParallelism
     rows = _rows_per_block(dim)
     qblocks = _query_blocks(n_queries, dim, nlist, cores)
-    assigned = nearest_centroids(corpus, "idx", centroids, 1)
+    assigned = write_stage(nearest_centroids(corpus, "idx", centroids, 1), "assigned")
     sizes = assigned.groupBy("_cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_parts"))
     c = join_small(assigned, sizes, ["_cluster"]).withColumn("_part", _block_of("idx", F.col("_parts"))) \
         .withColumn("_qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)))).drop("_parts")

@@ -60,10 +60,12 @@ def match_division(corpus: DataFrame, conditions: DataFrame) -> DataFrame:
 def anchored(conditions: DataFrame, width: int) -> DataFrame:
     """One row per query with its conditions side by side (f0, y0, o0, n0, s0, f1, ...).
 
-    The anchor comes first: a category equality before a numeric equality before a range.
+    The anchor comes first: the equality with the fewest matching rows (`n_rows`) if they were counted,
+    else a category equality before a numeric equality before a range.
     """
     preference = F.when(F.col("type") == "categorical", 0).when(F.col("operator") == "==", 1).otherwise(2)
-    order = Window.partitionBy("query_id").orderBy(preference, "pos")
+    known = [F.col("n_rows").asc_nulls_last()] if "n_rows" in conditions.columns else []
+    order = Window.partitionBy("query_id").orderBy(*known, preference, "pos")
     ranked = usable_conditions(conditions).withColumn("_slot", F.row_number().over(order) - 1)
     slots = []
     for i in range(width):
@@ -123,6 +125,22 @@ def match_anchor(corpus: DataFrame, conditions: DataFrame, width: int | None = N
     return reduce(DataFrame.unionByName, [p.select("query_id", "idx") for p in parts])
 
 
+def with_row_counts(corpus: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Add `n_rows`, the number of corpus rows each equality matches; it is null for ranges.
+
+    Every distinct equality is counted once, by hash lookups. The counts pick the anchors: a category that
+    a third of the rows share is not joined on when another equality of the query is rarer.
+    """
+    equal = (F.col("type") == "categorical") | (F.col("operator") == "==")
+    parts = ["type", "field", "operator", "num", "str"]
+    key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts]))
+    keyed = conditions.withColumn("_key", F.when(equal, key))
+    single = keyed.filter(equal).dropDuplicates(["_key"]).select(F.col("_key").alias("query_id"), F.lit(1).alias("pos"), *parts)
+    counts = match_anchor(corpus, single, 1).groupBy(F.col("query_id").alias("_key")).agg(F.count(F.lit(1)).alias("n_rows"))
+    counted = join_small(keyed, counts, ["_key"], "left").drop("_key")
+    return counted.withColumn("n_rows", F.when(equal, F.coalesce("n_rows", F.lit(0).cast("bigint"))))
+
+
 def match_counts(matches: DataFrame, min_matches: int = 5) -> DataFrame:
     """(query_id, num_matches) of the queries with enough matching rows."""
     counts = matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_matches"))

@@ -18,12 +18,13 @@ from rowloom.config import RetrievalConfig
 from rowloom.functions import values as V
 from rowloom.functions.draws import draw_below, draw_int, draw_unit, seed_hash
 from rowloom.operators.cells import pool_tables
-from rowloom.operators.match import match_anchor, match_counts
+from rowloom.operators.match import CONDITION_SCHEMA, match_anchor, match_counts, with_row_counts
 from rowloom.session import join_small, stage_small, write_stage
 
 QUERY_TYPES = ["numeric", "categorical", "mixed"]
 ATTEMPTS_PER_QUERY = 50
-FIRST_RATE = 0.25
+FIRST_RATE = 0.4
+SPARE_ATTEMPTS = 50
 POOL_BLOCKS = 1024
 
 
@@ -155,7 +156,7 @@ def _next_range(target: int, done: int, accepted: int) -> int:
     """Attempts to add so that the rest of a quota is likely to be filled at the rate seen so far."""
     left = target - accepted
     rate = FIRST_RATE if done == 0 else max(accepted / done, 1 / ATTEMPTS_PER_QUERY)
-    return min(math.ceil(left / rate * 1.2) + 5, target * ATTEMPTS_PER_QUERY - done)
+    return min(math.ceil(left / rate * 1.2) + SPARE_ATTEMPTS, target * ATTEMPTS_PER_QUERY - done)
 
 
 def build_queries(corpus: DataFrame, config: RetrievalConfig = RetrievalConfig(), seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -183,11 +184,13 @@ def build_queries(corpus: DataFrame, config: RetrievalConfig = RetrievalConfig()
         chosen = chosen_cells(seed_rows(tried, blocks, corpus), seed)
         conds = candidate_conditions(chosen, seed, config.numeric_precision)
         conds = write_stage(conds.withColumn("query_id", candidate_key()), "candidates")
-        counts = match_counts(match_anchor(corpus, conds, config.max_conditions), config.min_matches)
-        rounds.append(write_stage(join_small(conds, counts, ["query_id"]), "found"))
-        per_quota = rounds[-1].filter(F.col("pos") == 1).groupBy("query_type", "num_conditions").count().collect()
         for t, n, _, last, _ in ask:
             done[t, n] = last
+        if conds.isEmpty():
+            continue
+        conds = write_stage(with_row_counts(corpus, conds), "counted")
+        rounds.append(write_stage(accepted_conditions(corpus, conds, config), "found"))
+        per_quota = rounds[-1].filter(F.col("pos") == 1).groupBy("query_type", "num_conditions").count().collect()
         for r in per_quota:
             accepted[r["query_type"], r["num_conditions"]] += r["count"]
     if not rounds:
@@ -195,6 +198,22 @@ def build_queries(corpus: DataFrame, config: RetrievalConfig = RetrievalConfig()
     return number_queries(reduce(DataFrame.unionByName, rounds), quotas, config.numeric_precision)
 
 
+def accepted_conditions(corpus: DataFrame, conds: DataFrame, config: RetrievalConfig) -> DataFrame:
+    """Conditions of the candidates that match enough rows, with `num_matches`.
+
+    A single equality is already counted, and a candidate is out if one of its equalities alone is too
+    rare; only the rest is matched as a whole.
+    """
+    rarest = F.min("n_rows").over(Window.partitionBy("query_id"))
+    viable = conds.withColumn("_rarest", rarest).filter(
+        F.coalesce(F.col("_rarest") >= config.min_matches, F.lit(True))).drop("_rarest")
+    counted = (F.col("num_conditions") == 1) & F.col("n_rows").isNotNull()
+    single = viable.filter(counted).withColumn("num_matches", F.col("n_rows"))
+    others = viable.filter(~counted)
+    counts = match_counts(match_anchor(corpus, others, config.max_conditions), config.min_matches)
+    return single.unionByName(join_small(others, counts, ["query_id"]))
+
+
 def number_queries(found: DataFrame, quotas: dict[tuple[str, int], int], precision: int = 2) -> tuple[DataFrame, DataFrame]:
     """Keep the first `target` accepted attempts of each quota, number them per type and write them out."""
     spark = found.sparkSession
@@ -216,13 +235,11 @@ def number_queries(found: DataFrame, quotas: dict[tuple[str, int], int], precisi
         V.query_text(texts).alias("query_text"))
     return (
         queries.select(F.lit("retrieval").alias("task"), "query_id", "query_text", "query_type", "num_conditions", "num_matches"),
-        conds.select("query_id", "pos", "field", "type", "operator", "num", "str"),
+        conds.select("query_id", "pos", "field", "type", "operator", "num", "str", "n_rows"),
     )
 
 
 def _empty_queries(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    from rowloom.operators.match import CONDITION_SCHEMA
-
     queries = spark.createDataFrame(
         [], "task string, query_id string, query_text string, query_type string, num_conditions int, num_matches bigint")
     return queries, spark.createDataFrame([], CONDITION_SCHEMA)

@@ -74,6 +74,21 @@ def test_both_forms_match_brute_force(spark, corpus, monkeypatch, bound):
     assert not any(q in ("f", "g") for q, _ in want)
 
 
+def test_counted_conditions_choose_the_anchor(spark, corpus):
+    rows, df = corpus
+    conds = match.with_row_counts(df, spark.createDataFrame(CONDS, match.CONDITION_SCHEMA))
+    rarest = {}
+    for r in conds.collect():
+        cond = (r["query_id"], r["pos"], r["field"], r["type"], r["operator"], r["num"], r["str"])
+        equal = r["type"] == "categorical" or r["operator"] == "=="
+        assert r["n_rows"] == (sum(holds(row, cond) for row in rows) if equal else None)
+        if equal:
+            rarest[r["query_id"]] = min(rarest.get(r["query_id"], (10**9, "")), (r["n_rows"], r["field"]))
+    first = {r["query_id"]: r["f0"] for r in match.anchored(conds, 3).collect()}
+    assert {q: first[q] for q in "cd"} == {q: rarest[q][1] for q in "cd"}
+    assert {tuple(r) for r in match.match_anchor(df, conds).collect()} == brute(rows, CONDS)
+
+
 def test_cells_and_pools(spark, corpus):
     rows, df = corpus
     made = cells.cells(df).collect()

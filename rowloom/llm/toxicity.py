@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from rowloom.llm.frames import id_bucket, map_batches
 
 TRAIN_ROWS = 40_000      # bound on the labelled rows that are learned from (expected size of a sample by id digest)
-MAX_ENTRIES = 5_000      # bound on the learned lexicon
+MAX_ENTRIES = 200        # bound on the learned lexicon, most frequent entries first
 MIN_SUPPORT = 3          # toxic documents an entry must occur in, and
-SUPPORT_SHARE = 0.005    # share of the toxic documents, whichever is more
-MIN_WEIGHT = 3.0
+SUPPORT_SHARE = 0.02     # share of the toxic documents, whichever is more
+MIN_WEIGHT = 3.5
+MOST_CLEAN = 0.02        # clean documents with an entry, as a share of the toxic ones with it
 STEMS = (4, 5, 6)        # lengths of word beginnings
 THRESHOLD = 0.7
 SCALE = 1.8
@@ -144,7 +145,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     toxic, clean = size.get(True, 0), size.get(False, 0)
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     best = (lexicon_counts(labelled).filter(F.col("toxic") >= max(MIN_SUPPORT, SUPPORT_SHARE * toxic))
-            .withColumn("weight", weight).filter(F.col("weight") >= MIN_WEIGHT)
+            .withColumn("weight", weight).filter((F.col("weight") >= MIN_WEIGHT) & (F.col("clean") <= MOST_CLEAN * F.col("toxic")))
             .orderBy(F.desc("toxic"), F.desc("weight"), "entry", "whole").limit(MAX_ENTRIES).collect())
     return ({r["entry"]: r["weight"] for r in best if r["whole"]}, {r["entry"]: r["weight"] for r in best if not r["whole"]})
 

@@ -42,11 +42,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     queries = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    return search.search_top_k(docs, queries, TOP_K)
+    return search.search_top_k(docs, queries, TOP_K).withColumn("score", F.round("score", 6))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

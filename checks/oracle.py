@@ -42,7 +42,7 @@ def sentence(columns) -> str:
 def row_id(spec) -> str:
     if len(spec.id_columns) == 1:
         return f"{spec.id_columns[0]}::varchar"
-    return "md5(concat_ws('|', " + ", ".join(f"coalesce({c}::varchar, '')" for c in LINEITEM_COLUMNS) + "))"
+    return "md5(to_json({" + ", ".join(f"c{i}: {c}::varchar" for i, c in enumerate(LINEITEM_COLUMNS)) + "})::varchar)"
 
 
 def raw_samples(specs=SPECS, target=None, source=None) -> str:
@@ -136,8 +136,8 @@ def draw(*purpose: str) -> str:
     return "md5(concat_ws('|', '42', query_type, num_conditions, attempt, " + ", ".join(purpose) + "))"
 
 
-def integer(digest: str) -> str:
-    return f"('0x' || substr({digest}, 1, 8))::bigint"
+def integer(digest: str, digits: int = 8) -> str:
+    return f"('0x' || substr({digest}, 1, {digits}))::bigint"
 
 
 def attempts(times: int) -> str:
@@ -155,7 +155,7 @@ def attempts(times: int) -> str:
         "pool_size AS (SELECT DISTINCT query_type, pool_rows FROM pool), "
         f"quota(query_type, num_conditions, target) AS (VALUES {quotas}), "
         f"att AS (SELECT query_type, num_conditions, target, unnest(range(1, {times} * target + 1)) AS attempt FROM quota), "
-        f"tried AS MATERIALIZED (SELECT query_type, num_conditions, target, attempt, ({integer(draw(chr(39) + 'seed' + chr(39)))} % pool_rows)::bigint AS pool_no, "
+        f"tried AS MATERIALIZED (SELECT query_type, num_conditions, target, attempt, ({integer(draw(chr(39) + 'seed' + chr(39)), 15)} % pool_rows)::bigint AS pool_no, "
         f"CASE query_type WHEN 'numeric' THEN num_conditions WHEN 'categorical' THEN 0 ELSE 1 + {integer(draw(chr(39) + 'mix' + chr(39)))} % greatest(num_conditions - 1, 1) END AS n_numeric "
         "FROM att JOIN pool_size USING (query_type)), "
         "seeded AS MATERIALIZED (SELECT t.*, num_conditions - n_numeric AS n_categorical, (first_idx + pool_no - pool_start)::bigint AS idx "

@@ -46,7 +46,6 @@ class BuildConfig:
 @dataclass(frozen=True)
 class EvalConfig:
     tasks: tuple[str, ...] = ("classification", "retrieval")
-    max_seq_length: int = 512
     batch_size: int = 64
     retrieval_index_type: str = "flat"
     retrieval_top_k: tuple[int, ...] = (1, 5, 10, 20, 50, 100)

@@ -28,10 +28,5 @@ def draw_unit(digest: Column) -> Column:
 
 
 def draw_below(digest: Column, bound: Column) -> Column:
-    """Uniform integer in [0, bound).
-
-    Bounds past 2^32 (a pool of more than four billion rows) take fifteen hex digits, so that every
-    row stays reachable.
-    """
-    wide = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
-    return F.when(bound <= F.lit(DRAW_RANGE), draw_int(digest) % bound).otherwise(wide % bound)
+    """Uniform integer in [0, bound), from fifteen hex digits whatever the bound is."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % bound

@@ -37,7 +37,12 @@ def ideal_gain(relevant: Column, k: Column) -> Column:
 def cluster_counts(n_rows: int) -> tuple[int, int]:
     """(nlist, nprobe) for a clustered search over n_rows vectors."""
     nlist = max(min(math.isqrt(n_rows), 4096), 1)
-    return nlist, min(max(8, min(nlist // 5, 128)), nlist)
+    return nlist, probe_count(nlist)
+
+
+def probe_count(nlist: int) -> int:
+    """Clusters a query is sent to."""
+    return min(max(8, min(nlist // 5, 128)), nlist)
 
 
 def nlist_of(n_rows: Column) -> Column:

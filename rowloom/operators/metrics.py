@@ -18,15 +18,18 @@ def hits_rel(hits: DataFrame, qrels: DataFrame) -> DataFrame:
     """Hits with `rel`, 1 when the row is relevant.
 
     The judgements may be far larger than the hits, so they are reduced to the retrieved pairs first.
+    A judgement that is given twice counts once.
     """
     pairs = hits.select("query_id", "idx")
     found = join_small(qrels.select("query_id", "idx"), pairs, ["query_id", "idx"], "left_semi")
-    found = found.withColumn("rel", F.lit(1))
+    found = found.dropDuplicates(["query_id", "idx"]).withColumn("rel", F.lit(1))
     return join_small(hits, found, ["query_id", "idx"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
 def judged_counts(qrels: DataFrame) -> DataFrame:
-    return qrels.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_matches"))
+    """(query_id, num_matches): distinct relevant rows of each query."""
+    distinct = qrels.select("query_id", "idx").distinct()
+    return distinct.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_matches"))
 
 
 def per_query_metrics(judged: DataFrame, queries: DataFrame, top_k: Sequence[int] = TOP_K) -> DataFrame:
@@ -95,7 +98,6 @@ def metric_cube(per_query: DataFrame) -> DataFrame:
 
 def compute_retrieval_metrics(queries: DataFrame, hits: DataFrame, qrels: DataFrame,
                               top_k: Sequence[int] = TOP_K) -> DataFrame:
-    """Metric table of a search result. Queries without num_matches get it from the judgements."""
-    if "num_matches" not in queries.columns:
-        queries = queries.join(judged_counts(qrels), "query_id", "left")
+    """Metric table of a search result. The number of relevant rows is counted from the judgements, whatever the queries say."""
+    queries = queries.drop("num_matches").join(judged_counts(qrels), "query_id", "left")
     return metric_cube(per_query_metrics(hits_rel(hits, qrels), queries, top_k))

@@ -14,15 +14,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.functions.draws import draw_unit, seed_hash
-from rowloom.functions.vectors import cluster_counts
+from rowloom.functions.vectors import cluster_counts, probe_count
 from rowloom.session import join_small, write_stage
 
 BLOCK_BYTES = 128 * 2**20
 MIN_BLOCK_ROWS = 128
 SCORE_CELLS = 4_000_000
-TRAIN_ROWS_PER_CLUSTER = 256
 SCORE_DECIMALS = 10
+INDEX_TYPES = ("flat", "ivf")
 _CELL = ["_cluster", "_part", "_qblock"]
 
 
@@ -113,11 +112,9 @@ def topk_flat(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return _search_cells(q, c, k, max(parts * qblocks, 1))
 
 
-def train_centroids(corpus: DataFrame, nlist: int, n_rows: int, seed: int = 42, max_iter: int = 20) -> np.ndarray:
-    """Unit-norm coarse centroids (at most 4096) from k-means on a bounded random training set."""
-    share = min(1.0, nlist * TRAIN_ROWS_PER_CLUSTER / max(n_rows, 1))
-    train = corpus if share == 1.0 else corpus.filter(draw_unit(seed_hash(seed, F.col("idx"))) < share)
-    vectors = train.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+def train_centroids(corpus: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20) -> np.ndarray:
+    """Unit-norm coarse centroids (at most 4096) from k-means on all rows."""
+    vectors = corpus.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=nlist, distanceMeasure="cosine", seed=seed, maxIter=max_iter).fit(vectors)
     centers = np.array(model.clusterCenters())
     norms = np.linalg.norm(centers, axis=1, keepdims=True)
@@ -146,10 +143,9 @@ def topk_ivf(queries: DataFrame, corpus: DataFrame, k: int, nlist: int | None =
     """Top-k among the rows of each query's nprobe nearest clusters."""
     n_corpus, dim = _shape(corpus)
     n_queries, _ = _shape(queries)
-    auto_nlist, auto_nprobe = cluster_counts(n_corpus)
-    nlist = nlist or auto_nlist
-    nprobe = min(nprobe or (auto_nprobe if nlist == auto_nlist else nlist), nlist)
-    centroids = train_centroids(corpus, nlist, n_corpus, seed)
+    nlist = nlist or cluster_counts(n_corpus)[0]
+    nprobe = min(nprobe or probe_count(nlist), nlist)
+    centroids = train_centroids(corpus, nlist, seed)
     cores = queries.sparkSession.sparkContext.defaultParallelism
     rows = _rows_per_block(dim)
     qblocks = _query_blocks(n_queries, dim, nlist, cores)
@@ -169,4 +165,4 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, index_type: str = "fla
         return topk_flat(queries, corpus, k)
     if index_type == "ivf":
         return topk_ivf(queries, corpus, k)
-    raise ValueError(f"Unsupported index type: {index_type}")
+    raise ValueError(f"index_type must be one of {', '.join(INDEX_TYPES)}, not {index_type!r}")

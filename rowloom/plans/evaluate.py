@@ -12,7 +12,7 @@ from rowloom.config import EvalConfig
 from rowloom.operators import classify
 from rowloom.operators.encode import Encoder, encode_text
 from rowloom.operators.metrics import compute_retrieval_metrics
-from rowloom.operators.search import search
+from rowloom.operators.search import INDEX_TYPES, search
 from rowloom.session import write_stage
 from rowloom.sources import store
 
@@ -57,11 +57,13 @@ def evaluate_search(queries: DataFrame, query_vectors: DataFrame, corpus_vectors
 def evaluate(spark: SparkSession, benchmark_root: str, output_root: str, model: str, config: EvalConfig = EvalConfig(),
              encoder_factory: Callable[[], Encoder] | None = None) -> dict[str, DataFrame]:
     """Load both sets, score them, and write the result tables under the model's name and the time."""
-    if config.retrieval_index_type not in ("flat", "ivf"):
-        raise ValueError(f"Unsupported index type: {config.retrieval_index_type}")
+    if config.retrieval_index_type not in INDEX_TYPES:
+        raise ValueError(f"retrieval_index_type must be one of {', '.join(INDEX_TYPES)}, not {config.retrieval_index_type!r}")
     results: dict[str, DataFrame] = {}
     if "classification" in config.tasks:
         rows = store.load_splits(spark, benchmark_root, config.benchmarks, config.datasets)
+        if rows.isEmpty():  # the plain layout of published sets
+            rows = store.load_split_files(spark, benchmark_root, config.benchmarks, config.datasets)
         if not rows.isEmpty():
             scores, summary = evaluate_classification(rows, config, encoder_factory)
             results |= {"classification_datasets": scores, "classification_summary": summary}

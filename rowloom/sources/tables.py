@@ -145,8 +145,8 @@ def with_row_id(df: DataFrame, id_columns: Sequence[str] = ()) -> DataFrame:
 
 
 def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
-    """MD5 over the texts of the columns; a missing cell counts as an empty text."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]))
+    """MD5 over the cells in JSON form, which tells missing from empty and keeps neighbouring cells apart."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}))
 
 
 def promote_integers(df: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def promote_integers(df: DataFrame) -> DataFrame:
 
 def load_table(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     """Typed rows of a discovered dataset."""
-    return promote_integers(spread(scan_csv(spark, spec.csv_path)))
+    return promote_integers(scan_csv(spark, spec.csv_path))
 
 
 def project_samples(df: DataFrame, spec: DatasetSpec, position: int = 0, precision: int = 2,
@@ -232,7 +232,7 @@ def write_dataset(df: DataFrame, spec: DatasetSpec, folder: str) -> None:
     spark = df.sparkSession
     names = [*spec.feature_columns(df), spec.target]
     df.select(*names).write.option("header", True).option("escape", '"').option("emptyValue", "") \
-        .mode("overwrite").csv(f"{folder}/{spec.name}.csv")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(f"{folder}/{spec.name}.csv")
     lines = [json.dumps({"name": c, "kind": spec.kinds.get(c, "category"), "is_target": c == spec.target}) for c in names]
     spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{folder}/feature_list.jsonl")

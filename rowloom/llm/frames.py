@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from rowloom.session import join_bounded, stage_small
 
 WORD_BYTES = r"[^\x20\x09-\x0D]+"
+HOT_ROWS = 1_000         # a key with no more rows is never hot
+HOT_KEYS = 10_000        # no more keys than these are hot, whatever the input is
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +47,19 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> tup
     keyed = docs.withColumn("_listed", F.col(column))
     return (join_bounded(keyed, listed, ["_listed"], fits, "left_semi").drop("_listed"),
             join_bounded(keyed, listed, ["_listed"], fits, "left_anti").drop("_listed"))
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """Inner join with a written table whose keys are unique and whose column `rows` says how many rows of `big` have the key.
+
+    A key with more than a HOT_KEYS-th of all counted rows is hot. There can be no more than HOT_KEYS of these, so they are
+    broadcast and their rows stay where they are; all other keys are shuffled. Rows with an absent key match nothing.
+    """
+    total = small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    limit = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = small.filter(F.col(rows) > limit)
+    cold = big.join(small.filter(F.col(rows) <= limit), on)
+    if total <= limit or hot.isEmpty():
+        return cold
+    others = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.filter(F.col(rows) <= limit), on)
+    return big.join(F.broadcast(hot), on).unionByName(others)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.frames import map_batches, split_by_ids
+from rowloom.llm.frames import join_counted, map_batches, split_by_ids
 from rowloom.session import write_stage
 
 SHINGLE = 4
@@ -231,8 +231,8 @@ def near_links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         F.struct(F.lit(i).alias("choice"), F.col("code").bitwiseAND(F.lit(m)).alias("pattern")) for i, m in enumerate(chosen)])).alias("k")
     ).select("k.choice", "k.pattern", "rank")
     filed = write_stage(filed, "filed")
-    sizes = filed.groupBy("choice", "pattern").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = filed.join(sizes, ["choice", "pattern"])
+    sizes = write_stage(filed.groupBy("choice", "pattern").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    placed = join_counted(filed, sizes, ["choice", "pattern"], "n")
     parts = F.ceil(F.col("n") / BLOCK_CODES).cast("int")
     own = F.pmod(F.xxhash64("rank"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j")))
@@ -246,30 +246,34 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): smallest node reachable, for every node of the links.
 
     Each round takes the smallest label among neighbours, then the label's own label. Every round is written
-    to the shared folder; the driver sees one count per round.
+    to the shared folder; the driver sees a few counts per round. Nodes with many links and labels with many nodes are
+    counted first, and the hot ones are joined without moving their rows.
     """
     both = write_stage(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
-    labels = write_stage(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).withColumn("label", F.least("node", "label")), "labels")
+    start = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"), F.count(F.lit(1)).alias("degree"))
+    labels = write_stage(start.withColumn("label", F.least("node", "label")), "labels")
     while True:
-        at = labels.select(F.col("node").alias("v"), F.col("label").alias("seen"))
-        least = both.join(at, "v").groupBy(F.col("u").alias("node")).agg(F.min("seen").alias("seen"))
-        hooked = labels.join(least, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = write_stage(hooked.join(roots, "label").select("node", "old", F.least("label", "root").alias("label")), "labels")
-        if not new.filter("label <> old").limit(1).count():
+        at = labels.select(F.col("node").alias("v"), F.col("label").alias("seen"), "degree")
+        least = join_counted(both, at, ["v"], "degree").groupBy(F.col("u").alias("node")).agg(F.min("seen").alias("seen"))
+        hooked = write_stage(labels.join(least, "node").select("node", "degree", F.col("label").alias("old"), F.least("label", "seen").alias("label")), "hooked")
+        members = hooked.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+        roots = write_stage(members.join(labels.select(F.col("node").alias("label"), F.col("label").alias("root")), "label"), "roots")
+        new = join_counted(hooked, roots, ["label"], "members").select("node", "degree", "old", F.least("label", "root").alias("label"))
+        new = write_stage(new, "labels")
+        if new.filter("label <> old").isEmpty():
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels = new.select("node", "label", "degree")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, code, component_id) of every row; component_id is the smallest doc_id reachable over links."""
     prints = write_stage(fingerprints(docs), "prints")
-    codes = write_stage(prints.groupBy("code").agg(F.min("doc_id").alias("least_id")), "codes")
+    codes = write_stage(prints.groupBy("code").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "codes")
     nodes = components(near_links(codes, distance)).withColumnRenamed("node", "code")
-    sets = nodes.join(codes, "code")
-    named = nodes.join(sets.groupBy("label").agg(F.min("least_id").alias("set_id")), "label").select("code", "set_id")
-    classes = codes.join(named, "code", "left").select("code", F.coalesce("set_id", "least_id").alias("component_id"))
-    return prints.join(classes, "code").select("doc_id", "code", "component_id")
+    sets = nodes.join(codes, "code").groupBy("label").agg(F.min("least_id").alias("set_id"), F.count(F.lit(1)).alias("members"))
+    named = join_counted(nodes, write_stage(sets, "sets"), ["label"], "members").select("code", "set_id")
+    classes = codes.join(named, "code", "left").select("code", "copies", F.coalesce("set_id", "least_id").alias("component_id"))
+    return join_counted(prints, write_stage(classes, "classes"), ["code"], "copies").select("doc_id", "code", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:

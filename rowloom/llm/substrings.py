@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm import words as W
+from rowloom.llm.frames import join_counted
 from rowloom.session import join_bounded, stage_small, write_stage
 
 WINDOW = 50
@@ -194,18 +195,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """
     runs = write_stage(window_runs(docs, repeated_cells(docs)), "runs")
     same = ["c1", "c2"]
-    classes = (runs.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("anchor").alias("anchor"), F.min("hashes").alias("hashes")))
+    classes = runs.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("anchor").alias("anchor"),
+                                      F.min("hashes").alias("hashes"), F.count(F.lit(1)).alias("copies"))
     classes = write_stage(classes, "classes")
     # an anchor with one class needs no look at its windows: they all have the smallest document of the class
     anchors = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("first"), F.max("most").alias("final")).filter("first < final")
-    repeated = write_stage(classes.join(anchors.select("anchor", "n"), "anchor"), "repeated")
-    alone = repeated.filter("n = 1").select(*same, F.transform("hashes", lambda h, i: F.struct(i.alias("i"), F.col("least").alias("least"))).alias("windows"))
-    windows = repeated.filter("n > 1").select(*same, "anchor", "least", "most", F.posexplode("hashes").alias("i", "hash"))
-    least = windows.groupBy("anchor", "hash").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").drop("most")
-    known = (windows.drop("least", "most").join(least, ["anchor", "hash"]).groupBy(*same)
+    repeated = write_stage(join_counted(classes, write_stage(anchors.select("anchor", "n"), "anchors"), ["anchor"], "n"), "repeated")
+    alone = repeated.filter("n = 1").select(*same, "copies", F.transform("hashes", lambda h, i: F.struct(i.alias("i"), F.col("least").alias("least"))).alias("windows"))
+    windows = repeated.filter("n > 1").select(*same, "copies", "anchor", "least", "most", F.posexplode("hashes").alias("i", "hash"))
+    least = windows.groupBy("anchor", "hash").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most")
+    least = write_stage(least.drop("most"), "least")
+    known = (join_counted(windows.drop("least", "most"), least, ["anchor", "hash"], "n").groupBy(*same, "copies")
              .agg(F.collect_list(F.struct("i", "least")).alias("windows"))).unionByName(alone)  # at most 31 windows
     mask = F.aggregate(F.filter("windows", lambda w: w["least"] < F.col("doc_id")), F.lit(0), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1), w["i"])))
-    return runs.select("doc_id", "text_key", "start", *same).join(known, same).select("doc_id", "text_key", "start", mask.alias("mask")).filter("mask <> 0")
+    found = join_counted(runs.select("doc_id", "text_key", "start", *same), write_stage(known, "known"), same, "copies")
+    return found.select("doc_id", "text_key", "start", mask.alias("mask")).filter("mask <> 0")
 
 
 def _covered(n_words: int, runs: list[dict] | None) -> np.ndarray:

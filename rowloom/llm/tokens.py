@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.frames import map_batches
+from rowloom.llm.frames import join_counted, map_batches
 from rowloom.session import join_bounded, scratch_path, stage_small, write_stage
 
 LIMIT = 4096
@@ -115,12 +115,11 @@ def token_counts(docs: DataFrame, model: bytes, cache: str | None = None) -> Dat
     content = F.unhex(F.sha2(normalised(), 256))
     text_key = F.xxhash64("text")
     keyed = write_stage(docs.select("doc_id", text_key.alias("text_key"), content.alias("content"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")), "keyed")
-    known = read_cache(docs, cache).filter(F.col("tokenizer") == tokenizer).select("content").distinct()
-    chosen = keyed.join(known, "content", "left_anti").groupBy("content").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"))
-    chosen = write_stage(chosen, "misses")
+    known = read_cache(docs, cache).filter(F.col("tokenizer") == tokenizer).select("content", F.lit(True).alias("known")).distinct()
+    contents = keyed.groupBy("content").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"))
+    contents = write_stage(contents.join(known, "content", "left"), "contents")
     # rows that are not encoded: their content is known, or another row stands for it
-    spared = keyed.join(chosen.select("content", "first"), "content", "left").filter(
-        F.col("first").isNull() | ~F.struct("doc_id", "text_key").eqNullSafe(F.col("first")))
+    spared = join_counted(keyed, contents, ["content"], "n").filter(F.col("known").isNotNull() | ~F.struct("doc_id", "text_key").eqNullSafe(F.col("first")))
     spared, fits = stage_small(spared.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id"), F.col("text_key").alias("_key")).distinct(), "spared")
     texts = docs.select(normalised().alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id"), text_key.alias("_key"))
     misses = join_bounded(texts, spared, ["_id", "_key"], fits, "left_anti").select(F.unhex(F.sha2("text", 256)).alias("content"), "text")
@@ -132,4 +131,5 @@ def token_counts(docs: DataFrame, model: bytes, cache: str | None = None) -> Dat
     new = map_batches(misses, step, "content binary, n_tokens bigint")
     new.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(docs, cache).filter(F.col("tokenizer") == tokenizer).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    counted = write_stage(contents.select("content", "n").join(counts, "content"), "counted")
+    return join_counted(keyed, counted, ["content"], "n").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

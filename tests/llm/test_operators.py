@@ -14,7 +14,7 @@ import xxhash
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from rowloom.llm import decontaminate, language, licenses, mixing, revisits, search, simhash, substrings, tokens, toxicity
+from rowloom.llm import decontaminate, frames, language, licenses, mixing, revisits, search, simhash, substrings, tokens, toxicity
 from rowloom.llm import words as W
 from rowloom.llm.oracle import SQL
 
@@ -277,6 +277,30 @@ def test_pipeline_stages(spark):
     assert rows
 
 
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    big = spark.createDataFrame([(k, n) for k, size in ((1, 50), (2, 3), (3, 20), (4, 1), (None, 9)) for n in range(size)], "k int, n int")
+    small = spark.createDataFrame([(1, 50, "a"), (2, 3, "b"), (3, 20, "c"), (5, 0, "e")], "k int, rows bigint, name string")
+    want = sorted(map(tuple, big.join(small, "k").collect()))
+    for hot in (1, 10, 30, 1_000):
+        monkeypatch.setattr(frames, "HOT_ROWS", hot)
+        monkeypatch.setattr(frames, "HOT_KEYS", 1_000)
+        assert sorted(map(tuple, frames.join_counted(big, small, ["k"], "rows").collect())) == want
+    assert frames.join_counted(big, small.limit(0), ["k"], "rows").count() == 0
+
+
+def test_results_do_not_depend_on_what_is_hot(spark, monkeypatch):
+    shared = prose(11, 90)
+    texts = [prose(n, 60) + " " + shared + " " + prose(n + 100, 20) if n % 2 else shared for n in range(24)] + ["", None, ""]
+    docs = frame(spark, texts)
+
+    def results():
+        return [sorted(map(tuple, df.collect())) for df in (substrings.dedup_digests(docs), simhash.near_duplicates(docs), tokens.token_counts(docs, MODEL))]
+
+    want = results()
+    monkeypatch.setattr(frames, "HOT_ROWS", 2)
+    assert results() == want
+
+
 def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))

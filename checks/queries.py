@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,7 @@ RETRIEVAL = RetrievalConfig(num_queries_per_type=30, max_samples_per_dataset=Non
 CONFIG = BuildConfig(retrieval=RETRIEVAL)
 SAMPLE_CAP = 1000
 TOP_K = metrics.TOP_K
+IVF_RECALL = 0.5   # least share of the exact hits that clustered search must find at its default number of probes
 
 # Conditions over the test tables: one to three each, of every type, with an unknown operator, an
 # unknown field and a value no row has.
@@ -205,6 +207,17 @@ def scan_table(spark: SparkSession, sf: str) -> DataFrame:
     return load_table(spark, spec).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
+def scan_missing_ints(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole numbers with missing cells are read, and written in sentences, as decimal numbers."""
+    spec = DatasetSpec("holes", "star", "c_mktsegment", {"c_custkey": "int", "c_nationkey": "int"})
+    rows = table(spark, sf, "customer").select("c_custkey", F.expr("nullif(c_nationkey, 0)").alias("c_nationkey"), "c_name", "c_mktsegment")
+    folder = scratch_path(spark, "holes")
+    write_dataset(rows, spec, folder)
+    loaded = load_table(spark, replace(spec, csv_path=f"{folder}/holes.csv"))
+    made = project_samples(with_row_id(loaded), spec)
+    return made.select("text", F.element_at("nums", "c_nationkey").alias("c_nationkey"))
+
+
 def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
     """CSV with line breaks inside cells."""
     spec = next(s for s in catalog.specs(tree_catalog(spark, sf)) if s.name == "documents")
@@ -607,10 +620,33 @@ def ivf_assign(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors_table(spark, sf).select(F.col("vec_id").alias("idx"), "embedding")
     n = v.count()
     nlist, _ = vectors.cluster_counts(n)
-    centroids = search.train_centroids(v, nlist, n)
+    centroids = search.train_centroids(v, nlist)
     return search.nearest_centroids(v, "idx", centroids, 1).select("idx", "_cluster")
 
 
+def topk_ivf_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Clustered search per query: are scores inner products of the pair, ranks dense and in score order, and is the total recall IVF_RECALL or more?"""
+    v = vectors_table(spark, sf)
+    hits = write_stage(search.topk_ivf(v.select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("idx"), "embedding"), 10), "ivf_hits")
+    pairs = hits.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").join(
+        v.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("c")), "idx")
+    product = F.aggregate(F.zip_with("q", "c", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
+    last = F.lag("score").over(Window.partitionBy("query_id").orderBy("rank"))
+    checked = pairs.withColumns({"right": F.abs(product - F.col("score")) < 1e-6, "ordered": F.coalesce(last >= F.col("score"), F.lit(True))})
+    exact = search.topk_flat(v.select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("idx"), "embedding"), 10)
+    found = hits.join(exact.select("query_id", "idx"), ["query_id", "idx"]).count() / max(exact.count(), 1)
+    return checked.groupBy("query_id").agg(
+        F.bool_and("right").alias("scores_right"), F.bool_and("ordered").alias("in_order"),
+        (F.max("rank") == F.count(F.lit(1))).alias("ranks_dense"), F.lit(found >= IVF_RECALL).alias("recall_reached"))
+
+
+def ivf_assign_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row in exactly one of the clusters."""
+    nlist, _ = vectors.cluster_counts(vectors_table(spark, sf).count())
+    return ivf_assign(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("idx").alias("n_distinct"),
+                                     F.bool_and(F.col("_cluster").between(0, nlist - 1)).alias("in_range"))
+
+
 def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector as a query; relevant are the other vectors of its label."""
     v = vectors_table(spark, sf)
@@ -693,6 +729,12 @@ def encode_text(spark: SparkSession, sf: str) -> DataFrame:
     return made.groupBy("dataset_key", F.size("embedding").alias("dim"), norm.alias("norm")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def encode_text_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per dataset whose vector has the full length and unit norm."""
+    found = encode_text(spark, sf)
+    return found.groupBy("dataset_key").agg(F.sum("n_rows").alias("n_rows"), F.sum(F.when((F.col("dim") == 256) & (F.col("norm") == 1), F.col("n_rows"))).alias("n_unit"))
+
+
 def _labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """The vectors as five datasets of two benchmarks, split at random within each label."""
     part = F.col("vec_id") % 5
@@ -744,6 +786,21 @@ def clf_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("dataset_key", "split", "row_id", "class", "prediction")
 
 
+def clf_fit_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row is predicted once, as one of its dataset's classes."""
+    made = clf_fit_predict(spark, sf)
+    return made.groupBy("dataset_key", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row_id").alias("n_predicted"), F.bool_and(F.col("prediction").between(0, 9)).alias("known_class"))
+
+
+def classification_eval_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of all classifiable datasets, and whether training rows are guessed at least as well as by their largest class."""
+    train = split_samples(spark, sf).filter(F.col("split") == "train").groupBy("dataset_key", "label").agg(F.count(F.lit(1)).alias("n"))
+    share = train.groupBy("dataset_key").agg((F.max("n") / F.sum("n")).alias("majority"))
+    made = classification_eval(spark, sf).join(share, "dataset_key")
+    return made.select("dataset_key", "benchmark", "num_classes", "train_samples", "test_samples", (F.col("train_accuracy") >= F.col("majority") - 1e-9).alias("beats_majority"))
+
+
 def classification_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Hashed texts of all classifiable datasets: fit, predict, score."""
     rows = split_samples(spark, sf).select("dataset_key", "benchmark", "row_id", "text", "label", "split")
@@ -778,5 +835,7 @@ QUERIES: dict[str, Query] = {
     "retrieval_eval_text": retrieval_eval_text,
     "encode_text": encode_text, "label_encode": label_encode, "accuracy": accuracy, "macro_f1": macro_f1,
     "clf_scores": clf_scores, "clf_summary": clf_summary, "clf_fit_predict": clf_fit_predict,
-    "classification_eval": classification_eval,
+    "classification_eval": classification_eval, "scan_missing_ints": scan_missing_ints, "topk_ivf_checked": topk_ivf_checked,
+    "ivf_assign_counts": ivf_assign_counts, "encode_text_counts": encode_text_counts, "clf_fit_counts": clf_fit_counts,
+    "classification_eval_counts": classification_eval_counts,
 }

@@ -39,9 +39,24 @@ def usable_conditions(conditions: DataFrame) -> DataFrame:
         "operator", F.when(F.col("type") == "categorical", F.lit("==")).otherwise(F.col("operator")))
 
 
+def settled_conditions(corpus: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Numeric conditions with an unknown operator hold nowhere if their field is no numeric column of the corpus, else they are passed over.
+
+    The columns of the corpus are listed only if there is such a condition.
+    """
+    unknown = (F.col("type") == "numeric") & ~F.coalesce(F.col("operator").isin(*V.OPERATOR_WORDS), F.lit(False))
+    if conditions.filter(unknown).isEmpty():
+        return conditions
+    columns = numeric_cells(corpus).select(F.col("column").alias("field")).distinct()
+    known = conditions.filter(~unknown)
+    never = join_small(conditions.filter(unknown), columns, ["field"], "left_anti").withColumns(
+        {"operator": F.lit("=="), "num": F.lit(None).cast("double")})
+    return known.unionByName(never)
+
+
 def condition_matches(corpus: DataFrame, conditions: DataFrame) -> DataFrame:
     """(query_id, pos, idx): rows satisfying each single condition."""
-    conds = usable_conditions(conditions).select(
+    conds = usable_conditions(settled_conditions(corpus, conditions)).select(
         "query_id", "pos", F.col("field").alias("column"), F.col("type").alias("kind"), "operator",
         F.col("num").alias("t_num"), F.col("str").alias("t_str"))
     holds = F.when(F.col("kind") == "numeric", V.numeric_holds(F.col("num"), F.col("operator"), F.col("t_num"))) \
@@ -52,6 +67,7 @@ def condition_matches(corpus: DataFrame, conditions: DataFrame) -> DataFrame:
 
 def match_division(corpus: DataFrame, conditions: DataFrame) -> DataFrame:
     """(query_id, idx) by relational division: rows found by all conditions of a query."""
+    conditions = settled_conditions(corpus, conditions)
     found = condition_matches(corpus, conditions).groupBy("query_id", "idx").agg(F.count(F.lit(1)).alias("_hits"))
     needed = usable_conditions(conditions).groupBy("query_id").agg(F.count(F.lit(1)).alias("_needed"))
     return join_small(found, needed, ["query_id"], residual=F.col("_hits") == F.col("_needed")).select("query_id", "idx")
@@ -97,6 +113,7 @@ def _grid_point(x: Column) -> Column:
 
 def match_anchor(corpus: DataFrame, conditions: DataFrame, width: int | None = None) -> DataFrame:
     """(query_id, idx): rows satisfying all conditions of each query."""
+    conditions = settled_conditions(corpus, conditions)
     width = condition_width(conditions) if width is None else width
     if width == 0:
         return corpus.select(F.lit(None).cast("string").alias("query_id"), "idx").limit(0)

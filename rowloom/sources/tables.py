@@ -91,9 +91,9 @@ def cast_inferred(raw: DataFrame) -> DataFrame:
     """Narrow text columns to BIGINT, DOUBLE or BOOLEAN where every present cell allows it.
 
     One aggregation over the table decides for all columns; its result is a single row. A column
-    without any present cell is DOUBLE.
+    without any present cell is DOUBLE, and so is a column of whole numbers with a missing cell.
     """
-    checks = []
+    checks = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(raw.columns):
         c = F.col(f"`{name}`")
         checks += [
@@ -109,7 +109,7 @@ def cast_inferred(raw: DataFrame) -> DataFrame:
         if found[f"n{i}"] == 0:
             typed = F.lit(None).cast("double")
         elif found[f"i{i}"]:
-            typed = F.trim(c).cast("bigint")
+            typed = F.trim(c).cast("bigint" if found[f"n{i}"] == found["rows"] else "double")
         elif found[f"f{i}"]:
             typed = F.trim(c).cast("double")
         elif found[f"b{i}"]:

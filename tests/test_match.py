@@ -74,6 +74,18 @@ def test_both_forms_match_brute_force(spark, corpus, monkeypatch, bound):
     assert not any(q in ("f", "g") for q, _ in want)
 
 
+def test_unknown_operators(spark, corpus):
+    _, corpus = corpus
+    number = corpus.select(F.explode("nums").alias("c", "v")).filter("v IS NOT NULL").first()["c"]
+    held = [("a", 1, number, "numeric", ">", -1e9, None), ("b", 1, number, "numeric", ">", -1e9, None),
+            ("b", 2, number, "numeric", ">=", 0.0, None), ("c", 1, number, "numeric", ">", -1e9, None),
+            ("c", 2, "no_such_field", "numeric", ">=", 0.0, None)]
+    conds = spark.createDataFrame(held, match.CONDITION_SCHEMA)
+    for form in (match.match_anchor, match.match_division):
+        found = {r["query_id"]: r["n"] for r in form(corpus, conds).groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+        assert set(found) == {"a", "b"} and found["a"] == found["b"] > 0
+
+
 def test_counted_conditions_choose_the_anchor(spark, corpus):
     rows, df = corpus
     conds = match.with_row_counts(df, spark.createDataFrame(CONDS, match.CONDITION_SCHEMA))

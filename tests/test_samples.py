@@ -116,7 +116,8 @@ def test_inferred_types(spark):
     raw = spark.createDataFrame([("1", "1.5", "True", "x", None, "1"), ("-2", " 2", "False", "3", None, "2.0"), (None, None, None, None, None, None)],
                                 "i string, f string, b string, s string, n string, m string")
     types = dict(cast_inferred(raw).dtypes)
-    assert types == {"i": "bigint", "f": "double", "b": "boolean", "s": "string", "n": "double", "m": "double"}
+    assert types == {"i": "double", "f": "double", "b": "boolean", "s": "string", "n": "double", "m": "double"}
+    assert dict(cast_inferred(raw.limit(2)).dtypes) == {**types, "i": "bigint"}
     numbers = spark.createDataFrame([(1, 2.0)], "i int, d double")
     assert dict(promote_integers(numbers).dtypes) == {"i": "double", "d": "double"}
     mixed = spark.createDataFrame([(1, 2.0, "x")], "i int, d double, s string")

@@ -31,6 +31,7 @@ MIN_SUPPORT = 3          # toxic documents an entry must occur in, and
 SUPPORT_SHARE = 0.02     # share of the toxic documents, whichever is more
 MIN_WEIGHT = 3.5
 MOST_CLEAN = 0.02        # clean documents with an entry, as a share of the toxic ones with it
+HELD_ENTRIES = 50_000    # entries a task holds before it sends its counts and starts anew
 STEMS = (4, 5, 6)        # lengths of word beginnings
 THRESHOLD = 0.7
 SCALE = 1.8
@@ -107,22 +108,28 @@ def raw_score(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float
 
 
 def lexicon_counts(labelled: DataFrame) -> DataFrame:
-    """(entry, whole, toxic, clean): documents with the entry, by label. Tasks add up before anything is shuffled."""
+    """(entry, whole, toxic, clean): documents with the entry, by label. Tasks add up a bounded number of entries at a time before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def send() -> pa.RecordBatch:
+            keys = list(counts[0].keys() | counts[1].keys())
+            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *(
+                pa.array([counts[i][k] for k in keys], pa.int64()) for i in (1, 0))], ["entry", "whole", "toxic", "clean"])
+            counts[0].clear()
+            counts[1].clear()
+            return made
+
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = set(_WORD.findall(fold(text or "")))
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                words = set(_WORD.findall(fold(text.as_py() or "")))
                 features = {(w, True) for w in words}
                 features |= {(w[:n], False) for w in words for n in STEMS if len(w) > n}
                 counts[1 if toxic == 1 else 0].update(features)
-        names = ("entry", "whole", "toxic", "clean")
-        keys = list(counts[0].keys() | counts[1].keys())
-        for at in range(0, len(keys), 50_000):
-            part = keys[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([k[1] for k in part]), pa.array([counts[1][k] for k in part], pa.int64()),
-                                              pa.array([counts[0][k] for k in part], pa.int64())], names)
+                if len(counts[0]) + len(counts[1]) > HELD_ENTRIES:
+                    yield send()
+        yield send()
 
     made = labelled.select("text", "toxic").mapInArrow(run, "entry string, whole boolean, toxic bigint, clean bigint")
     return made.groupBy("entry", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -163,7 +170,7 @@ def score_toxicity(docs: DataFrame, lexicon: tuple[dict[str, float], dict[str, f
 
     def step(batch: pa.RecordBatch) -> dict:
         made[:] = made or [_matcher(lexicon)]
-        scores = [raw_score(made[0], t) for t in batch.column("text").to_pylist()]
+        scores = [raw_score(made[0], t.as_py()) for t in batch.column("text")]
         return {"doc_id": batch.column("doc_id"), "score": pa.array([s for s, _ in scores], pa.float64()),
                 "n_matches": pa.array([n for _, n in scores], pa.int64()),
                 "predicted": pa.array([int(s >= THRESHOLD) for s, _ in scores], pa.int32())}
@@ -178,7 +185,7 @@ def keep_civil(docs: DataFrame, lexicon: tuple[dict[str, float], dict[str, float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made[:] = made or [_matcher(lexicon)]
         for batch in batches:
-            yield batch.filter(pa.array([raw_score(made[0], t)[0] < THRESHOLD for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([raw_score(made[0], t.as_py())[0] < THRESHOLD for t in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

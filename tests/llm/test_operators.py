@@ -215,6 +215,14 @@ def test_toxicity_folds_and_spares(spark):
     assert got == [1, 1, 1, 0, 0, 1, 1, 0, 0, 0]
 
 
+def test_lexicon_counts_add_up(spark, monkeypatch):
+    texts = [prose(n, 80, 60) + " Fünf" * (n % 2) for n in range(40)] + [None, ""]
+    labelled = spark.createDataFrame([(t, n % 3 % 2) for n, t in enumerate(texts)], "text string, toxic int")
+    want = sorted(map(tuple, toxicity.lexicon_counts(labelled).collect()))
+    monkeypatch.setattr(toxicity, "HELD_ENTRIES", 10)
+    assert want and sorted(map(tuple, toxicity.lexicon_counts(labelled).collect())) == want
+
+
 def test_held_out_toxicity_and_language(spark):
     sf = "/root/testdata/sf0.01"
     found = entry.queries()["op8_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()

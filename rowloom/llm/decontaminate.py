@@ -176,9 +176,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                     best: dict = {}
-                    for item, found in shared.value.matches(text).items():
+                    for item, found in shared.value.matches(text.as_py()).items():
                         best[shared.value.ids[item]] = max(best.get(shared.value.ids[item], found), found)
                     rows += [(doc, item, *found) for item, found in best.items()]
                 if rows:
@@ -196,7 +196,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.matches(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not shared.value.matches(t.as_py()) for t in batch.column("text")], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rowloom.session import join_bounded, stage_small
 
 WORD_BYTES = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 4 * 2**20  # Arrow batches that jobs over whole texts ask for
 HOT_ROWS = 1_000         # a key with no more rows is never hot
 HOT_KEYS = 10_000        # no more keys than these are hot, whatever the input is
 
@@ -19,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark pass texts to Python workers in batches of about BATCH_BYTES (a longer text is a batch of its own).
+
+    This is a setting of the session, for jobs that run several operators in it: a worker and its executor each hold a
+    batch and a copy of it, for every task at a time.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def id_bucket(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo n; an absent id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n

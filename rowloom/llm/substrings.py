@@ -35,6 +35,7 @@ GRAM = 25
 ROWS = 2                       # hash rows of the sketch
 CELL_BITS = 26                 # cells of each row: 2^26, as bits 8 MB
 RANGE_BITS = 18                # cells in one range: 2^18
+PIECE_BYTES = 2**18            # text that is hashed at a time: about 60 bytes are held for each of its bytes
 SEND_BYTES = 32 * 2**20        # text after which a task sends its sketch and starts anew
 
 
@@ -92,7 +93,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([np.packbits(c > 1).tobytes() for c in np.split(count, cut)], pa.binary())], ["part", "cells", "many"])
 
     for batch in batches:
-        for piece in W.segments(batch, "text"):
+        for piece in W.segments(batch, "text", PIECE_BYTES):
             windows = _Windows(piece)
             first, _ = windows.runs()
             anchor, doc = windows.anchor[first], windows.doc[first]
@@ -159,7 +160,7 @@ def window_runs(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in W.segments(batch, "text"):
+            for piece in W.segments(batch, "text", PIECE_BYTES):
                 windows = _Windows(piece)
                 first, last = windows.runs()
                 kept = _estimated(shared.value, windows.anchor[first]) if len(first) else first.astype(bool)

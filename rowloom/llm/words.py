@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT_BYTES = 2**20
+KEPT_POWERS = 2**20      # longer tables of powers are made for one text and not kept
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -20,18 +21,22 @@ def _inverse(base: np.uint64) -> np.uint64:
 
 
 class _Powers:
-    """Powers of the two bases and of their inverses modulo 2^64, grown on demand."""
+    """Powers of the two bases and of their inverses modulo 2^64, grown on demand and kept up to a bound."""
 
     def __init__(self) -> None:
         self.tables = [np.ones(1, np.uint64) for _ in range(4)]
 
     def upto(self, n: int) -> list[np.ndarray]:
         if len(self.tables[0]) < n:
-            size = max(n, 2 * len(self.tables[0]))
-            for i, base in enumerate((*_BASES, *map(_inverse, _BASES))):
+            size = max(n, min(2 * len(self.tables[0]), KEPT_POWERS))
+            made = []
+            for base in (*_BASES, *map(_inverse, _BASES)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
-                self.tables[i] = np.cumprod(steps, dtype=np.uint64)
+                made.append(np.cumprod(steps, dtype=np.uint64, out=steps))
+            if size > KEPT_POWERS:
+                return made
+            self.tables = made
         return [t[:n] for t in self.tables]
 
 

@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, language, licenses, mixing, revisits, search, simhash, substrings, tokens, toxicity
+from rowloom.llm import alignment, decontaminate, language, licenses, mixing, revisits, search, simhash, substrings, tokens, toxicity
 from rowloom.llm.frames import id_bucket, table
 
 TOKENIZER = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 TOP_K = 10
 
 
@@ -69,6 +70,11 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "url_key", "captured_at", "response_id", "response_at", "outcome", listed.alias("headers"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = [Path(public_tokenizers.path(name)).read_bytes() for name in (BYTE_TOKENIZER, TOKENIZER)]
+    return alignment.align(table(spark, sf_dir, "documents"), *files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_substring_dedup, op4_simhash, op5_token_counts, op6_topk_search,
-                            op7_decontamination, op8_toxicity, op9_language_id, op10_revisits)}
+                            op7_decontamination, op8_toxicity, op9_language_id, op10_revisits, op11_alignment)}

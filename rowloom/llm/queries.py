@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import alignment, decontaminate, language, licenses, minhash, mixing, revisits, search, simhash, substrings, tokens, toxicity
+from rowloom.llm import alignment, conversations, decontaminate, language, licenses, minhash, mixing, revisits, search, simhash, substrings, tokens, toxicity
 from rowloom.llm.frames import id_bucket, table
 
 TOKENIZER = "piece_bpe_32k.model"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 TOP_K = 10
+TURN_GROUP, MOST_TURNS = 20, 3  # conversations of 20 consecutive ids share up to 3 opening turns
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +76,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), *files)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.numbered(table(spark, sf_dir, "conversations"))
+    return conversations.prefix_trie(*conversations.spliced(turns, TURN_GROUP, MOST_TURNS))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_substring_dedup, op4_simhash, op5_token_counts, op6_topk_search,
-                            op7_decontamination, op8_toxicity, op9_language_id, op10_revisits, op11_alignment, op13_minhash)}
+                            op7_decontamination, op8_toxicity, op9_language_id, op10_revisits, op11_alignment, op12_prefix_trie, op13_minhash)}

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rowloom.llm.frames import join_counted, map_batches
+from rowloom.llm.frames import bound_batches, join_counted, map_batches
 from rowloom.llm.words import segments
 from rowloom.session import write_stage
 
 HEAD_PAIRS = 2_000_000     # pairs of ids that every task holds, 17 bytes each
 TASK_PAIRS = 1_000_000     # counts that a task gathers before it hands them on
-PIECE_TOKENS = 1 << 19     # tokens that are worked on together; a longer document is worked on alone
+PIECE_TOKENS = 1 << 17     # tokens that are worked on together; a longer document is worked on alone
+REMEMBERED = 100_000       # stretches between spaces whose ids a worker remembers from one piece of a batch to the next
 LONG_TEXT = 1 << 22        # longer texts are encoded in parts that are cut before a single space
 SPACE = "▁"
 
@@ -87,24 +89,40 @@ class ByteVocabulary:
             self.fast, self.file = None, Tokenizer.from_str(spec.decode())
             self.file.encode_special_tokens = True
 
-    def encode(self, text: str) -> np.ndarray:
+    def _encode(self, text: str) -> np.ndarray:
         if self.fast is None:
             return np.array(self.file.encode(" " + text, add_special_tokens=False).ids, np.int32)
         return np.concatenate([np.array(self.fast.encode_ordinary(p), np.int32) for p in _parts(" " + text)])
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [self._encode(t) for t in texts]
+
 
 class PieceVocabulary:
-    """A piece model: ids of the text, before which it sets a space itself, and the bytes of every id."""
+    """A piece model: ids of the text, before which it sets a space itself, and the bytes of every id.
+
+    If no piece holds a space behind another character, no token crosses from one stretch between single spaces to the next, so the
+    ids of a text are those of its stretches, and frequent stretches are encoded once.
+    """
 
     def __init__(self, model: bytes) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.separable = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.known: dict[str, list[int]] = {}
 
-    def encode(self, text: str) -> np.ndarray:
-        first, *others = _parts(text) if self.separable else [text]
-        return np.concatenate([np.array(self.model.encode(p, num_threads=1), np.int32) for p in (first, *(p[1:] for p in others))])
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [_parts(text) if self.separable else [text] for text in texts]
+        cut = [[(part[1:] if n else part).split(" ") for n, part in enumerate(row)] for row in parts]
+        whole = [self.separable and all(map(all, row)) for row in cut]
+        new = list({s for row, easy in zip(cut, whole, strict=True) if easy for stretches in row for s in stretches if s not in self.known})
+        self.known.update(zip(new, self.model.encode(new, num_threads=1), strict=True))
+        made = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, chain.from_iterable(row))), np.int32) if easy else
+                np.array(self.model.encode(text, num_threads=1), np.int32) for text, row, easy in zip(texts, cut, whole, strict=True)]
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        return made
 
 
 class Pair:
@@ -144,7 +162,13 @@ def _slices(data: pa.Array, starts: np.ndarray) -> Iterator[memoryview]:
 def _encoded(texts: pa.Array, pair: Pair) -> list[pa.ListArray]:
     """Ids of both sides; none where a side does not give back a space and the text."""
     rows = texts.to_pylist()
-    ids = [_lists([side.encode(t) if t else np.zeros(0, np.int32) for t in rows]) for side in pair.sides]
+    filled = np.flatnonzero([bool(t) for t in rows]).tolist()
+    ids = []
+    for side in pair.sides:
+        made = [np.zeros(0, np.int32)] * len(rows)
+        for n, found in zip(filled, side.encode_all([rows[n] for n in filled]), strict=True):
+            made[n] = found
+        ids.append(_lists(made))
     wanted = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.fill_null(""), pa.scalar("", pa.large_string()))
     wanted = list(_slices(wanted, np.arange(len(rows) + 1)))
     whole = np.ones(len(rows), bool)
@@ -159,8 +183,9 @@ def _encoded(texts: pa.Array, pair: Pair) -> list[pa.ListArray]:
 def encode(docs: DataFrame, spec: bytes, model: bytes) -> DataFrame:
     """(row, doc_id, a_ids, b_ids) of every row, written to the shared folder; `row` numbers the rows.
 
-    `spec` and `model` are the contents of the two vocabulary files.
+    `spec` and `model` are the contents of the two vocabulary files. The session is asked for small batches.
     """
+    bound_batches(docs.sparkSession)
 
     def step(batch: pa.RecordBatch) -> dict:
         parts = [(part.column("doc_id"), *_encoded(part.column("text").cast(pa.large_string()), pair_of(spec, model))) for part in segments(batch, "text")]
@@ -170,6 +195,13 @@ def encode(docs: DataFrame, spec: bytes, model: bytes) -> DataFrame:
     return write_stage(made.select(F.monotonically_increasing_id().alias("row"), "*"), "encoded")
 
 
+def _counts_before(places: np.ndarray, total: int) -> np.ndarray:
+    """How many of the given places lie before each place."""
+    marks = np.zeros(total, np.int32)
+    marks[places] = 1
+    return np.cumsum(marks, dtype=np.int32) - marks
+
+
 class Aligned:
     """Tokens, groups and links of some documents. Every token is in one group, every distinct end closes one link."""
 
@@ -188,11 +220,16 @@ class Aligned:
             tables.append(pa.table({"doc": parent.cast(pa.int64()), "end": end, f"at{len(tables)}": pa.array(np.arange(len(flat)))}))
         shared = tables[0].join(tables[1], ["doc", "end"], join_type="inner", use_threads=False).sort_by("at0")
         self.last = [shared[f"at{k}"].to_numpy() for k in (0, 1)]  # last token of each group
-        self.group = [np.searchsorted(last, np.arange(len(ids))) for last, ids in zip(self.last, self.ids, strict=True)]
+        self.group = [_counts_before(last, len(ids)) for last, ids in zip(self.last, self.ids, strict=True)]
         n = len(a_ids)
         self.n_groups = np.bincount(shared["doc"].to_numpy(), minlength=n)
-        cuts = np.union1d(*ends)  # both sides cover the same bytes of each document, so running ends are comparable
-        own = [np.searchsorted(e, cuts) for e in ends]
+        # both sides cover the same bytes of each document, so running ends are places in the same bytes
+        total = int(ends[0][-1]) + 1 if len(ends[0]) else 0
+        cuts = np.zeros(total, bool)
+        for e in ends:
+            cuts[e] = True
+        cuts = np.flatnonzero(cuts)
+        own = [_counts_before(e, total)[cuts] for e in ends]
         self.a, self.b = (ids[at] for ids, at in zip(self.ids, own, strict=True))
         self.doc = self.parents[0][own[0]]
         self.link_starts = np.searchsorted(self.doc, np.arange(n + 1))
@@ -202,7 +239,7 @@ class Aligned:
         n_a, n_b = len(self.ids[0]), len(self.ids[1])
         per_group = [np.diff(last, prepend=-1) for last in self.last]
         before = [np.concatenate(([0], np.cumsum(c))) for c in per_group]
-        place_a = np.arange(n_a) + before[1][self.group[0]]
+        place_a = np.arange(n_a) + before[1][self.group[0]]  # tokens of A come behind the groups before them
         place_b = np.arange(n_b) + before[0][self.group[1] + 1]
         ids, marks = np.empty(n_a + n_b, np.int32), np.zeros(n_a + n_b, np.int8)
         ids[place_a], ids[place_b] = self.ids

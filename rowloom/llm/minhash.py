@@ -43,6 +43,7 @@ HOT_SET_ITEMS = 8_000_000  # hot sets are broadcast up to this many items togeth
 _EMPTY = np.uint32(0xFFFFFFFF)
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
 _FRACTION = 24             # bits of a proposal below its place
+_strides = np.arange(1, COMPONENTS + 1, dtype=np.uint64) * _STRIDE
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,31 +71,31 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, n
     return hashes, check, np.searchsorted(owner, np.arange(len(counts) + 1))
 
 
-def signatures(hashes: np.ndarray, starts: np.ndarray, components_: int = COMPONENTS) -> np.ndarray:
+def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """SuperMinHash signature of each set, one row each; components of empty sets are all ones."""
     n = len(starts) - 1
-    out = np.full(n * components_, _EMPTY)
+    out = np.full(n * COMPONENTS, _EMPTY)
     owner, x, permuted = np.repeat(np.arange(n), np.diff(starts)), hashes, None
-    for place in range(components_):
-        draw = mix(x + _STRIDE * np.uint64(place + 1))
-        other = place + ((draw & np.uint64(0xFFFFFFFF)) * np.uint64(components_ - place) >> np.uint64(32)).astype(np.int64)
+    for place in range(COMPONENTS):
+        draw = mix(x + _strides[place])
+        other = place + ((draw & np.uint64(0xFFFFFFFF)) * np.uint64(COMPONENTS - place) >> np.uint64(32)).astype(np.int64)
         if permuted is None:
             chosen = other
         else:
             each = np.arange(len(x))
             chosen = permuted[each, other].astype(np.int64)
             permuted[each, other] = permuted[:, place]
-        np.minimum.at(out, owner * components_ + chosen, (np.uint32(place << _FRACTION) | (draw >> np.uint64(64 - _FRACTION)).astype(np.uint32)))
-        open_ = (out.reshape(n, components_) == _EMPTY).any(axis=1)[owner]
+        np.minimum.at(out, owner * COMPONENTS + chosen, (np.uint32(place << _FRACTION) | (draw >> np.uint64(64 - _FRACTION)).astype(np.uint32)))
+        open_ = (out.reshape(n, COMPONENTS) == _EMPTY).any(axis=1)[owner]
         if not open_.any():
             break
         if permuted is None:
-            permuted = np.tile(np.arange(components_, dtype=np.uint16), (int(open_.sum()), 1))
+            permuted = np.tile(np.arange(COMPONENTS, dtype=np.uint16), (int(open_.sum()), 1))
             permuted[np.arange(len(permuted)), other[open_]] = 0
         elif not open_.all():
             permuted = permuted[open_]
         owner, x = owner[open_], x[open_]
-    return out.reshape(n, components_)
+    return out.reshape(n, COMPONENTS)
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:

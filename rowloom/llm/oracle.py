@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rowloom.llm import decontaminate, licenses, mixing, revisits, search
-from rowloom.llm.queries import TOP_K
+from rowloom.llm.queries import MOST_TURNS, TOP_K, TURN_GROUP
 
 
 def _texts(values: list[str]) -> str:
@@ -125,4 +125,41 @@ SELECT doc_id, item_id, count(*)::int AS n_passages, round(max(score), 6) AS sco
 FROM shares WHERE shingle_share >= {d.SHINGLES} AND question_share >= {d.QUESTION} AND answer_share >= {d.ANSWER} GROUP BY doc_id, item_id"""
 
 
-SQL: dict[str, str] = {"op1_license_scan": op1(), "op2_mix_sources": op2(), "op3_substring_dedup": OP3, "op6_topk_search": op6(), "op7_decontamination": op7(), "op10_revisits": op10()}
+def op12() -> str:
+    polynomial = 0xEDB88320  # of CRC-32
+    return rf"""
+WITH steps AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {polynomial}) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+told AS (SELECT conv_id, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS words FROM conversations WHERE conv_id IS NOT NULL),
+listed AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, role, x) AS xs, list(words ORDER BY turn NULLS FIRST, role, x) AS ws FROM told GROUP BY conv_id),
+taken AS (SELECT conv_id, xs, ws, xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda d: ascii(d)::bigint)),
+    lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1]))) % {MOST_TURNS + 1} AS h FROM listed, steps),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(g.xs[1:h], []), c.xs[h + 1:]) AS xs, list_concat(coalesce(g.ws[1:h], []), c.ws[h + 1:]) AS ws
+  FROM taken c LEFT JOIN listed g ON g.conv_id = c.conv_id - c.conv_id % {TURN_GROUP}),
+paths AS (SELECT conv_id, xs, ws, unnest(range(0, len(xs) + 1)) AS depth FROM rebuilt),
+nodes AS (SELECT array_to_string(xs[1:depth], '') AS k, depth, min(conv_id) AS conv_id, count(*) AS n, coalesce(any_value(ws[depth]), 0) AS words,
+    coalesce(array_to_string(list_sort(list(conv_id) FILTER (depth = len(xs))), ','), '') AS ids FROM paths GROUP BY 1, 2),
+below AS (SELECT left(k, (64 * (depth - 1))::bigint) AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN below USING (k)),
+above AS (SELECT left(k, (64 * a)::bigint) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM whole) GROUP BY 1)
+SELECT w.conv_id, w.depth::bigint AS depth, p.conv_id AS parent_conv_id, w.n::bigint AS n_convs, w.n_children::bigint AS n_children, n_leaves::bigint AS n_leaves,
+  saved::bigint AS saved_tokens, sha256(w.ids) AS ends_sha256
+FROM whole w JOIN above USING (k) LEFT JOIN nodes p ON w.depth > 0 AND p.k = left(w.k, (64 * (w.depth - 1))::bigint)"""
+
+
+OP13 = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[j + 1:j + 5], ' ') FOR j IN range(0, len(w) - 4)])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::varchar[] END AS s FROM docs),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+both_ AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, b.v FROM reached r JOIN both_ b ON b.u = r.other)
+SELECT s.doc_id, any_value(len(s.s))::bigint AS n_shingles, min(r.other) AS component_id, min(r.other) = s.doc_id AS kept
+FROM sets s JOIN reached r USING (doc_id) GROUP BY s.doc_id"""
+
+
+SQL: dict[str, str] = {"op1_license_scan": op1(), "op2_mix_sources": op2(), "op3_substring_dedup": OP3, "op6_topk_search": op6(), "op7_decontamination": op7(), "op10_revisits": op10(),
+                       "op12_prefix_trie": op12(), "op13_minhash": OP13}

@@ -43,7 +43,7 @@ AWKWARD_IDS = [0, 1, 2, None, 4, 5, 6, 6, 8, 9]
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
 
     def table(df):
@@ -311,4 +311,4 @@ def test_results_do_not_depend_on_what_is_hot(spark, monkeypatch):
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))

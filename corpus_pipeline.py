@@ -1,15 +1,15 @@
 """Training corpus pipeline: documents in, a cleaned and mixed corpus out.
 
 Each stage gets the documents its predecessor kept, and what it returns is written as Parquet and read again. Removed: toxic documents,
-all but one of each group of near-duplicates (5-word shingles, similarity 0.8 or more), repeated 50-word passages, documents with benchmark items. The last stage
-takes the documents of the mix and adds how often each is taken. Stages that pass texts to Python ask the session for small batches.
+all but one of each group of near-duplicates (fingerprints of 4-word shingles, at most 4 bits apart), repeated 50-word passages, documents with
+benchmark items. The last stage takes the documents of the mix and adds how often each is taken. Stages that pass texts to Python ask the session for small batches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import decontaminate, jaccard, mixing, substrings, toxicity
+from rowloom.llm import decontaminate, mixing, simhash, substrings, toxicity
 from rowloom.llm.frames import bound_batches, table
 from rowloom.session import write_stage
 
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    return jaccard.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-# Fingerprints cannot be expressed in SQL; tests compare every stage with brute force.
+# Fingerprints cannot be expressed in SQL; tests compare every stage with plain Python or SQL of its own.
 ORACLE_SQL = None
 
 

@@ -1,10 +1,12 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
-The lexicon holds whole words and word beginnings. Some are given; the others are learned from labelled rows:
-log odds of an entry among toxic and clean documents. Text and lexicon are folded alike (lower case,
-compatibility forms, look-alike letters, digits and signs that stand for letters). Of all entries that match
-from one word's start the heaviest counts; a match inside an exception phrase does not. The sum of the weights is
-divided by a slowly growing function of the length.
+The lexicon holds whole words and word beginnings. Some words are given, each with its common endings; all other entries are learned
+from labelled rows: smoothed log odds of the documents with an entry among toxic and clean ones. Every entry that stands in a few toxic documents
+and weighs enough is taken. Text and lexicon are folded alike (lower case, compatibility forms, look-alike letters, digits and signs
+that stand for letters). Of all entries that match from one word's start the heaviest counts; a match inside an exception phrase does not.
+
+Length: toxic texts use such words all the way, others meet one by chance, more often the longer they are. So every word of the text costs a
+fixed amount, as does the text itself, and the score is a logistic curve of the sum of the weights less these costs.
 
 Null or empty text scores 0. Repeated rows score alike, each in its own row. Without labelled rows the given
 lexicon alone is used. Labels, languages, sources and ids are never part of a score.
@@ -26,19 +28,19 @@ from pyspark.sql import functions as F
 from rowloom.llm.frames import id_bucket, map_batches
 
 TRAIN_ROWS = 40_000      # bound on the labelled rows that are learned from (expected size of a sample by id digest)
-MAX_ENTRIES = 200        # bound on the learned lexicon, most frequent entries first
-MIN_SUPPORT = 3          # toxic documents an entry must occur in, and
-SUPPORT_SHARE = 0.02     # share of the toxic documents, whichever is more
-MIN_WEIGHT = 3.5
-MOST_CLEAN = 0.02        # clean documents with an entry, as a share of the toxic ones with it
+MIN_SUPPORT = 3          # toxic documents an entry must occur in
+MIN_WEIGHT = 3.0
 HELD_ENTRIES = 50_000    # entries a task holds before it sends its counts and starts anew
-STEMS = (4, 5, 6)        # lengths of word beginnings
+STEMS = (3, 4, 5, 6, 7)  # lengths of word beginnings
 THRESHOLD = 0.7
-SCALE = 1.8
+WORD_COST = 0.03         # of every word of a text: a match of weight 3 makes up for 100 words
+TEXT_COST = 1.5
+SLOPE = 2.0
 
 # Given lexicon (insults) with weights, and phrases in which its words are harmless.
 LEXICON = {"idiot": 5.0, "moron": 5.0, "stupid": 4.0, "scum": 4.5, "loser": 4.0, "pathetic": 4.0, "worthless": 4.0,
            "disgusting": 4.0, "trash": 3.5, "clown": 3.5}
+ENDINGS = ("", "s", "es", "y", "ish", "ly", "ity")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "circus clown", "class clown",
               "sore loser bracket", "loser bracket", "losers bracket")
 
@@ -73,7 +75,8 @@ def build_matcher(words: dict[str, float], stems: dict[str, float], exceptions:
         for entry, weight in source.items():
             entries.setdefault(fold(entry), []).append((whole, weight))
     for phrase in exceptions:
-        entries.setdefault(fold(phrase), []).append((True, None))
+        for form in (phrase, phrase + "s"):
+            entries.setdefault(fold(form), []).append((True, None))
     for entry, values in entries.items():
         automaton.add_word(entry, (len(entry), values))
     automaton.make_automaton()
@@ -103,8 +106,8 @@ def raw_score(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float
         found = {s: w for s, w in found.items() if not any(a <= s <= b for a, b in spared)}
     if not found:
         return 0.0, 0
-    dense = sum(found.values()) / (1 + math.log1p(len(folded) / 1200))
-    return 1 - math.exp(-SCALE * dense), len(found)
+    costs = TEXT_COST + WORD_COST * sum(1 for _ in _WORD.finditer(folded))
+    return 1 / (1 + math.exp(min((costs - sum(found.values())) / SLOPE, 700.0))), len(found)
 
 
 def lexicon_counts(labelled: DataFrame) -> DataFrame:
@@ -151,14 +154,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     size = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(True, 0), size.get(False, 0)
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    best = (lexicon_counts(labelled).filter(F.col("toxic") >= max(MIN_SUPPORT, SUPPORT_SHARE * toxic))
-            .withColumn("weight", weight).filter((F.col("weight") >= MIN_WEIGHT) & (F.col("clean") <= MOST_CLEAN * F.col("toxic")))
-            .orderBy(F.desc("toxic"), F.desc("weight"), "entry", "whole").limit(MAX_ENTRIES).collect())
+    found = lexicon_counts(labelled).filter(F.col("toxic") >= MIN_SUPPORT).withColumn("weight", weight).filter(F.col("weight") >= MIN_WEIGHT)
+    best = found.collect()  # entries of at most about `train_rows` texts
     return ({r["entry"]: r["weight"] for r in best if r["whole"]}, {r["entry"]: r["weight"] for r in best if not r["whole"]})
 
 
 def _matcher(lexicon: tuple[dict[str, float], dict[str, float]]) -> ahocorasick.Automaton:
-    words = dict(LEXICON)
+    words = {entry + ending: weight for entry, weight in LEXICON.items() for ending in ENDINGS}
     for entry, weight in lexicon[0].items():
         words[entry] = max(weight, words.get(entry, 0.0))
     return build_matcher(words, lexicon[1], EXCEPTIONS)

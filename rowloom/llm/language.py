@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rowloom.llm.frames import id_bucket, map_batches
 
 SAMPLES = 80            # training texts for each language, about
-SAMPLE_CHARS = 1_500    # of each, for the dictionary
+SAMPLE_CHARS = 1_500    # letters of each, for the dictionary, from a place drawn by the id
 LEVEL = 3
 PIECE = 16 * 2**10
 NARROW = 0.01           # margin below which a decision is rejected
@@ -37,18 +37,20 @@ def plain(text: str) -> bytes:
 def learn_dictionaries(docs: DataFrame, samples: int = SAMPLES) -> dict[str, bytes]:
     """Dictionary content of each language, from about `samples` rows of each, chosen by a digest of the id.
 
-    Only the rows whose crc32(doc_id) leaves a remainder other than 0 by 5 are learned from. The driver gets at most about
-    samples x SAMPLE_CHARS characters of each language.
+    Only the rows whose crc32(doc_id) leaves a remainder other than 0 by 5 are learned from. What is no letter is taken out of a sampled text
+    first, then a stretch of SAMPLE_CHARS is taken from a place anywhere in it, so digits or markup at its beginning do no harm. The
+    driver gets at most about samples x SAMPLE_CHARS characters of each language.
     """
     known = docs.filter((id_bucket("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, samples / n)))])
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row for each language
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    rows = known.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    sampled = known.join(F.broadcast(counts), "lang").filter(draw < F.lit(samples) / F.col("n"))
+    letters = sampled.select("lang", "doc_id", F.trim(F.regexp_replace("text", r"[^\p{L}\p{M}]+", " ")).alias("text"))
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    start = F.pmod(F.xxhash64(F.lit("stretch"), "doc_id", "text"), spare.cast("bigint") + 1).cast("int") + 1
+    rows = letters.select("lang", "doc_id", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("text")).collect()
     texts: dict[str, list[bytes]] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0)):
+    for row in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
         texts.setdefault(row["lang"], []).append(plain(row["text"]))
     return {lang: b" ".join(parts) for lang, parts in texts.items() if any(parts)}
 

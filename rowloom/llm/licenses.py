@@ -6,7 +6,8 @@ put in global order, rarest first, by the number of documents that have them. A
 words with a needed, the first n - a + 1; a block that misses all of these cannot have a of them. The length filter drops blocks with
 fewer than a words in common with all templates; the positional filter drops a pair if the words that are left behind
 the shared one, in the block or in the template, are too few. The pairs that remain are counted exactly. Phrases are templates that
-need all their words; their places (consecutive words) are then looked up in the blocks.
+need all their words; their places (consecutive words) are then looked up in the blocks. Licenses are often worded alike, so a template may
+name words that no match may lack, whatever the share is (those that tell it from its like).
 
 Only DataFrame operations are used. Words of documents are not moved: the index of templates is a bounded parameter and is broadcast,
 and one row per document is shuffled. Null text is empty. Rows that are equal in id and text are one document: one result row;
@@ -31,6 +32,7 @@ class Template:
     label: str
     text: str
     exact: bool = False   # a phrase: all its words, one behind the other
+    required: str = ""    # words of the text that no match may lack
 
     @property
     def words(self) -> list[str]:
@@ -49,18 +51,28 @@ PHRASES = (
     Template("reserved", "all rights reserved", True),
 )
 TEMPLATES = PHRASES + (
-    Template("apache", "licensed under the apache license version 2 0"),
-    Template("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    Template("mit", "released under the mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    Template("gpl", "licensed under the gnu general public license version 3"),
-    Template("lgpl", "under the terms of the gnu lesser general public license"),
-    Template("mpl", "subject to the terms of the mozilla public license"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa", "licensed under a creative commons attribution sharealike license"),
-    Template("cc0", "to the extent possible under law the author has waived all copyright and related rights"),
-    Template("public-domain", "this is free and unencumbered software released into the public domain"),
+    Template("apache", "licensed under the apache license version 2 0", required="apache"),
+    Template("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain "
+             "a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed "
+             "under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", required="apache"),
+    Template("mit", "released under the mit license", required="mit"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal "
+             "in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
+             "of the software and to permit persons to whom the software is furnished to do so", required="sublicense merge"),
+    Template("bsd", "released under the bsd license", required="bsd"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+             "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", required="redistributions binary"),
+    Template("gpl", "licensed under the gnu general public license version 3", required="gnu general"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software "
+             "foundation either version 3 of the license or at your option any later version", required="gnu general foundation"),
+    Template("lgpl", "under the terms of the gnu lesser general public license", required="lesser"),
+    Template("mpl", "subject to the terms of the mozilla public license", required="mozilla"),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one "
+             "at http mozilla org mpl 2 0", required="mozilla"),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", required="cc nc"),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike license", required="commons sharealike"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related rights", required="waived"),
+    Template("public-domain", "this is free and unencumbered software released into the public domain", required="unencumbered domain"),
 )
 
 
@@ -93,7 +105,7 @@ def prefix_index(spark: SparkSession, templates: tuple[Template, ...], order: li
             rows.append(F.struct(
                 F.lit(word).alias("word"), F.lit(number).alias("template"), F.lit(place).alias("place"), F.lit(len(words)).alias("n"),
                 F.lit(t.needed).alias("needed"), F.lit(t.label).alias("label"), F.lit(t.exact).alias("exact"),
-                _list(words).alias("distinct_words"), _list(t.words).alias("phrase")))
+                _list(words).alias("distinct_words"), _list(t.words).alias("phrase"), _list(t.required.split()).alias("required")))
     return spark.range(1).select(F.inline(F.array(*rows))), sorted(prefix)
 
 
@@ -117,7 +129,8 @@ def license_blocks(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     probes = ordered.select("doc_id", "text_key", "n_words", "block", "ordered", "held", F.posexplode_outer(first_needed).alias("at", "word"))
     pairs = probes.join(F.broadcast(index), "word", "left")
     near = (F.col("held") >= F.col("needed")) & (F.least(F.col("n") - F.col("place"), F.col("held") - F.col("at")) >= F.col("needed"))
-    common = F.when(near, F.size(F.array_intersect("distinct_words", "ordered")))
+    named = F.size(F.array_except("required", "ordered")) == 0
+    common = F.when(near & named, F.size(F.array_intersect("distinct_words", "ordered")))
     starts = F.filter(F.sequence(F.lit(0), F.least(F.lit(STEP), F.size("block.words")) - 1),
                       lambda p: F.slice("block.words", p + 1, F.size("phrase")) == F.col("phrase"))
     pairs = pairs.withColumn("common", common)

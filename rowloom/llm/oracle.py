@@ -12,16 +12,16 @@ def _texts(values: list[str]) -> str:
 
 def op1() -> str:
     reach = max(len(t.words) for t in licenses.TEMPLATES) - 1
-    rows = ", ".join(f"({n}, '{t.label}', {str(t.exact).lower()}, {_texts(t.words)}, {len(set(t.words))}, {t.needed})" for n, t in enumerate(licenses.TEMPLATES))
+    rows = ", ".join(f"({n}, '{t.label}', {str(t.exact).lower()}, {_texts(t.words)}, {len(set(t.words))}, {t.needed}, {_texts(t.required.split())})" for n, t in enumerate(licenses.TEMPLATES))
     return rf"""
-WITH templates(template, label, exact, phrase, n, needed) AS (VALUES {rows}),
+WITH templates(template, label, exact, phrase, n, needed, required) AS (VALUES {rows}),
 docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 starts AS (SELECT doc_id, words, unnest(range(0, len(words), {licenses.STEP})) AS s FROM docs),
 blocks AS (SELECT doc_id, s, words[s + 1:s + {licenses.STEP + reach}] AS w FROM starts),
 pairs AS (SELECT b.doc_id, b.s, b.w, t.*, len(list_distinct(list_filter(t.phrase, lambda x: list_contains(b.w, x)))) AS common FROM blocks b, templates t),
 held AS (SELECT *, common / n AS share,
     CASE WHEN exact THEN list_transform(list_filter(range(0, least({licenses.STEP}, len(w))), lambda p: w[p + 1:p + len(phrase)] = phrase), lambda p: p + s) END AS places
-  FROM pairs WHERE common >= needed),
+  FROM pairs WHERE common >= needed AND list_has_all(w, required)),
 true_ AS (SELECT * FROM held WHERE NOT exact OR len(places) > 0)
 SELECT d.doc_id, any_value(len(d.words))::bigint AS n_words, coalesce(sum(len(h.places)), 0)::bigint AS n_base,
   min(list_min(h.places))::bigint AS first_word, max(list_max(h.places))::bigint AS last_word,

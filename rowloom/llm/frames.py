@@ -47,16 +47,37 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], sc
     return df.mapInArrow(run, schema)
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows whose id is listed, the other rows); rows without an id are never listed.
+def fresh_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores in front as it takes to differ from every column of `docs`."""
+    taken = {c.lower() for c in docs.columns}
 
-    The list is written once; it is broadcast only if it is within the size bound, else both sides
-    are shuffled by id.
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name = "_" + name
+        return name
+
+    return [free(n) for n in names]
+
+
+def row_key(text_key: str | None = None) -> Column:
+    """What tells documents apart: id and text, as digests of 128 bits together; `text_key` names the xxhash64 of the text, if there is one.
+
+    The key is never null, and an absent id is no id's equal.
+    """
+    parts = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col(text_key) if text_key else F.xxhash64("text"))
+    return F.struct(F.xxhash64(F.lit(1), parts).alias("a"), F.xxhash64(F.lit(2), parts).alias("b"))
+
+
+def match_rows(docs: DataFrame, listed: DataFrame, how: str, values: str | None = None) -> DataFrame:
+    """Join `docs` with a list of rows (`row`, made by `row_key`; for a left or inner join also `values`, a column that is added under a name of its own).
+
+    Only the list moves while it is within the size bound. No column of `docs` is touched, whatever its name is; the added column is the last one.
     """
-    listed, fits = stage_small(ids.select(F.col(column).alias("_listed")).filter("_listed IS NOT NULL").distinct(), "ids")
-    keyed = docs.withColumn("_listed", F.col(column))
-    return (join_bounded(keyed, listed, ["_listed"], fits, "left_semi").drop("_listed"),
-            join_bounded(keyed, listed, ["_listed"], fits, "left_anti").drop("_listed"))
+    key, added = fresh_names(docs, "_row", values or "_values")
+    staged, fits = stage_small(listed, "rows")
+    staged = staged.select(F.col("row").alias(key), *([F.col(values).alias(added)] if values else []))
+    joined = join_bounded(docs.withColumn(key, row_key()), staged, [key], fits, how)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *([added] if values else []))
 
 
 def join_counted(big: DataFrame, small: DataFrame, on: list[str], rows: str) -> DataFrame:

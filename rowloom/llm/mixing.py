@@ -9,7 +9,7 @@ The document at the edge is taken if that brings the sum nearer to the target (h
 No window spans a source. Keys are filed into buckets of near-equal size; bucket sums locate the edge,
 and only the bucket it falls into is ordered. Only DataFrame operations are used.
 
-A null text has size 0 and is never taken; a null id draws like any other. Rows that are equal in id and text draw the same
+A null text has size 0 and is never taken; a row without an id draws by its text. Rows that are equal in id and text draw the same
 key and stand next to each other. Draws are digests of the id: reruns agree.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rowloom.llm.frames import WORD_BYTES
+from rowloom.llm.frames import WORD_BYTES, match_rows, row_key
 from rowloom.session import join_bounded, stage_small, write_stage
 
 WEIGHTS = (1, 2, 3)
@@ -71,8 +71,8 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def draw_key(weight: str) -> F.Column:
-    """Exponential key of rate `weight`, drawn from the id."""
-    digest = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    """Exponential key of rate `weight`, drawn from the id, or without one from the digest of the text."""
+    digest = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("text_key").cast("string")))))
     uniform = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
     return -F.log(uniform) / F.col(weight)
 
@@ -123,12 +123,8 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the mix takes, with `copies`, `taken`, `size`, `source_size` and `target`; documents not taken go."""
     taken = mix(quality_weights(docs, labels)).filter("taken > 0").withColumn("copies", (F.col("taken") / F.col("size")).cast("int"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.struct("taken", "size", "source_size", "target", "copies").alias("_mix"))
-    taken = taken.groupBy("_id", "_key").agg(F.max("_mix").alias("_mix"))
-    small, fits = stage_small(taken, "taken")
-    null_id = F.coalesce(F.col("_id").cast("string"), F.lit("-"))
-    small = small.select(null_id.alias("_id"), "_key", "_mix")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "_key": F.xxhash64("text")})
-    joined = join_bounded(keyed, small, ["_id", "_key"], fits)
-    own = [c for c in docs.columns]
-    return joined.select(*own, *[F.col(f"_mix.{c}").alias(c) for c in ("size", "source_size", "target", "taken", "copies") if c not in own])
+    mixed = taken.select(row_key("text_key").alias("row"), F.struct("taken", "size", "source_size", "target", "copies").alias("mixed"))
+    joined = match_rows(docs, mixed.groupBy("row").agg(F.max("mixed").alias("mixed")), "inner", "mixed")
+    held = f"`{joined.columns[-1]}`"
+    own = {c.lower() for c in docs.columns}
+    return joined.select(*[f"`{c}`" for c in docs.columns], *[F.col(f"{held}.{c}").alias(c) for c in ("size", "source_size", "target", "taken", "copies") if c not in own])

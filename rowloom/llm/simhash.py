@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.frames import join_counted, map_batches, split_by_ids
+from rowloom.llm.frames import fresh_names, join_counted, map_batches, match_rows, row_key
 from rowloom.session import write_stage
 
 SHINGLE = 4
@@ -57,17 +57,32 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * counts > size, bitorder="little").view("<u8")[0])
 
 
+def _codes(column: pa.Array) -> pa.Array:
+    texts = column.cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"")
+    return pa.array(np.fromiter((fingerprint(t.as_buffer().to_pybytes()) for t in texts), np.uint64, len(column)).view(np.int64))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, code) of every row; the code is the fingerprint as a signed long."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        texts = batch.column("text").cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"")
-        codes = np.fromiter((fingerprint(t.as_buffer().to_pybytes()) for t in texts), np.uint64, batch.num_rows)
-        return {"doc_id": batch.column("doc_id"), "code": pa.array(codes.view(np.int64))}
+        return {"doc_id": batch.column("doc_id"), "code": _codes(batch.column("text"))}
 
     return map_batches(docs.select("doc_id", "text"), step, f"doc_id {dict(docs.dtypes)['doc_id']}, code bigint")
 
 
+def rows_with_codes(docs: DataFrame) -> DataFrame:
+    """(row, place, code): key, order (by doc_id with null last, then by text digest) and fingerprint of every row."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text_key"))
+    keyed = docs.select(place.alias("place"), row_key().alias("row"), "text")
+
+    def step(batch: pa.RecordBatch) -> dict:
+        return {"place": batch.column("place"), "row": batch.column("row"), "code": _codes(batch.column("text"))}
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return map_batches(keyed, step, f"place struct<none:boolean,doc_id:{kind},text_key:bigint>, row struct<a:bigint,b:bigint>, code bigint")
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Position of each code in the Gray sequence."""
     rank = codes.astype(np.uint64)
@@ -76,7 +91,7 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-class _Forest:
+class Forest:
     """Disjoint sets with whole-array relabelling."""
 
     def __init__(self, n: int) -> None:
@@ -121,7 +136,7 @@ def _one_label(label: np.ndarray, level: dict) -> np.ndarray:
 
 def link_codes(codes: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Label (smallest position in its set) of each of the distinct codes, given in Gray order."""
-    forest, levels = _Forest(len(codes)), _tree(codes)
+    forest, levels = Forest(len(codes)), _tree(codes)
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         height, a, b = stack.pop()
@@ -277,16 +292,25 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """`docs` with one row of every near-duplicate group: the one with the smallest doc_id.
+    """`docs` with one row of every near-duplicate group: the smallest by (doc_id, digest of the text), rows without an id last.
 
-    Rows without an id stay. Of several rows with the id that stays, one is kept. Only the ids that go are
-    moved to the documents; the documents are not shuffled while that list is within the broadcast bound.
+    Of rows that are equal in both, one is kept. Only keys of rows move, texts do not while the lists are within the broadcast bound.
     """
-    found = write_stage(near_duplicates(docs, distance), "near")
-    _, left = split_by_ids(docs, found.filter("doc_id <> component_id").select("doc_id"))
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    twice, once = split_by_ids(left, repeated.select("doc_id"))
-    return once.unionByName(twice.dropDuplicates(["doc_id"]))
+    rows = docs.select("doc_id", "text")
+    prints = write_stage(rows_with_codes(rows), "prints")
+    codes = write_stage(prints.groupBy("code").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("copies")), "codes")
+    nodes = components(near_links(codes.select("code"), distance)).withColumnRenamed("node", "code")
+    own = codes.join(nodes, "code", "left").withColumn("label", F.coalesce("label", "code"))
+    sets = write_stage(own.groupBy("label").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("members")), "sets")
+    classes = write_stage(join_counted(own, sets, ["label"], "members").select("code", "copies", "first"), "classes")
+    judged = write_stage(join_counted(prints, classes, ["code"], "copies").select("row", (F.col("place") == F.col("first")).alias("stays")), "judged")
+    left = match_rows(docs, judged.filter("NOT stays").select("row").distinct(), "left_anti")
+    twice = judged.filter("stays").groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row")
+    if twice.isEmpty():
+        return left
+    key, = fresh_names(docs, "_same")
+    again = match_rows(left, twice, "left_semi").withColumn(key, row_key()).dropDuplicates([key]).drop(key)
+    return match_rows(left, twice, "left_anti").unionByName(again)
 
 
 def hex_digits(code: str) -> F.Column:

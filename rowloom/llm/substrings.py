@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm import words as W
-from rowloom.llm.frames import join_counted
-from rowloom.session import join_bounded, stage_small, write_stage
+from rowloom.llm.frames import join_counted, match_rows, row_key
+from rowloom.session import write_stage
 
 WINDOW = 50
 GRAM = 25
@@ -224,21 +224,20 @@ def _covered(n_words: int, runs: list[dict] | None) -> np.ndarray:
 
 
 def _with_runs(docs: DataFrame) -> DataFrame:
-    """All columns of `docs` plus `_runs`: the repeated windows of each row.
+    """All columns of `docs` and, as the last one, the repeated windows of each row.
 
     The list of windows is written once; it is broadcast only within the size bound, else both sides are shuffled.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    found = (repeated_windows(keyed).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "mask")).alias("_runs"))
-             .withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}))
-    small, fits = stage_small(found, "removed")
-    return join_bounded(docs.withColumns({"_id": F.col("doc_id"), "_key": F.xxhash64("text")}), small, ["_id", "_key"], fits, "left").drop("_id", "_key")
+    found = repeated_windows(keyed).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "mask")).alias("windows"))
+    row = row_key("text_key")
+    return match_rows(docs, found.select(row.alias("row"), "windows"), "left", "windows")
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[dict] | None]]:
     """(text, runs) of each row."""
     column = batch.column("text").cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"")
-    return zip((t.as_buffer().to_pybytes() for t in column), batch.column("_runs").to_pylist(), strict=True)
+    return zip((t.as_buffer().to_pybytes() for t in column), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
@@ -257,8 +256,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
                                              ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    narrow = _with_runs(docs.select("doc_id", "text"))
-    return narrow.select("doc_id", "text", "_runs").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _with_runs(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def _cut(text: bytes, runs: list[dict]) -> bytes:
@@ -281,13 +279,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Rows of which no word is left go; rows that had no word stay.
     """
     with_runs = _with_runs(docs)
-    fields = with_runs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column("_runs").to_pylist()
+            runs = batch.column(batch.num_columns - 1).to_pylist()
             where = [i for i, r in enumerate(runs) if r]
-            batch = batch.drop_columns(["_runs"])
+            batch = batch.select(batch.schema.names[:-1])
             if where:
                 texts = batch.column("text").to_pylist()
                 for i in where:
@@ -297,5 +294,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array([not e for e in empty]))
             yield batch
 
-    kept = with_runs.mapInArrow(run, type(fields)([f for f in fields if f.name != "_runs"]))
+    kept = with_runs.mapInArrow(run, docs.schema)
     return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept

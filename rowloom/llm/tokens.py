@@ -23,8 +23,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.frames import join_counted, map_batches
-from rowloom.session import join_bounded, scratch_path, stage_small, write_stage
+from rowloom.llm.frames import join_counted, map_batches, match_rows, row_key
+from rowloom.session import scratch_path, write_stage
 
 LIMIT = 4096
 REMEMBERED = 1_000_000      # stretches a worker remembers
@@ -120,9 +120,8 @@ def token_counts(docs: DataFrame, model: bytes, cache: str | None = None) -> Dat
     contents = write_stage(contents.join(known, "content", "left"), "contents")
     # rows that are not encoded: their content is known, or another row stands for it
     spared = join_counted(keyed, contents, ["content"], "n").filter(F.col("known").isNotNull() | ~F.struct("doc_id", "text_key").eqNullSafe(F.col("first")))
-    spared, fits = stage_small(spared.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id"), F.col("text_key").alias("_key")).distinct(), "spared")
-    texts = docs.select(normalised().alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id"), text_key.alias("_key"))
-    misses = join_bounded(texts, spared, ["_id", "_key"], fits, "left_anti").select(F.unhex(F.sha2("text", 256)).alias("content"), "text")
+    misses = match_rows(docs.select("doc_id", "text"), spared.select(row_key("text_key").alias("row")).distinct(), "left_anti")
+    misses = misses.select(content.alias("content"), normalised().alias("text"))
 
     def step(batch: pa.RecordBatch) -> dict:
         count = counter_of(model).count

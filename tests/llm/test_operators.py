@@ -1,6 +1,7 @@
 """Operators of rowloom.llm against brute force, and their results on awkward input."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -17,6 +18,7 @@ import corpus_pipeline
 from rowloom.llm import decontaminate, frames, language, licenses, mixing, revisits, search, simhash, substrings, tokens, toxicity
 from rowloom.llm import words as W
 from rowloom.llm.oracle import SQL
+from rowloom import session
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -264,25 +266,155 @@ def test_revisits(spark):
     assert next(r for r in got if r.record_id == 3).headers == {"content-type": "text/html", "date": "3", "x": "old"}
 
 
+def plain_toxic(rows, labels):
+    """Ids that reach the threshold; counts and matches are made word by word."""
+    def starts(text):
+        folded = toxicity.fold(text or "")
+        return folded, [m.start() for m in re.finditer(r"[^\W_]+", folded)]
+
+    known = {}
+    for i, toxic in labels:
+        if i is not None and toxic is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            known[i] = max(known.get(i, 0), toxic)
+    learned = [(known[i], set(re.findall(r"[^\W_]+", toxicity.fold(t or "")))) for i, t in rows if i in known]
+    total = [sum(1 for k in known.values() if k == side) for side in (0, 1)]
+    count = {}
+    for toxic, words in learned:
+        for feature in {(w, True) for w in words} | {(w[:n], False) for w in words for n in toxicity.STEMS if len(w) > n}:
+            count.setdefault(feature, [0, 0])[toxic] += 1
+    weigh = lambda c: math.log((c[1] + 0.5) / (total[1] + 1)) - math.log((c[0] + 0.5) / (total[0] + 1))
+    entries = {f: weigh(c) for f, c in count.items() if c[1] >= toxicity.MIN_SUPPORT and weigh(c) >= toxicity.MIN_WEIGHT}
+    for word, weight in toxicity.LEXICON.items():
+        for ending in toxicity.ENDINGS:
+            entries[word + ending, True] = max(weight, entries.get((word + ending, True), 0))
+    exceptions = [toxicity.fold(p + e) for p in toxicity.EXCEPTIONS for e in ("", "s")]
+    found = set()
+    for i, text in rows:
+        folded, at = starts(text)
+        ends = lambda e: e == len(folded) or not folded[e].isalnum()
+        begins = [s for s in range(len(folded)) if folded[s].isalnum() and not (s and folded[s - 1].isalnum())]
+        spared = [(s, s + len(p)) for s in begins for p in exceptions if folded.startswith(p, s) and ends(s + len(p))]
+        weights = []
+        for s in begins:
+            word = re.match(r"\w*", folded[s:])[0]
+            own = [entries.get((word[:n], False), 0) for n in toxicity.STEMS if len(word) >= n]
+            own += [entries.get((word[:n], True), 0) for n in range(1, len(word) + 1) if ends(s + n)]
+            if any(own) and not any(a <= s < b for a, b in spared):
+                weights.append(max(own))
+        if weights:
+            costs = toxicity.TEXT_COST + toxicity.WORD_COST * len(at)
+            if 1 / (1 + math.exp((costs - sum(weights)) / toxicity.SLOPE)) >= toxicity.THRESHOLD:
+                found.add(i)
+    return found
+
+
+def plain_fingerprint(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i:i + 4]), 42) for i in range(max(1, len(words) - 3))]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(rows):
+    """Smallest id of the near-duplicate group of each row."""
+    codes = [plain_fingerprint(t) for _, t in rows]
+    label = brute_labels(codes)
+    least = {}
+    for (i, _), own in zip(rows, label, strict=True):
+        least[own] = min(least.get(own, i), i)
+    return set(least.values())
+
+
 def test_pipeline_stages(spark):
+    """Every stage against plain Python or SQL over its own input; run() gives the rows of the last stage."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r.doc_id: r.text for r in docs.collect()}
+    labels = [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").collect()]
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         if name != "mixing":
             assert out.columns == docs.columns
-        found = {r.doc_id: r.text for r in out.collect()}
-        assert set(found) <= set(rows), name
-        if name == "near_duplicates":
-            sets = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-            assert set(found) == set(sets.values())
-        elif name == "decontamination":
-            assert set(rows) - set(found) == {r.doc_id for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+        before = docs.toPandas()
+        rows = [(int(i), t) for i, t in before[["doc_id", "text"]].itertuples(index=False)]
+        after = out.toPandas()
+        found = dict(zip(after["doc_id"], after["text"], strict=True))
+        con = duckdb.connect()
+        con.execute("create view documents as select * from before")
+        for t in ("benchmark", "labels"):
+            con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+        if name == "toxicity":
+            gone = plain_toxic(rows, labels)
+            assert gone and set(found) == {i for i, _ in rows} - gone
+        elif name == "near_duplicates":
+            assert set(found) == plain_groups(rows) and len(found) < len(rows)
         elif name == "repeated_passages":
-            left = {r.doc_id: r.n_words - r.n_removed for r in substrings.dedup_digests(docs).collect()}
-            assert all(len(WORD.findall(t)) == left[i] for i, t in found.items())
-        docs, rows = out, found
-    assert rows
+            want = {i: h for i, h, n, gone in con.execute(f"select doc_id, kept_sha256, n_words, n_removed from ({SQL['op3_substring_dedup']})").fetchall() if n == 0 or gone < n}
+            assert {i: hashlib.sha256(" ".join(WORD.findall(t or "")).encode()).hexdigest() for i, t in found.items()} == want
+        elif name == "decontamination":
+            gone = {r[0] for r in con.execute(f"select doc_id from ({SQL['op7_decontamination']})").fetchall()}
+            assert gone and set(found) == {i for i, _ in rows} - gone
+        else:
+            want = con.execute(f"select doc_id, taken from ({SQL['op2_mix_sources']}) where taken > 0").fetchall()
+            assert sorted(zip(after["doc_id"], after["taken"], strict=True)) == sorted(want)
+            assert (after["copies"] * after["size"] == after["taken"]).all()
+        docs = out
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, out.collect()))
+
+
+INTERNAL = ["_id", "_key", "_runs", "_row", "_values", "_same", "_mix", "_listed", "mixed", "windows", "row", "place", "code", "text_key", "stays", "first", "label", "taken", "weight"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Documents may have columns that are named like the operators' own; ids may be absent or repeated."""
+    texts = [*AWKWARD, "you idiot moron scum", "w1 w2 w3 w4 w5", prose(2, 120) + " end"]
+    docs = frame(spark, texts, [*AWKWARD_IDS, 10, None, 12], [f"concat('{c}', doc_id) AS `{c}`" for c in INTERNAL])
+    for make in (lambda: toxicity.keep_civil(docs, ({}, {})), lambda: simhash.keep_one(docs), lambda: substrings.remove_repeats(docs),
+                 lambda: decontaminate.keep_clean(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))):
+        out = make()
+        assert out.columns == docs.columns
+        rows = [r.asDict() for r in out.collect()]
+        assert rows and all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in rows for c in INTERNAL)
+    labels = spark.createDataFrame([(4, 1, 0)], "doc_id bigint, quality int, toxic int")
+    mixed = [r.asDict() for r in mixing.mixed_documents(docs, labels).collect()]
+    assert mixed and all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in mixed for c in INTERNAL)
+
+
+def test_one_row_of_each_group_stays(spark, monkeypatch):
+    """Rows are told apart by id and text: absent, repeated and odd ids lose no group and leave no copy."""
+    texts = ["a b c d e"] * 5 + [None, "", "z y x w v", "z y x w v", "other words of a text", "other words of a text"]
+    ids = [5, 3, 3, None, 9, None, 7, None, None, 3, 3]
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr(frames, "stage_small", lambda df, name="small", n=bound: session.stage_small(df, name, n))
+        kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, texts, ids)).collect()), key=repr)
+        assert kept == sorted([(3, "a b c d e"), (7, ""), (None, "z y x w v"), (3, "other words of a text")], key=repr)
+
+
+def test_absent_ids_are_no_id(spark):
+    """A row without an id and a row whose text id looks like a mark for that are counted both."""
+    docs = spark.createDataFrame([("-", "same"), (None, "same"), ("a", "other")], "doc_id string, text string")
+    assert len(tokens.token_counts(docs, MODEL).collect()) == 3
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("Released under the BSD license.", "bsd"), ("under the terms of the GNU General Public License", "gpl"), ("Licensed under CC BY 4.0.", "cc-by"),
+    ("subject to the terms of the GNU General Public License", "gpl"), ("Licensed under the license, version 2.0", ""),
+    ("Released under the MIT license.", "mit"), ("under the terms of the GNU Lesser General Public License", "gpl,lgpl"),
+    ("subject to the terms of the Mozilla Public License, v. 2.0", "mpl"), ("Licensed under the Apache License, Version 2.0", "apache")])
+def test_licenses_are_told_apart(spark, text, labels):
+    assert licenses.scan_licenses(frame(spark, [text])).first().labels == labels
+
+
+def test_toxicity_is_graded(spark):
+    docs = frame(spark, ["idiots and morons are losers", "stupid " + "word " * 20_000, "one stupid remark " + prose(5, 150), "a trash can, two trash cans"])
+    scores = [r.score for r in sorted(toxicity.score_toxicity(docs, ({}, {})).collect(), key=lambda r: r.doc_id)]
+    assert scores[0] > 0.9 and scores[1] < 0.01 and scores[1] < scores[2] < 0.7 and scores[3] == 0
+
+
+def test_languages_that_open_with_digits_are_learned(spark):
+    french, german = "le chat dort sur la table et la souris danse", "der hund schläft unter dem tisch und die katze spielt"
+    rows = [(i, "1234567890 " * 200 + " ".join([french] * 20), "fr") for i in range(40)] + [(100 + i, " ".join([german] * 20), "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id // 100: r.lang_pred for r in language.classify_language(docs, language.learn_dictionaries(docs)).collect()} == {0: "fr", 1: "de"}
 
 
 def test_hot_keys_join_like_others(spark, monkeypatch):

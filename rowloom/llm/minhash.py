@@ -13,8 +13,9 @@ defaults. Before whole sets are compared, pairs are dropped by their sizes (exac
 LEAST_AGREEMENT of the components, more than five standard deviations below the threshold.
 
 Large groups: every key first compares its nodes with one centre only, the node that meets most others over all its keys (the original
-of a group of edited copies does). After linking what that finds, only keys that still hold several components are
-compared pair by pair, in blocks of bounded size, and only pairs whose signatures agree are handed on. No pair is capped or sampled.
+of a group of edited copies does). After linking what that finds, only keys that still hold several components are looked at, in blocks
+of bounded size: signatures tell which nodes have a partner there, whole sets of these are counted against one another as products of
+element matrices, and links that span what is found are handed on. No pair is capped or sampled, and pairs never become rows.
 
 Rows without an id belong to components but never name one; a row is kept if its id names its component (without an id: if no id does).
 """
@@ -25,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.frames import join_counted, map_batches
-from rowloom.llm.simhash import components
+from rowloom.llm.frames import bound_batches, join_counted, map_batches
+from rowloom.llm.simhash import Forest, components
 from rowloom.llm.words import column_bytes, gram_hashes, mix, segments, word_hashes, word_spans
 from rowloom.session import join_bounded, stage_small, write_stage
 
@@ -38,7 +40,9 @@ BANDS, ROWS = 32, 5
 COMPONENTS = BANDS * ROWS
 SIMILARITY = (17, 20)      # 0.85
 LEAST_AGREEMENT = 0.68
-BLOCK_NODES = 512          # nodes of one key that one comparison holds on each side
+BLOCK_NODES = 512          # nodes of one key that one comparison holds on each side, about, and
+BLOCK_ITEMS = 1_000_000    # items of their sets
+PRODUCT_ITEMS = 4096       # items that one product of matrices takes
 HOT_SET_ITEMS = 8_000_000  # hot sets are broadcast up to this many items together
 _EMPTY = np.uint32(0xFFFFFFFF)
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
@@ -212,42 +216,81 @@ def agreeing_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_batches(both.select("u", "v", "a", "b"), step, "u bigint, v bigint")
 
 
-def _compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components, fitting sizes and agreeing signatures inside each group of rows with equal (key, i, j), which come sorted."""
-    names, held = ("key", "i", "j"), None
-    over, under = SIMILARITY
-
-    def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        part = {c: rows[c].to_numpy() for c in (*names, "own", "node", "n", "label")}
-        sketch = _rows_of(rows["sketch"].combine_chunks())
-        change = np.ones(rows.num_rows, bool)
-        change[1:] = np.any([part[c][1:] != part[c][:-1] for c in names], axis=0)
-        first = np.flatnonzero(change)
-        for a, b in zip(first.tolist(), np.append(first[1:], rows.num_rows).tolist(), strict=True):
-            i, j = part["i"][a], part["j"][a]
-            left, right = (a + np.flatnonzero(part["own"][a:b] == k) for k in (i, j))
-            for at in left.tolist():
-                others = right[right > at] if i == j else right
-                n = part["n"][others]
-                own = part["n"][at]
-                others = others[(part["label"][others] != part["label"][at]) & (under * np.minimum(n, own) >= over * np.maximum(n, own))]
-                others = others[_agreeing(sketch[others], sketch[at][None, :])]
-                if len(others):
-                    node, near = part["node"][at], part["node"][others]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, node)), pa.array(np.maximum(near, node))], ["u", "v"])
-
+def _sorted_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """One table for each group of rows with equal values; rows come sorted by them."""
+    held = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = rows if held is None else pa.concat_tables([held, rows])
         if not rows.num_rows:
             continue
-        last = np.any([rows[c].to_numpy() != rows[c][-1].as_py() for c in names], axis=0)
-        whole = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-        if whole:
-            yield from emit(rows.slice(0, whole))
-        held = rows.slice(whole).combine_chunks()
+        change = np.any([np.diff(rows[c].to_numpy()) != 0 for c in names], axis=0)
+        first = np.concatenate(([0], np.flatnonzero(change) + 1)).tolist()
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            yield rows.slice(a, b - a)
+        held = rows.slice(first[-1]).combine_chunks()
     if held is not None and held.num_rows:
-        yield from emit(held)
+        yield held
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    own = rows["own"].to_numpy()
+    return tuple(np.flatnonzero(own == rows[c][0].as_py()) for c in ("i", "j"))
+
+
+def _fitting(rows: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs are of different components and have sizes that allow the similarity."""
+    (over, under), n, label = SIMILARITY, rows["n"].to_numpy(), rows["label"].to_numpy()
+    low, high = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
+    return (under * low >= over * high) & (label[left][:, None] != label[right][None, :])
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node) of the nodes that have a partner in their block whose signature agrees."""
+    for rows in _sorted_groups(batches, ("key", "i", "j")):
+        left, right = _sides(rows)
+        sketch, node = _rows_of(rows["sketch"].combine_chunks()), rows["node"].to_numpy()
+        found = np.zeros(rows.num_rows, bool)
+        fits = _fitting(rows, left, right)
+        for at, others in zip(left.tolist(), fits, strict=True):
+            near = right[others]
+            near = near[_agreeing(sketch[near], sketch[at][None, :])]
+            found[near] = True
+            found[at] |= len(near) > 0
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(found.sum()), rows["key"][0].as_py())), pa.array(node[found])], ["key", "node"])
+
+
+def _common(items: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets; an item that stands in one set only is left out first."""
+    _, item, times = np.unique(items, return_inverse=True, return_counts=True)
+    item, owner = item[times[item] > 1], owner[times[item] > 1]
+    _, item = np.unique(item, return_inverse=True)
+    order = np.argsort(item, kind="stable")
+    item, owner = item[order], owner[order]
+    common = np.zeros((count, count), np.float32)  # whole numbers up to 2^24 are exact
+    for low in range(0, int(item[-1]) + 1 if len(item) else 0, PRODUCT_ITEMS):
+        part = slice(*np.searchsorted(item, (low, low + PRODUCT_ITEMS)))
+        held = np.zeros((count, PRODUCT_ITEMS), np.float32)
+        held[owner[part], item[part] - low] = 1
+        common += held @ held.T
+    return common.astype(np.int64)
+
+
+def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): links that span what is similar enough inside each block, on whole sets."""
+    over, under = SIMILARITY
+    for rows in _sorted_groups(batches, ("key", "i", "j")):
+        left, right = _sides(rows)
+        sets = rows["hashes"].combine_chunks()
+        common = _common(sets.flatten().to_numpy(), pc.list_parent_indices(sets).to_numpy(), rows.num_rows)[np.ix_(left, right)]
+        n, node = rows["n"].to_numpy(), rows["node"].to_numpy()
+        x, y = np.nonzero(_fitting(rows, left, right) & ((over + under) * common >= over * np.add.outer(n[left], n[right])))
+        forest = Forest(rows.num_rows)
+        forest.join(left[x], right[y])
+        moved = np.flatnonzero(forest.label != np.arange(rows.num_rows))
+        if len(moved):
+            yield pa.RecordBatch.from_arrays([pa.array(node[forest.label[moved]]), pa.array(node[moved])], ["u", "v"])
 
 
 def centre_pairs(placed: DataFrame) -> DataFrame:
@@ -262,19 +305,38 @@ def centre_pairs(placed: DataFrame) -> DataFrame:
     return joined.filter(fits & (F.col("u") != F.col("node"))).select("u", F.col("node").alias("v")).distinct()
 
 
-def open_pairs(placed: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v): pairs of different components that share a key and whose sizes and signatures agree."""
+def _dealt(rows: DataFrame, keys: DataFrame, *more: str) -> DataFrame:
+    """Rows of (key, node, n, label) in blocks: every two blocks i <= j of a key meet once. `keys` has (key, m, items)."""
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
+    dealt = join_counted(rows, write_stage(keys, "keys"), ["key"], "m").withColumn("parts", parts)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j")))
+    return dealt.select("key", "node", "n", "label", "own", F.explode(blocks).alias("p")).select("key", "p.i", "p.j", "own", "node", "n", "label")
+
+
+def _in_order(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def block_links(placed: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v): links between different components that share a key."""
+    bound_batches(docs.sparkSession)
     named = placed.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         "key", "node", "n", F.coalesce("label", "node").alias("label"))
     named = write_stage(named, "labelled")
-    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
-    several = write_stage(several.filter("low < high").select("key", "m"), "several")
-    dealt = join_counted(named, several, ["key"], "m").join(nodes.select("node", "sketch"), "node")
-    dealt = dealt.withColumn("parts", F.ceil(F.col("m") / BLOCK_NODES).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, "own").alias("i"), F.greatest(x, "own").alias("j")))
-    dealt = dealt.select("key", "node", "n", "label", "sketch", "own", F.explode(blocks).alias("p"))
-    dealt = dealt.select("key", "p.i", "p.j", "own", "node", "n", "label", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_compare_sorted, "u bigint, v bigint").distinct()
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"), F.min("label").alias("low"), F.max("label").alias("high"))
+        return sums.filter("low < high").select("key", "m", "items")
+
+    dealt = _dealt(named, mixed(named)).join(nodes.select("node", "sketch"), "node")
+    met = _in_order(dealt).mapInArrow(_with_partner, "key bigint, node bigint").distinct()
+    met = write_stage(met.join(named, ["key", "node"]), "met")
+    if met.isEmpty():
+        return met.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    sets = listed_sets(docs, met.select("node").distinct().join(nodes.select("node", "code", "code2", "text_key"), "node"))
+    dealt = _dealt(met, mixed(met)).join(write_stage(sets, "met_sets"), "node")
+    return _in_order(dealt).mapInArrow(_link_blocks, "u bigint, v bigint").distinct()
 
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -285,14 +347,11 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]
     first = write_stage(centre_pairs(placed), "star")
     links = write_stage(verified(write_stage(agreeing_pairs(first, nodes), "star_near"), docs, nodes), "links")
     labels = components(links)
-    rest = open_pairs(placed, labels, nodes)
-    tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = write_stage(rest.join(tried, ["u", "v"], "left_anti"), "rest")
-    if rest.isEmpty():
+    more = write_stage(block_links(placed, labels, nodes, docs), "more_links")
+    if more.isEmpty():
         return links, labels
-    more = write_stage(verified(rest, docs, nodes), "more_links")
     links = links.unionByName(more)
-    return links, labels if more.isEmpty() else components(links)
+    return links, components(links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

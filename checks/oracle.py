@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import CONDITIONS, SAMPLE_CAP, TOP_K
+from checks.queries import CONDITIONS, FOUND, RETRIEVED, SAMPLE_CAP, TOP_K
 from checks.star import GATE_SPECS, LINEITEM_COLUMNS, SPECS
 
 DOUBLES = {"c_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value",
@@ -122,6 +122,11 @@ def matched(queries: list[str] | None = None, single: bool = False) -> str:
     return " UNION ALL ".join(parts)
 
 
+BIN_CELLS = 4096
+BINS = (f"{CELLS}, placed AS (SELECT field, num::float AS num, (row_number() OVER (PARTITION BY field ORDER BY num::float, idx) - 1) // {BIN_CELLS} AS bin FROM nums), "
+        "bins AS (SELECT field, bin, count(*) AS n, min(num) AS lo, max(num) AS hi FROM placed GROUP BY 1, 2)")
+
+
 # --- query workload -----------------------------------------------------------------------------
 
 QUOTAS = [("numeric", 1, 10), ("numeric", 2, 10), ("numeric", 3, 10), ("categorical", 1, 10), ("categorical", 2, 10),
@@ -359,6 +364,16 @@ def sql() -> dict[str, str]:
         "cond_matches": f"WITH {CORPUS} SELECT query_id, pos, count(*) AS n_rows, sum(idx)::bigint AS sum_idx FROM ({matched(single=True)}) GROUP BY 1, 2",
         "match_division": f"WITH {CORPUS} {matched()}",
         "match_anchor": f"WITH {CORPUS} {matched()}",
+        "match_bitmaps": f"WITH {CORPUS} {matched()}",
+        "conjunction_counts": w + "SELECT query_id, num_matches FROM accepted",
+        "num_blocks": f"WITH {BINS} SELECT field AS column, bin, n, round(lo::double, 4) AS lo, round(hi::double, 4) AS hi FROM bins",
+        "range_counts": f"WITH {BINS}, cuts AS (SELECT field, bin, unnest([{{'cut': 'hi', 'at': hi}}, {{'cut': 'mean', 'at': ((lo::double + hi::double) / 2)::float}}]) AS c FROM bins), "
+                        "both_sides AS (SELECT field, bin, c.cut AS cut, count(*) FILTER (WHERE num::float > c.at) AS above, count(*) FILTER (WHERE num::float < c.at) AS below FROM cuts JOIN nums USING (field) GROUP BY 1, 2, 3) "
+                        "SELECT field || '|' || bin || '|' || cut AS query_id, unnest([1, 2])::bigint AS pos, unnest([above, below]) AS n_rows FROM both_sides",
+        "hits_rel_by_condition": w + f", numbers AS (SELECT query_id, unnest(range(1, {RETRIEVED + 1})) AS rank FROM accepted), "
+                        f"shown AS (SELECT query_id, rank, {integer('md5(query_id || chr(124) || rank)')} % (SELECT count(*) FROM corpus) AS idx FROM numbers "
+                        f"UNION ALL SELECT query_id, place + {RETRIEVED}, idx FROM (SELECT query_id, idx, row_number() OVER (PARTITION BY query_id ORDER BY idx) AS place FROM qrels) WHERE place <= {FOUND}) "
+                        "SELECT s.query_id, s.rank, s.idx, (q.idx IS NOT NULL)::bigint AS rel FROM shown s LEFT JOIN qrels q ON q.query_id = s.query_id AND q.idx = s.idx",
         "match_counts": f"WITH {CORPUS} SELECT query_id, count(*) AS num_matches FROM ({matched()}) GROUP BY 1 HAVING count(*) >= 5",
         "query_text": f"WITH {CELLS}, s AS (SELECT field, count(*) AS n, round(min(num::float)::double, 2) AS lo, round(max(num::float)::double, 2) AS hi FROM nums GROUP BY 1) "
                       f"SELECT field AS column, 'find records where ' || field || ' greater than ' || {short.format('lo')} || ' and ' || field || ' less than ' || {short.format('hi')} || ' and rows is ' || n::varchar AS query_text FROM s",

@@ -15,7 +15,7 @@ from rowloom.functions import values as V
 from rowloom.functions import vectors
 from rowloom.functions.draws import draw_int
 from rowloom.operators import cells as C
-from rowloom.operators import classify, encode, match, metrics, samples, search, workload
+from rowloom.operators import classify, encode, index, match, metrics, samples, search, workload
 from rowloom.plans import build, evaluate
 from rowloom.session import scratch_path, write_stage
 from rowloom.sources import catalog, store
@@ -454,6 +454,47 @@ def match_anchor(spark: SparkSession, sf: str) -> DataFrame:
     return match.match_anchor(corpus(spark, sf), conditions(spark))
 
 
+@shared
+def block_index(spark: SparkSession, sf: str) -> DataFrame:
+    return write_stage(index.block_index(corpus(spark, sf)), "block_index")
+
+
+def match_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    conds = match.usable_conditions(match.settled_conditions(corpus(spark, sf), conditions(spark)))
+    return index.match_bitmaps(block_index(spark, sf), conds)
+
+
+def conjunction_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of every query of the workload, counted without listing them."""
+    return index.conjunction_counts(block_index(spark, sf), made_queries(spark, sf)[1])
+
+
+@shared
+def value_order(spark: SparkSession, sf: str) -> DataFrame:
+    return index.value_order(corpus(spark, sf))
+
+
+@shared
+def bins(spark: SparkSession, sf: str) -> DataFrame:
+    return write_stage(index.num_blocks(value_order(spark, sf)), "bins")
+
+
+def num_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return bins(spark, sf).select("column", "bin", "n", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("lo", "hi")])
+
+
+def range_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells above and below the greatest value of every bin, and above and below each of its ends' mean."""
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+    cuts = F.explode(F.array(*[F.struct(F.lit(name).alias("cut"), F.lit(op).alias("operator"), value.alias("num"))
+                               for name, value in (("hi", hi), ("mean", (lo + hi) / 2)) for op in (">", "<")])).alias("c")
+    conds = bins(spark, sf).select("column", "bin", cuts).select(
+        F.concat_ws("|", "column", "bin", "c.cut").alias("query_id"), F.when(F.col("c.operator") == ">", 1).otherwise(2).alias("pos"),
+        F.col("column").alias("field"), F.lit("numeric").alias("type"), "c.operator", "c.num", F.lit(None).cast("string").alias("str"))
+    made = index.range_counts(value_order(spark, sf), bins(spark, sf), conds)
+    return made.withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def match_counts(spark: SparkSession, sf: str) -> DataFrame:
     return match.match_counts(match.match_anchor(corpus(spark, sf), conditions(spark)))
 
@@ -670,6 +711,22 @@ def hits_rel(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("query_id", *[F.col(c).cast("bigint").alias(c) for c in ("rank", "idx", "rel")])
 
 
+RETRIEVED, FOUND = 50, 5   # rows drawn for each query, and rows of its matches behind them
+
+
+def hits_rel_by_condition(spark: SparkSession, sf: str) -> DataFrame:
+    """Drawn rows and some matches of every generated query, judged by its conditions."""
+    queries, conds = made_queries(spark, sf)
+    size = corpus(spark, sf).count()
+    drawn = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(RETRIEVED))).alias("rank"))
+    digest = F.md5(F.concat_ws("|", "query_id", "rank"))
+    drawn = drawn.withColumn("idx", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % size)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("idx"))
+    found = made_qrels(spark, sf).withColumn("rank", place + RETRIEVED).filter(F.col("rank") <= RETRIEVED + FOUND).select("query_id", "rank", "idx")
+    made = metrics.hits_rel_by_condition(drawn.unionByName(found), corpus(spark, sf), conds)
+    return made.select("query_id", *[F.col(c).cast("bigint").alias(c) for c in ("rank", "idx", "rel")])
+
+
 @shared
 def per_query(spark: SparkSession, sf: str) -> DataFrame:
     judged = metrics.hits_rel(neighbours(spark, sf), vector_qrels(spark, sf))
@@ -838,4 +895,6 @@ QUERIES: dict[str, Query] = {
     "classification_eval": classification_eval, "scan_missing_ints": scan_missing_ints, "topk_ivf_checked": topk_ivf_checked,
     "ivf_assign_counts": ivf_assign_counts, "encode_text_counts": encode_text_counts, "clf_fit_counts": clf_fit_counts,
     "classification_eval_counts": classification_eval_counts,
+    "match_bitmaps": match_bitmaps, "conjunction_counts": conjunction_counts, "num_blocks": num_blocks, "range_counts": range_counts,
+    "hits_rel_by_condition": hits_rel_by_condition,
 }

@@ -1,7 +1,7 @@
 """Which corpus rows satisfy a conjunction of conditions.
 
-Conditions are rows (query_id, pos, field, type, operator, num, str). Three forms give the same
-answer: single conditions, relational division over the cell table, and the anchor form. The anchor
+Conditions are rows (query_id, pos, field, type, operator, num, str). Four forms give the same
+answer: single conditions, relational division over their matches, posting bitmaps per block of rows (`index`), and the anchor form. The anchor
 form is the one for large corpora: every query meets the corpus on one equality (or, failing that,
 one range) and its other conditions are checked on the row itself, so no intermediate match set is
 ever shuffled.
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import values as V
-from rowloom.operators.cells import categorical_cells, cells, numeric_cells
+from rowloom.operators.cells import categorical_cells, numeric_cells
+from rowloom.operators.index import block_index, match_bitmaps
 from rowloom.session import join_bounded, join_small, stage_small
 
 CONDITION_SCHEMA = T.StructType([
@@ -47,7 +48,10 @@ def settled_conditions(corpus: DataFrame, conditions: DataFrame) -> DataFrame:
     unknown = (F.col("type") == "numeric") & ~F.coalesce(F.col("operator").isin(*V.OPERATOR_WORDS), F.lit(False))
     if conditions.filter(unknown).isEmpty():
         return conditions
-    columns = numeric_cells(corpus).select(F.col("column").alias("field")).distinct()
+    asked = conditions.filter(unknown).select("field").distinct()
+    present = F.map_keys(F.map_filter("nums", lambda _, v: v.isNotNull()))
+    named = corpus.select(F.explode(present).alias("field"))
+    columns = join_small(named, asked, ["field"], "left_semi").distinct()
     known = conditions.filter(~unknown)
     never = join_small(conditions.filter(unknown), columns, ["field"], "left_anti").withColumns(
         {"operator": F.lit("=="), "num": F.lit(None).cast("double")})
@@ -56,20 +60,24 @@ def settled_conditions(corpus: DataFrame, conditions: DataFrame) -> DataFrame:
 
 def condition_matches(corpus: DataFrame, conditions: DataFrame) -> DataFrame:
     """(query_id, pos, idx): rows satisfying each single condition."""
-    conds = usable_conditions(settled_conditions(corpus, conditions)).select(
-        "query_id", "pos", F.col("field").alias("column"), F.col("type").alias("kind"), "operator",
-        F.col("num").alias("t_num"), F.col("str").alias("t_str"))
-    holds = F.when(F.col("kind") == "numeric", V.numeric_holds(F.col("num"), F.col("operator"), F.col("t_num"))) \
-        .otherwise(F.col("str") == F.col("t_str"))
-    joined = join_small(cells(corpus), conds, ["column", "kind"], spread="idx", residual=holds)
-    return joined.select("query_id", "pos", "idx")
+    conds = usable_conditions(settled_conditions(corpus, conditions))
+    return single_matches(block_index(corpus), conds)
+
+
+def single_matches(index: DataFrame, conds: DataFrame) -> DataFrame:
+    """(query_id, pos, idx) from a block index: every condition is a query of its own."""
+    key = F.concat(F.col("pos").cast("string"), F.lit("|"), F.col("query_id"))
+    found = match_bitmaps(index, conds.withColumn("query_id", key))
+    return found.select(F.expr("substring(query_id, locate('|', query_id) + 1)").alias("query_id"),
+                        F.expr("cast(substring(query_id, 1, locate('|', query_id) - 1) as int)").alias("pos"), "idx")
 
 
 def match_division(corpus: DataFrame, conditions: DataFrame) -> DataFrame:
     """(query_id, idx) by relational division: rows found by all conditions of a query."""
     conditions = settled_conditions(corpus, conditions)
-    found = condition_matches(corpus, conditions).groupBy("query_id", "idx").agg(F.count(F.lit(1)).alias("_hits"))
-    needed = usable_conditions(conditions).groupBy("query_id").agg(F.count(F.lit(1)).alias("_needed"))
+    conditions = usable_conditions(conditions)
+    found = single_matches(block_index(corpus), conditions).groupBy("query_id", "idx").agg(F.count(F.lit(1)).alias("_hits"))
+    needed = conditions.groupBy("query_id").agg(F.count(F.lit(1)).alias("_needed"))
     return join_small(found, needed, ["query_id"], residual=F.col("_hits") == F.col("_needed")).select("query_id", "idx")
 
 
@@ -100,6 +108,11 @@ def _slot_holds(i: int) -> Column:
     return F.col(f"f{i}").isNull() | F.coalesce(held, F.lit(False))
 
 
+def row_holds(width: int, first: int = 0) -> Column:
+    """Does a row with the conditions of a query side by side satisfy those from `first` on?"""
+    return reduce(lambda a, b: a & b, [_slot_holds(i) for i in range(first, width)], F.lit(True))
+
+
 def condition_width(conditions: DataFrame) -> int:
     """Largest number of conditions of any query."""
     per_query = usable_conditions(conditions).groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -118,7 +131,7 @@ def match_anchor(corpus: DataFrame, conditions: DataFrame, width: int | None = N
     if width == 0:
         return corpus.select(F.lit(None).cast("string").alias("query_id"), "idx").limit(0)
     queries, fits = stage_small(anchored(conditions, width), "anchored")
-    others = reduce(lambda a, b: a & b, [_slot_holds(i) for i in range(1, width)], F.lit(True))
+    others = row_holds(width, 1)
 
     by_category = queries.filter(F.col("y0") == "categorical")
     by_category = by_category.withColumn("column", F.col("f0")).withColumn("str", F.col("s0"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.vectors import discount, ideal_gain
+from rowloom.operators.match import anchored, condition_width, row_holds, settled_conditions, usable_conditions
 from rowloom.session import join_small
 
 TOP_K = (1, 5, 10, 20, 50, 100)
@@ -26,6 +27,21 @@ def hits_rel(hits: DataFrame, qrels: DataFrame) -> DataFrame:
     return join_small(hits, found, ["query_id", "idx"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
+def hits_rel_by_condition(hits: DataFrame, corpus: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Hits with `rel`, 1 when the row itself satisfies all conditions of its query; no table of judgements is needed.
+
+    Only retrieved rows of the corpus are looked at. A row that very many queries retrieve is spread over tasks if it is not broadcast.
+    """
+    conditions = usable_conditions(settled_conditions(corpus, conditions))
+    width = condition_width(conditions)
+    if width == 0:
+        return hits.withColumn("rel", F.lit(0))
+    rows = join_small(corpus.select("idx", "nums", "cats"), hits.select("idx").distinct(), ["idx"], "left_semi")
+    there = join_small(hits.select("query_id", "idx").distinct(), rows, ["idx"], spread="query_id")
+    held = join_small(there, anchored(conditions, width), ["query_id"]).filter(row_holds(width)).select("query_id", "idx")
+    return join_small(hits, held.withColumn("rel", F.lit(1)), ["query_id", "idx"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+
+
 def judged_counts(qrels: DataFrame) -> DataFrame:
     """(query_id, num_matches): distinct relevant rows of each query."""
     distinct = qrels.select("query_id", "idx").distinct()
@@ -35,8 +51,8 @@ def judged_counts(qrels: DataFrame) -> DataFrame:
 def per_query_metrics(judged: DataFrame, queries: DataFrame, top_k: Sequence[int] = TOP_K) -> DataFrame:
     """(query_id, query_type, num_conditions, k, recall, precision, ndcg, mrr, map).
 
-    `judged` are the hits with `rel`; `queries` carry num_matches, and those without any relevant row
-    are left out. A query whose relevant rows were not retrieved scores 0. A query has at most max(k)
+    `judged` are the hits with `rel`; `queries` carry num_matches, which is taken as it is (`compute_retrieval_metrics` counts it),
+    and those without any relevant row are left out. A query whose relevant rows were not retrieved scores 0. A query has at most max(k)
     hits, which bounds its window.
     """
     order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -18,7 +18,8 @@ from rowloom.config import RetrievalConfig
 from rowloom.functions import values as V
 from rowloom.functions.draws import draw_below, draw_int, draw_unit, seed_hash
 from rowloom.operators.cells import pool_tables
-from rowloom.operators.match import CONDITION_SCHEMA, match_anchor, match_counts, with_row_counts
+from rowloom.operators.index import block_index, conjunction_counts
+from rowloom.operators.match import CONDITION_SCHEMA
 from rowloom.session import join_small, stage_small, write_stage
 
 QUERY_TYPES = ["numeric", "categorical", "mixed"]
@@ -162,12 +163,13 @@ def _next_range(target: int, done: int, accepted: int) -> int:
 def build_queries(corpus: DataFrame, config: RetrievalConfig = RetrievalConfig(), seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(queries, conditions) of the accepted attempts.
 
-    Runs rounds of attempts until every quota is filled or its budget is spent. The driver sees one
+    The block index of the corpus is written once; a round reads it once, and the rows its attempts draw. Runs rounds of attempts until every quota is filled or its budget is spent. The driver sees one
     count per quota and round, nothing else.
     """
     spark = corpus.sparkSession
     tables, _ = stage_small(pool_tables(corpus), "pool_tables")
     blocks, _ = stage_small(pool_blocks(tables), "pool_blocks")
+    index = write_stage(block_index(corpus), "block_index")
     pools = blocks.groupBy("query_type").agg(F.max("pool_end").alias("pool_rows"))
     pool_rows = {r["query_type"]: r["pool_rows"] for r in pools.collect()}
     quotas = {(t, n): target for t, n, target in quota_rows(config) if t in pool_rows and target > 0}
@@ -188,8 +190,7 @@ def build_queries(corpus: DataFrame, config: RetrievalConfig = RetrievalConfig()
             done[t, n] = last
         if conds.isEmpty():
             continue
-        conds = write_stage(with_row_counts(corpus, conds), "counted")
-        rounds.append(write_stage(accepted_conditions(corpus, conds, config), "found"))
+        rounds.append(write_stage(accepted_conditions(index, conds, config), "found"))
         per_quota = rounds[-1].filter(F.col("pos") == 1).groupBy("query_type", "num_conditions").count().collect()
         for r in per_quota:
             accepted[r["query_type"], r["num_conditions"]] += r["count"]
@@ -198,20 +199,20 @@ def build_queries(corpus: DataFrame, config: RetrievalConfig = RetrievalConfig()
     return number_queries(reduce(DataFrame.unionByName, rounds), quotas, config.numeric_precision)
 
 
-def accepted_conditions(corpus: DataFrame, conds: DataFrame, config: RetrievalConfig) -> DataFrame:
-    """Conditions of the candidates that match enough rows, with `num_matches`.
+def accepted_conditions(index: DataFrame, conds: DataFrame, config: RetrievalConfig) -> DataFrame:
+    """Conditions of the candidates that match enough rows, with `num_matches`, and `n_rows` of every equality (null for ranges).
 
-    A single equality is already counted, and a candidate is out if one of its equalities alone is too
-    rare; only the rest is matched as a whole.
+    Candidates and their distinct equalities are counted in one scan of the block index.
     """
-    rarest = F.min("n_rows").over(Window.partitionBy("query_id"))
-    viable = conds.withColumn("_rarest", rarest).filter(
-        F.coalesce(F.col("_rarest") >= config.min_matches, F.lit(True))).drop("_rarest")
-    counted = (F.col("num_conditions") == 1) & F.col("n_rows").isNotNull()
-    single = viable.filter(counted).withColumn("num_matches", F.col("n_rows"))
-    others = viable.filter(~counted)
-    counts = match_counts(match_anchor(corpus, others, config.max_conditions), config.min_matches)
-    return single.unionByName(join_small(others, counts, ["query_id"]))
+    equal = (F.col("type") == "categorical") | (F.col("operator") == "==")
+    parts = ["field", "type", "operator", "num", "str"]
+    single = F.concat(F.lit("="), F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts])))
+    keyed = conds.withColumn("_single", F.when(equal, single))
+    singles = keyed.filter(equal).dropDuplicates(["_single"]).select(F.col("_single").alias("query_id"), *parts)
+    counts = write_stage(conjunction_counts(index, conds.select("query_id", *parts).unionByName(singles)), "counts")
+    found = join_small(keyed, counts.filter(F.col("num_matches") >= config.min_matches), ["query_id"])
+    rows = counts.select(F.col("query_id").alias("_single"), F.col("num_matches").alias("n_rows"))
+    return join_small(found, rows, ["_single"], "left").drop("_single")
 
 
 def number_queries(found: DataFrame, quotas: dict[tuple[str, int], int], precision: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -7,15 +7,18 @@ to the canonical sample: text, label, identity, and two maps with the numeric an
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import values as V
+from rowloom.session import write_stage
 
 INT_TEXT = r"^\s*[+-]?\d+\s*$"
 FLOAT_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|Inf|INF|infinity|Infinity)\s*$"
@@ -66,19 +69,104 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
-def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Does a quoted cell of the CSV contain a line break? True if some line has an unpaired quote."""
+def split_quotes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, quotes, broken): quotes in each split of a CSV, and whether a record of it spans lines (a line has an unpaired quote)."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    return _lines(spark, path).groupBy("file", "block").agg(F.sum(quotes).alias("quotes"), F.bool_or(quotes % 2 == 1).alias("broken"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+class _Records:
+    """Puts the lines of one split together to records: a line starts a record if an even number of quotes stands before it."""
+
+    def __init__(self, file: str, block: int, odd: bool) -> None:
+        self.file, self.block, self.odd = file, block, odd
+        self.first = block == 0
+        self.lines: list[str] = []
+        self.kind = CONTINUED if odd else WHOLE
+        self.made: list[tuple] = []
+
+    def take(self, line: str, quotes: int) -> None:
+        self.lines.append(line)
+        self.odd ^= quotes % 2 == 1
+        if not self.odd:
+            self._emit(self.kind)
+
+    def _emit(self, kind: int) -> None:
+        self.made.append((self.file, self.block, kind, self.first and kind != CONTINUED, "\n".join(self.lines)))
+        self.first &= kind == CONTINUED
+        self.lines, self.kind = [], WHOLE
+
+    def end(self) -> None:
+        """What is open at the end of the split goes on in the next one."""
+        if self.lines:
+            self._emit(OPENED if self.kind == WHOLE else CONTINUED)
+
+
+WHOLE, CONTINUED, OPENED = 0, 1, 2  # a whole record, a piece that goes on from the split before, a piece that starts a record
+RECORDS = "file string, block bigint, kind int, first boolean, value string"
+
+
+def csv_records(spark: SparkSession, path: str, splits: DataFrame) -> DataFrame:
+    """(file, first, value): records of a CSV as text, however many lines they span; `first` marks the first one of a file.
+
+    The quotes before each split are a prefix sum over the splits of its file, so every split is read on its own; the few
+    pieces of records that lie across splits are put together afterwards. `splits` comes from `split_quotes`.
+    """
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begin = splits.select("file", "block", (F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2 == 1).alias("odd"))
+    lines = _lines(spark, path).join(F.broadcast(begin), ["file", "block"])  # one row for each split; lines stay in their order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+
+        def made(done: bool) -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                if done:
+                    now.end()
+                if now.made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*now.made, strict=True), types, strict=True)], names)
+                    now.made = []
+
+        names, types = ["file", "block", "kind", "first", "value"], [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
+        for batch in batches:
+            quotes = pc.count_substring(batch.column("value"), '"').to_pylist()
+            for file, block, line, odd, n in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "value", "odd")), quotes, strict=True):
+                if now is None or (file, block) != (now.file, now.block):
+                    yield from made(True)
+                    now = _Records(file, block, odd)
+                now.take(line, n)
+            yield from made(False)
+        yield from made(True)
+
+    found = write_stage(lines.mapInArrow(run, RECORDS), "records")
+    order = Window.partitionBy("file").orderBy("block", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = found.filter(F.col("kind") != WHOLE).withColumn("record", F.sum((F.col("kind") == OPENED).cast("int")).over(order))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "kind", "value"))), lambda p: p["value"]), "\n")
+    stitched = pieces.groupBy("file", "record").agg(F.bool_or("first").alias("first"), joined.alias("value"))
+    return found.filter(F.col("kind") == WHOLE).select("file", "first", "value").unionByName(stitched.select("file", "first", "value"))
 
 
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with missing-cell texts as null and column types inferred from all remaining cells.
 
-    A file is read whole by one task only if its records span lines; otherwise it is split.
+    Files are split over tasks, also where records span lines. Quotes are paired, as CSV writers make them.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).option("escape", '"') \
-        .option("multiLine", spans_lines(spark, path)).csv(path)
+    reader = spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+    splits = write_stage(split_quotes(spark, path), "splits")
+    if splits.filter("broken").isEmpty():
+        raw = reader.csv(path)
+    else:
+        names = [c.removesuffix("\r") for c in reader.option("multiLine", True).csv(path).columns]
+        fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        records = csv_records(spark, path, splits).filter("NOT first")
+        text = F.regexp_replace("value", "\r$", "")
+        parsed = F.from_csv(text, fields.simpleString()[7:-1].replace(":", " "), {"escape": '"', "multiLine": "true"})
+        raw = records.filter(text != "").select(parsed.alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
     raw = raw.select(*[V.without_na_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     return cast_inferred(raw)
 

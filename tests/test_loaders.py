@@ -1,12 +1,15 @@
 """Loaders, sinks and metrics on input that is easily lost or counted twice."""
 
+import csv
+import io
+
 import pytest
 
 from rowloom.operators.metrics import compute_retrieval_metrics, hits_rel, judged_counts
 from rowloom.operators.search import topk_ivf, train_centroids
 from rowloom.plans.evaluate import evaluate
 from rowloom.sources import store
-from rowloom.sources.tables import row_digest
+from rowloom.sources.tables import row_digest, scan_csv, split_quotes
 
 JUDGED = "query_id string, idx bigint"
 HITS = "query_id string, rank int, idx bigint"
@@ -36,6 +39,32 @@ def test_dataset_names_stay_text(spark, tmp_path):
     assert store.load_splits(spark, str(tmp_path), datasets=["007"], split="train").count() == 4
 
 
+CSV = ('id,"te\nxt",n\r\n1,"a ""b"", c",7\r\n2,"line\none\r\n\n""two""",8\r\n3,plain,9\r\n4,"",10\r\n'
+       '5,"\n",11\r\n\r\n6,"ends, ""here""\n",12\r\n7,"x\ny\nz",13')
+
+
+@pytest.mark.parametrize("size", [7, 11, 29, 1000])
+def test_records_that_span_lines_are_read_from_any_split(spark, tmp_path, size):
+    """Splits of few bytes begin at every place: inside cells, between doubled quotes, at line breaks. Each is read by a task of its own."""
+    (tmp_path / "t.csv").write_bytes(CSV.encode())
+    (tmp_path / "u.csv").write_bytes(CSV.replace("plain", "other").encode())
+    settings = {"spark.sql.files.maxPartitionBytes": f"{size}b", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert size == 1000 or split_quotes(spark, str(tmp_path)).count() > 2
+        rows = [tuple(r) for r in scan_csv(spark, str(tmp_path)).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    parsed = [r for r in csv.reader(io.StringIO(CSV, newline="")) if r]
+    want = [(int(a), V, int(n)) for a, V, n in parsed[1:]]
+    want += [(a, "other" if t == "plain" else t, n) for a, t, n in want]
+    assert sorted((a, t or "", n) for a, t, n in rows) == sorted(want)
+    assert scan_csv(spark, str(tmp_path)).columns == ["id", "te\nxt", "n"]
+
+
 def test_broken_line_is_an_error(spark, tmp_path):
     folder = tmp_path / "retrieval"
     folder.mkdir()

@@ -394,6 +394,7 @@ def sql() -> dict[str, str]:
         "ivf_params": f"WITH {RAW}, n AS (SELECT dataset_key, count(*) AS n_rows, greatest(least(floor(sqrt(count(*)))::bigint, 4096), 1) AS nlist FROM raw GROUP BY 1) SELECT *, least(greatest(8, least(nlist // 5, 128)), nlist) AS nprobe FROM n",
         "topk_flat": f"WITH {OTHERS} SELECT query_id, rank, idx, round(score, 6) AS score FROM hits",
         "topk_ivf_all_clusters": f"WITH {ALL_PAIRS} SELECT query_id, rank, idx, round(score, 6) AS score FROM hits WHERE rank <= 10",
+        "topk_ivf_exact": f"WITH {ALL_PAIRS} SELECT query_id, rank, idx, round(score, 6) AS score FROM hits WHERE rank <= 10",
         "hits_rel": f"WITH {OTHERS} SELECT query_id, rank, idx, (q_label = c_label)::bigint AS rel FROM hits",
         "retrieval_metrics": f"WITH {per_query()} SELECT query_id, k::bigint AS k, " + ", ".join(f"round({m}, 6) AS {m}" for m in ("recall", "precision", "ndcg", "mrr", "map")) + " FROM per_query",
         "avg_precision": f"WITH {per_query()} SELECT query_id, query_type, k::bigint AS k, round(map, 6) AS avg_precision FROM per_query",

@@ -1,12 +1,15 @@
 """Exact and clustered inner-product top-k search.
 
-Both sides are cut into blocks of bounded size. A cell is one pair of blocks; a task multiplies the
-two matrices and keeps k rows per query, and a ranked window merges the cells. Clustered search only
-differs in which cells a query is sent to, and a large cluster is cut into several blocks.
+Both sides are cut into blocks of bounded size, queries also by the rows a task may give back. A cell is one pair of blocks; a task
+multiplies the two matrices and keeps k rows per query. Cells are merged in a tree of ranked windows, so no window holds more than a
+few of them. Clustered search only differs in which cells a query is sent to, and a large cluster is cut into several blocks. With bounds on
+what a cluster can hold, a query goes on to those clusters that may still improve its k best.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -20,6 +23,8 @@ from rowloom.session import join_small, write_stage
 BLOCK_BYTES = 128 * 2**20
 MIN_BLOCK_ROWS = 128
 SCORE_CELLS = 4_000_000
+TASK_HITS = 4_000_000    # rows that a task gives back, about
+MERGED_CELLS = 16        # cells of one query that one window merges
 SCORE_DECIMALS = 10
 INDEX_TYPES = ("flat", "ivf")
 _CELL = ["_cluster", "_part", "_qblock"]
@@ -29,15 +34,16 @@ def _rows_per_block(dim: int) -> int:
     return max(1, BLOCK_BYTES // (4 * max(dim, 1)))
 
 
-def _query_blocks(n_queries: int, dim: int, parts: int, cores: int) -> int:
-    """Blocks of queries: bounded by bytes, and enough to occupy all cores when the corpus has few blocks.
+def _query_blocks(n_queries: int, dim: int, parts: int, cores: int, k: int) -> int:
+    """Blocks of queries: bounded by bytes and by their hits, and enough to occupy all cores when the corpus has few blocks.
 
     Cutting the queries finer costs nothing but copies of a small corpus; cutting the corpus finer
     would multiply the candidates to merge.
     """
     by_bytes = -(-n_queries // _rows_per_block(dim))
     by_cores = min(-(-cores // max(parts, 1)), -(-n_queries // MIN_BLOCK_ROWS))
-    return max(1, by_bytes, by_cores)
+    by_hits = -(-n_queries * k // TASK_HITS)
+    return max(1, by_bytes, by_cores, by_hits)
 
 
 def _shape(df: DataFrame) -> tuple[int, int]:
@@ -64,32 +70,44 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return rows[keep], ids[cols[keep]], values[keep]
 
 
-def _search_cells(queries: DataFrame, corpus: DataFrame, k: int, cells: int) -> DataFrame:
-    """hits(query_id, rank, idx, score) over co-located cells."""
+def _merged(found: DataFrame, k: int, cells: int) -> DataFrame:
+    """The k best of the hits of all cells (query_id, _cell, idx, score), some cells at a time."""
+    best = F.col("score").desc()
+    while cells > MERGED_CELLS:
+        found = found.withColumn("_cell", F.floor(F.col("_cell") / MERGED_CELLS).cast("int"))
+        place = F.row_number().over(Window.partitionBy("query_id", "_cell").orderBy(best, "idx"))
+        found = found.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+        cells = -(-cells // MERGED_CELLS)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(best, "idx"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "idx", "score")
+
+
+def _search_cells(queries: DataFrame, corpus: DataFrame, k: int, cells: int, per_query: int) -> DataFrame:
+    """hits(query_id, rank, idx, score) over co-located cells; `per_query` is about how many of them a query is sent to."""
     qtype = dict(queries.dtypes)["query_id"]
 
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "idx": [], "score": []})
+            return pd.DataFrame({"query_id": [], "_cell": [], "idx": [], "score": []})
         c = c.sort_values("idx")
         ids = c["idx"].to_numpy()
-        right = np.stack(c["embedding"].to_numpy()).astype(np.float64).T
+        right = np.stack(c["vector"].to_numpy()).astype(np.float64).T
         names = q["query_id"].to_numpy()
+        cell = zlib.crc32(f"{c['_cluster'].iloc[0]}|{c['_part'].iloc[0]}".encode()) % max(per_query, 1)
         left = np.stack(q["embedding"].to_numpy()).astype(np.float64)
         step = max(1, SCORE_CELLS // len(ids))
         out = []
         for start in range(0, len(names), step):
             found = np.round(left[start:start + step] @ right, SCORE_DECIMALS) + 0.0
             rows, idx, values = _best(found, ids, k)
-            out.append(pd.DataFrame({"query_id": names[start:start + step][rows], "idx": idx, "score": values}))
+            out.append(pd.DataFrame({"query_id": names[start:start + step][rows], "_cell": cell, "idx": idx, "score": values}))
         return pd.concat(out, ignore_index=True)
 
     q = queries.repartition(cells, *_CELL).groupBy(*_CELL)
-    c = corpus.repartition(cells, *_CELL).groupBy(*_CELL)
-    found = q.cogroup(c).applyInPandas(score, f"query_id {qtype}, idx bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "idx")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
-        .select("query_id", "rank", "idx", "score")
+    # a name of its own keeps the two sides apart if both come from one table
+    c = corpus.withColumnRenamed("embedding", "vector").repartition(cells, *_CELL).groupBy(*_CELL)
+    found = q.cogroup(c).applyInPandas(score, f"query_id {qtype}, _cell int, idx bigint, score double")
+    return _merged(found, k, per_query)
 
 
 def _block_of(column: str, blocks: Column) -> Column:
@@ -102,14 +120,14 @@ def topk_flat(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     n_queries, _ = _shape(queries)
     cores = queries.sparkSession.sparkContext.defaultParallelism
     parts = max(1, -(-n_corpus // _rows_per_block(dim)))
-    qblocks = _query_blocks(n_queries, dim, parts, cores)
+    qblocks = _query_blocks(n_queries, dim, parts, cores, k)
     c = corpus.select("idx", "embedding").withColumn("_cluster", F.lit(0)) \
         .withColumn("_part", _block_of("idx", F.lit(parts))) \
         .withColumn("_qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
     q = queries.select("query_id", "embedding").withColumn("_cluster", F.lit(0)) \
         .withColumn("_qblock", _block_of("query_id", F.lit(qblocks))) \
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return _search_cells(q, c, k, max(parts * qblocks, 1))
+    return _search_cells(q, c, k, max(parts * qblocks, 1), parts)
 
 
 def train_centroids(corpus: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20) -> np.ndarray:
@@ -138,25 +156,87 @@ def nearest_centroids(df: DataFrame, id_column: str, centroids: np.ndarray, n: i
         assign, f"{id_column} {itype}, embedding array<float>, _cluster int")
 
 
+class _Clusters:
+    """A clustered corpus: centroids, and its rows in cells of bounded size."""
+
+    def __init__(self, queries: DataFrame, corpus: DataFrame, k: int, nlist: int | None, seed: int) -> None:
+        n_corpus, dim = _shape(corpus)
+        n_queries, _ = _shape(queries)
+        self.k, self.nlist = k, nlist or cluster_counts(n_corpus)[0]
+        self.centroids = train_centroids(corpus, self.nlist, seed)
+        cores, self.rows = queries.sparkSession.sparkContext.defaultParallelism, _rows_per_block(dim)
+        self.qblocks = _query_blocks(n_queries, dim, self.nlist, cores, k)
+        self.cells = max(cores, (n_corpus // self.rows + self.nlist) * self.qblocks // 4)
+        self.assigned = write_stage(nearest_centroids(corpus, "idx", self.centroids, 1), "assigned")
+        sizes = self.assigned.groupBy("_cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.rows)).cast("int").alias("_parts"))
+        self.sizes = write_stage(sizes, "cluster_sizes")
+        self.parts = n_corpus // self.rows
+
+    def search(self, sent: DataFrame, clusters: int) -> DataFrame:
+        """hits of queries (query_id, embedding, _cluster), each sent to about so many clusters."""
+        c = join_small(self.assigned, self.sizes, ["_cluster"]).withColumn("_part", _block_of("idx", F.col("_parts"))) \
+            .withColumn("_qblock", F.explode(F.sequence(F.lit(0), F.lit(self.qblocks - 1)))).drop("_parts")
+        q = join_small(sent, self.sizes, ["_cluster"]).withColumn("_qblock", _block_of("query_id", F.lit(self.qblocks))) \
+            .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        return _search_cells(q, c, self.k, self.cells, clusters + self.parts)
+
+    def radii(self) -> np.ndarray:
+        """Greatest distance of a row from the centroid of its cluster; one number for each cluster."""
+        centroids = self.centroids
+
+        def far(batches):
+            for pdf in batches:
+                if len(pdf):
+                    gaps = np.linalg.norm(np.stack(pdf["embedding"].to_numpy()).astype(np.float64) - centroids[pdf["_cluster"].to_numpy()], axis=1)
+                    yield pd.DataFrame({"_cluster": pdf["_cluster"], "far": gaps}).groupby("_cluster", as_index=False).max()
+
+        found = self.assigned.mapInPandas(far, "_cluster int, far double").groupBy("_cluster").agg(F.max("far").alias("far")).collect()
+        radii = np.full(len(centroids), -np.inf)
+        for r in found:
+            radii[r["_cluster"]] = r["far"]
+        return radii
+
+
 def topk_ivf(queries: DataFrame, corpus: DataFrame, k: int, nlist: int | None = None, nprobe: int | None = None,
              seed: int = 42) -> DataFrame:
     """Top-k among the rows of each query's nprobe nearest clusters."""
-    n_corpus, dim = _shape(corpus)
-    n_queries, _ = _shape(queries)
-    nlist = nlist or cluster_counts(n_corpus)[0]
-    nprobe = min(nprobe or probe_count(nlist), nlist)
-    centroids = train_centroids(corpus, nlist, seed)
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    rows = _rows_per_block(dim)
-    qblocks = _query_blocks(n_queries, dim, nlist, cores)
-    assigned = write_stage(nearest_centroids(corpus, "idx", centroids, 1), "assigned")
-    sizes = assigned.groupBy("_cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_parts"))
-    c = join_small(assigned, sizes, ["_cluster"]).withColumn("_part", _block_of("idx", F.col("_parts"))) \
-        .withColumn("_qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)))).drop("_parts")
-    probed = nearest_centroids(queries, "query_id", centroids, nprobe)
-    q = join_small(probed, sizes, ["_cluster"]).withColumn("_qblock", _block_of("query_id", F.lit(qblocks))) \
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    return _search_cells(q, c, k, max(cores, (n_corpus // rows + nlist) * qblocks // 4))
+    clusters = _Clusters(queries, corpus, k, nlist, seed)
+    nprobe = min(nprobe or probe_count(clusters.nlist), clusters.nlist)
+    return clusters.search(nearest_centroids(queries, "query_id", clusters.centroids, nprobe), nprobe)
+
+
+def topk_ivf_bounded(queries: DataFrame, corpus: DataFrame, k: int, share: float = 1.0, nlist: int | None = None,
+                     nprobe: int | None = None, seed: int = 42) -> DataFrame:
+    """Top-k that goes on from the nprobe nearest clusters to all those that may hold a better row.
+
+    No row of a cluster scores more than the product with its centroid plus the query's length times the cluster's radius. A query is sent to
+    every other cluster whose bound exceeds the score of its k-th hit so far. With `share` 1 the result is exact; a smaller share takes
+    only that part of the radius, which few rows of a cluster reach in the direction of a query.
+    """
+    clusters = _Clusters(queries, corpus, k, nlist, seed)
+    nprobe = min(nprobe or probe_count(clusters.nlist), clusters.nlist)
+    near = write_stage(clusters.search(nearest_centroids(queries, "query_id", clusters.centroids, nprobe), nprobe), "near_hits")
+    floor = near.filter(F.col("rank") == k).select("query_id", F.col("score").alias("_floor"))
+    centroids, radii = clusters.centroids, clusters.radii()
+
+    def others(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            vectors = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+            product = vectors @ centroids.T
+            bound = product + share * np.linalg.norm(vectors, axis=1)[:, None] * radii[None, :]
+            seen = np.argsort(-product, axis=1, kind="stable")[:, :nprobe]
+            open_ = bound > pdf["_floor"].fillna(-np.inf).to_numpy()[:, None] - 10.0**-SCORE_DECIMALS
+            np.put_along_axis(open_, seen, False, axis=1)
+            rows, found = np.nonzero(open_)
+            yield pdf[["query_id", "embedding"]].iloc[rows].assign(_cluster=found.astype(np.int32))
+
+    kind = dict(queries.dtypes)["query_id"]
+    sent = join_small(queries.select("query_id", "embedding"), floor, ["query_id"], "left").mapInPandas(
+        others, f"query_id {kind}, embedding array<float>, _cluster int")
+    further = clusters.search(write_stage(sent, "sent"), clusters.nlist)
+    return _merged(near.unionByName(further).select("query_id", F.lit(0).alias("_cell"), "idx", "score"), k, 1)
 
 
 def search(queries: DataFrame, corpus: DataFrame, k: int, index_type: str = "flat") -> DataFrame:

@@ -243,6 +243,15 @@ def load_splits(spark: SparkSession, sf: str) -> DataFrame:
         .select("benchmark", "sub_benchmark", "dataset", "split", "label", "text")
 
 
+def final_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the written splits with their position in the files."""
+    rows = store.load_splits(spark, split_store(spark, sf)).select(
+        "dataset_key", "split", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(Window.partitionBy("dataset_key", "split").orderBy("file", "block", "at"))
+    return rows.select("dataset_key", "split", place.cast("bigint").alias("position"), "text")
+
+
 @shared
 def retrieval_store(spark: SparkSession, sf: str) -> str:
     root = scratch_path(spark, "retrieval")
@@ -384,11 +393,15 @@ def classification_build(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def empty_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables below the size gate leave no samples, no corpus and no queries."""
-    names = ("customer", "part", "orders", "lineitem", "events", "documents")
+    """Rows at every stage when all tables are below the size gate: those of the tables, and none behind the gate."""
     none = BuildConfig(min_samples=10**12, retrieval=RETRIEVAL)
-    made = build.retrieval_set(spark, star_tables(spark, sf, names), none)
-    return made.queries.join(made.qrels, "query_id").select("query_id", "query_text", "idx")
+    tables = star_tables(spark, sf)
+    made = build.retrieval_set(spark, tables, none)
+    stages = {"raw": union_samples(spark, tables), "samples": samples.build_samples(union_samples(spark, tables), none),
+              "splits": build.classification_set(spark, tables, none), "corpus": made.corpus, "queries": made.queries, "conditions": made.conditions, "qrels": made.qrels}
+    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("stage"), "n_rows") for name, df in stages.items()]
+    totals = samples.retrieval_stats(made.corpus, made.queries).select(F.lit("totals").alias("stage"), (F.col("num_queries") + F.col("corpus_size")).alias("n_rows"))
+    return _union([*counts, totals])
 
 
 # --- corpus, cells, matching ------------------------------------------------------------------
@@ -905,5 +918,5 @@ QUERIES: dict[str, Query] = {
     "ivf_assign_counts": ivf_assign_counts, "encode_text_counts": encode_text_counts, "clf_fit_counts": clf_fit_counts,
     "classification_eval_counts": classification_eval_counts,
     "match_bitmaps": match_bitmaps, "conjunction_counts": conjunction_counts, "num_blocks": num_blocks, "range_counts": range_counts,
-    "hits_rel_by_condition": hits_rel_by_condition, "topk_ivf_exact": topk_ivf_exact,
+    "hits_rel_by_condition": hits_rel_by_condition, "topk_ivf_exact": topk_ivf_exact, "final_shuffle": final_shuffle,
 }

@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.session import join_small
+from rowloom.session import join_bounded, join_small, stage_small
 
 BUCKET_DIGITS = 3
 BUCKET_ROWS = 1_000_000
+MOST_DIGITS = 16
 
 
 def digits_for(rows: int) -> int:
@@ -47,14 +48,26 @@ def group_cut(df: DataFrame, keys: list[str], digest: str, row_id: str, size: Co
     """(keys, _total, _cut_digest, _cut_id): the last row inside the first `size` rows of each group.
 
     `size` is an expression over `_total`. Groups whose size is 0 get no row. Only the bucket that
-    holds the cut is ordered, and only on (digest, row_id).
+    holds the cut is ordered, and only on (digest, row_id); as long as it has more than BUCKET_ROWS rows, it
+    is counted by further digits first.
     """
     profile = bucket_profile(df, keys, digest, digits).withColumn("_size", size)
     cut_bucket = profile.filter((F.col("_before") < F.col("_size")) & (F.col("_size") <= F.col("_before") + F.col("_n")))
-    cut_bucket = cut_bucket.select(*keys, "_bucket", "_total", (F.col("_size") - F.col("_before")).alias("_left"))
-    inside = join_small(
-        _with_bucket(df.select(*keys, digest, row_id), digest, digits), cut_bucket, [*keys, "_bucket"]
-    )
+    cut_bucket = cut_bucket.select(*keys, "_bucket", "_n", "_total", (F.col("_size") - F.col("_before")).alias("_left"))
+    narrow = df.select(*keys, digest, row_id)
+    while True:
+        cut_bucket, fits = stage_small(cut_bucket, "cut_bucket")
+        inside = join_bounded(_with_bucket(narrow, digest, digits), cut_bucket.drop("_n"), [*keys, "_bucket"], fits)
+        largest = cut_bucket.agg(F.max("_n")).first()[0] or 0
+        if largest <= BUCKET_ROWS or digits >= MOST_DIGITS:
+            break
+        digits = min(digits + BUCKET_DIGITS, MOST_DIGITS)
+        finer = inside.drop("_bucket").withColumn("_bucket", F.substring(digest, 1, digits))
+        counts = finer.groupBy(*keys, "_bucket", "_total", "_left").agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = counts.withColumn("_before", F.sum("_n").over(earlier) - F.col("_n"))
+        counts = counts.filter((F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_before") + F.col("_n")))
+        cut_bucket = counts.withColumn("_left", F.col("_left") - F.col("_before")).select(*keys, "_bucket", "_n", "_total", "_left")
     order = Window.partitionBy(*keys).orderBy(digest, row_id)
     return (
         inside.withColumn("_rank", F.row_number().over(order))

@@ -162,8 +162,9 @@ def clf_stats(samples: DataFrame) -> DataFrame:
 
 
 def retrieval_stats(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Corpus size and number of queries, over all (query_type null) and per type."""
+    """Corpus size and number of queries, over all (query_type null) and per type. Without any query there is the row over all, with 0."""
     size = corpus.agg(F.count(F.lit(1)).alias("corpus_size"))
-    per_type = queries.groupingSets([[F.col("query_type")], []], F.col("query_type")).agg(
-        F.count(F.lit(1)).alias("num_queries"))
-    return per_type.withColumn("_one", F.lit(1)).join(F.broadcast(size.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    total = queries.agg(F.count(F.lit(1)).alias("num_queries")).select(F.lit(None).cast("string").alias("query_type"), "num_queries")
+    per_type = queries.groupBy("query_type").agg(F.count(F.lit(1)).alias("num_queries"))
+    counts = total.unionByName(per_type)
+    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(size.withColumn("_one", F.lit(1))), "_one").drop("_one")

@@ -93,7 +93,7 @@ def write_classification(spark: SparkSession, tables: Tables, root: str, config:
 def write_retrieval(spark: SparkSession, tables: Tables, root: str, config: BuildConfig = BuildConfig()) -> None:
     """Corpus, queries, ground truth and totals."""
     made = retrieval_set(spark, tables, config)
-    store.write_retrieval(root, made.corpus, made.queries, made.conditions, made.qrels, config.retrieval.numeric_precision)
+    store.write_retrieval(root, made.corpus, made.queries, made.conditions, made.qrels)
     store.write_jsonl(retrieval_stats(made.corpus, made.queries), f"{root}/retrieval/stats")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import values as V
-from rowloom.session import write_stage
+from rowloom.session import join_bounded, stage_small, write_stage
 
 INT_TEXT = r"^\s*[+-]?\d+\s*$"
 FLOAT_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|Inf|INF|infinity|Infinity)\s*$"
@@ -211,25 +211,30 @@ def cast_inferred(raw: DataFrame) -> DataFrame:
 def with_row_id(df: DataFrame, id_columns: Sequence[str] = ()) -> DataFrame:
     """Add a unique text identity.
 
-    A declared key gives it directly. Without a key, equal rows are first counted (partial
-    aggregation collapses any number of copies) and then listed again with a copy number, so that
-    every row has an identity which depends on content alone.
+    A declared key gives it directly. Without a key, it is the digest of the row's content and a copy number. Only digests are shuffled to
+    find the repeated ones; other rows stay where they are. Rows with a repeated digest are equal, so they are counted (partial aggregation
+    collapses any number of copies) and listed again with their numbers.
     """
     if len(id_columns) == 1:
         return df.withColumn(ROW_ID, F.col(id_columns[0]).cast("string"))
     if id_columns:
         return df.withColumn(ROW_ID, row_digest(df, id_columns))
     names = df.columns
-    counted = df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_copies"))
+    digested = df.withColumn(ROW_ID, row_digest(df, names))
+    repeated = digested.groupBy(ROW_ID).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(ROW_ID)
+    repeated, fits = stage_small(repeated, "repeated")
+    single = join_bounded(digested, repeated, [ROW_ID], fits, "left_anti").withColumn(ROW_ID, F.concat(F.col(ROW_ID), F.lit("#1")))
+    several = join_bounded(digested, repeated, [ROW_ID], fits, "left_semi")
+    counted = several.groupBy(ROW_ID, *[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_copies"))
     few = counted.filter(F.col("_copies") <= COPY_CHUNK).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
     starts = F.sequence(F.lit(1).cast("bigint"), F.col("_copies"), F.lit(COPY_CHUNK).cast("bigint"))
     many = counted.filter(F.col("_copies") > COPY_CHUNK).withColumn("_start", F.explode(starts))
-    many = many.repartition("_start", *names).withColumn("_copy", F.explode(F.sequence(
+    many = many.repartition("_start", ROW_ID).withColumn("_copy", F.explode(F.sequence(
         F.col("_start"), F.least(F.col("_start") + (COPY_CHUNK - 1), F.col("_copies"))))).drop("_start")
-    listed = few.unionByName(many)
-    identity = F.concat_ws("#", row_digest(listed, names), F.col("_copy"))
-    return listed.withColumn(ROW_ID, identity).select(*names, ROW_ID)
+    listed = few.unionByName(many).withColumn(ROW_ID, F.concat_ws("#", ROW_ID, "_copy"))
+    columns = [*[F.col(f"`{c}`") for c in names], ROW_ID]
+    return single.select(*columns).unionByName(listed.select(*columns))
 
 
 def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:

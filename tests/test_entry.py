@@ -6,9 +6,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
-CHECKED = ["serialize_row", "clean_value", "gate_classes", "stratified_split", "corpus", "cells", "match_anchor",
-           "query_workload", "topk_flat", "metric_cube", "clf_summary", "scan_missing_ints", "topk_ivf_checked", "ivf_assign_counts",
-           "encode_text_counts", "clf_fit_counts", "classification_eval_counts"]
+CHECKED = sorted(name for name in entry.oracle_sql() if not name.startswith("op"))
 
 
 def table(df: pd.DataFrame) -> list:

@@ -2,9 +2,11 @@
 
 import csv
 import io
+import json
 
 import pytest
 
+from rowloom.operators.samples import retrieval_stats
 from rowloom.operators.metrics import compute_retrieval_metrics, hits_rel, judged_counts
 from rowloom.operators.search import topk_ivf, train_centroids
 from rowloom.plans.evaluate import evaluate
@@ -99,3 +101,23 @@ def test_centroids_come_from_all_rows_and_probes_from_nlist(spark):
     assert train_centroids(rows, 2).shape == (2, 2)
     queries = rows.filter("idx < 3").selectExpr("CAST(idx AS string) AS query_id", "embedding")
     assert topk_ivf(queries, rows, 3, nlist=4).count() == 9
+
+
+def test_published_numbers_are_numbers(spark, tmp_path):
+    """Numeric values are JSON numbers as they were searched for; they come back unchanged."""
+    conds = spark.createDataFrame([("q", 2, "b", "categorical", "==", None, "1.50"), ("q", 1, "a", "numeric", ">", 1.23456, None),
+                                   ("r", 1, "a", "numeric", "==", 45.0, None)], "query_id string, pos int, field string, type string, operator string, num double, str string")
+    queries = spark.createDataFrame([("q", "t"), ("r", "t")], "query_id string, query_text string")
+    corpus = spark.createDataFrame([(0, "t", "l", "d", "b")], store.CORPUS_SCHEMA)
+    store.write_retrieval(str(tmp_path), corpus, queries, conds, spark.createDataFrame([("q", 0)], JUDGED))
+    lines = [json.loads(line) for p in (tmp_path / "retrieval" / "queries.jsonl").glob("*.json") for line in p.read_text().splitlines()]
+    values = {line["query_id"]: [c["value"] for c in line["conditions"]] for line in lines}
+    assert values == {"q": [1.23456, "1.50"], "r": [45.0]}
+    back = store.loaded_conditions(store.load_retrieval(spark, str(tmp_path))[0])
+    assert sorted((r.query_id, r.pos, r.num, r.str) for r in back.collect()) == [("q", 1, 1.23456, None), ("q", 2, None, "1.50"), ("r", 1, 45.0, None)]
+
+
+def test_totals_without_queries(spark):
+    corpus = spark.range(7)
+    queries = spark.createDataFrame([], "query_id string, query_type string")
+    assert [tuple(r) for r in retrieval_stats(corpus, queries).collect()] == [(None, 0, 7)]

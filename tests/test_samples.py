@@ -38,6 +38,29 @@ def test_group_cut_is_the_nth_row(spark, digits):
     assert len(cut) == 3
 
 
+@pytest.mark.parametrize("rows_in_bucket", [10, 1])
+def test_cut_buckets_are_refined(spark, monkeypatch, rows_in_bucket):
+    """A bucket that holds the cut is split by further digits; a group of equal digests cannot be, and is still cut right."""
+    monkeypatch.setattr(rank, "BUCKET_ROWS", rows_in_bucket)
+    rows, df = toy(spark)
+    same = spark.createDataFrame([("same", f"{i:03}", "ab" * 8) for i in range(50)], "dataset_key string, row_id string, d string")
+    drawn = samples.with_draw(df, 42, "d").select("dataset_key", "row_id", "d").union(same)
+    cut = rank.group_cut(drawn, ["dataset_key"], "d", "row_id", F.least(F.col("_total"), F.lit(33)), 1).collect()
+    groups = defaultdict(list, same=[("ab" * 8, f"{i:03}") for i in range(50)])
+    for key, _, row_id in rows:
+        groups[key].append((draw(key, row_id), row_id))
+    assert {r["dataset_key"]: (r["_total"], (r["_cut_digest"], r["_cut_id"])) for r in cut} == {k: (len(g), sorted(g)[32]) for k, g in groups.items()}
+
+
+def test_rows_without_a_key_stay_where_they_are(spark):
+    """Only digests are shuffled: every exchange that carries the cells is one of repeated rows."""
+    df = spark.range(1000).selectExpr("id % 990 AS a", "repeat('x', 50) AS wide")
+    made = with_row_id(df)
+    assert made.select("_row_id").distinct().count() == 1000
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" not in plan
+
+
 def test_sample_and_gates(spark):
     rows, df = toy(spark)
     kept = samples.sample_per_dataset(df, 150).collect()

@@ -245,7 +245,7 @@ def load_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def final_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the written splits with their position in the files."""
-    rows = store.load_splits(spark, split_store(spark, sf)).select(
+    rows = spark.read.schema(store.SPLIT_SCHEMA).json(f"{split_store(spark, sf)}/classification").select(
         "dataset_key", "split", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"))
     place = F.row_number().over(Window.partitionBy("dataset_key", "split").orderBy("file", "block", "at"))

@@ -79,13 +79,17 @@ SELECT query_id, rank::int AS rank, doc_id, score FROM (SELECT *, row_number() O
 
 def op10() -> str:
     kept = ", ".join(f"'{h}'" for h in revisits.KEPT_HEADERS)
+    bare = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+    for escaped, plain in revisits.UNRESERVED.items():
+        bare = f"regexp_replace({bare}, '{escaped}', '{plain}', 'g')"
     return rf"""
-WITH parts AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+WITH parts AS (SELECT *, {bare} AS bare FROM pages),
 cut AS (SELECT *, regexp_extract(bare, '^([^?]*)', 1) AS place, regexp_extract(bare, '\?(.*)$', 1) AS query FROM parts),
 keyed AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(place, '^([^/]*)', 1)), '^.*@', ''), '^www\.', ''), ':(80|443)$', '')
     || regexp_replace(regexp_extract(place, '^[^/]*(.*)$', 1), '/+$', '')
     || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag
-  FROM (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{revisits.TRACKING}'))) AS params FROM cut)),
+  FROM (SELECT *, list_transform(list_sort(list_transform(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{revisits.TRACKING}')),
+    lambda p, i: {{'name': regexp_extract(p, '^([^=]*)', 1), 'i': i, 'p': p}})), lambda x: x.p) AS params FROM cut)),
 stored AS (SELECT page_id * 2 AS id, url_key, page_id * 10 AS cap, CASE WHEN page_id % 11 <> 0 THEN tag END AS tag, 'day ' || (page_id % 9) AS day,
     MAP {{'cache-control': 'max-age=60', 'content-length': strlen(coalesce(html, ''))::varchar, 'content-type': 'text/html', 'date': (page_id * 10)::varchar}} AS headers
   FROM keyed WHERE page_id % 13 <> 0),

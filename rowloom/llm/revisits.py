@@ -5,12 +5,13 @@ several at that time, the one with the largest record id. Its validators are the
 one, else the dates of last modification where both have one. If they agree, the stored headers are updated with those of the
 revisit, except the ones that describe the stored body.
 
-A URL may hold any share of the records: records are cut into (URL, time slice), the latest response inside a
-slice is found by a window over it, and one row per slice carries the latest response of earlier slices. No window spans
-a URL's records. Only DataFrame operations are used, and bodies are not moved.
+A URL may hold any share of the records, also within one second: records are first put together to one row for each (URL, capture time),
+which are cut into slices of about equal rows by range partitions. The latest response inside a slice is found by a window over it, and one
+row per slice carries the latest response of earlier slices. No window spans a URL's records. Only DataFrame operations are used, and
+bodies are not moved.
 
-A null URL has no earlier response, a record without time neither has nor is one. Repeated revisits each keep their row; repeated
-responses are one candidate.
+A revisit without URL or capture time has no earlier response and is put aside first; a response without them is none. Repeated revisits each keep
+their row; repeated responses are one candidate.
 """
 
 from __future__ import annotations
@@ -19,25 +20,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rowloom.llm.frames import join_counted
 from rowloom.session import write_stage
 
-SLICE_ROWS = 100_000
-MOST_SLICES = 1 << 16
-
 # Headers of a 304 that do not replace stored ones, and query parameters that only track.
 KEPT_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
-TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
+TRACKING = r"^(utm_[a-z]+|fbclid|gclid)(=|$)"
+# Escaped characters that mean the same as the characters themselves.
+UNRESERVED = {"%7[Ee]": "~", "%2[Dd]": "-", "%2[Ee]": ".", "%5[Ff]": "_"}
 
 
 def canonical_url(url: str) -> Column:
-    """Host and path without scheme, credentials, www, default port, fragment and trailing slash; query parameters sorted, tracking ones dropped."""
+    """Host and path without scheme, credentials, www, default port, fragment and trailing slash; tracking parameters dropped.
+
+    The other query parameters are ordered by name; those of one name keep their order, which may matter to the page.
+    """
     bare = F.regexp_replace(F.regexp_replace(F.trim(F.col(url)), "#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    for escaped, plain in UNRESERVED.items():
+        bare = F.regexp_replace(bare, escaped, plain)
     place = F.regexp_extract(bare, r"^([^?]*)", 1)
     host = F.lower(F.regexp_extract(place, r"^([^/]*)", 1))
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"^www\.", ""), r":(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(place, r"^[^/]*(.*)$", 1), "/+$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+    named = F.transform(kept, lambda p, i: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("name"), i.alias("i"), p.alias("p")))
+    kept = F.transform(F.sort_array(named), lambda x: x["p"])
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
@@ -54,17 +62,20 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """
     keyed = records.select("record_id", canonical_url("url").alias("url_key"), "captured_at", "kind", "status", "etag", "last_modified", "headers")
     keyed = write_stage(keyed.filter("kind = 'revisit' OR (kind = 'response' AND status = 200 AND captured_at IS NOT NULL AND url_key IS NOT NULL)"), "records")
-    low, high, rows = keyed.agg(F.min("captured_at"), F.max("captured_at"), F.count(F.lit(1))).first()
-    slices = min(MOST_SLICES, max(64, rows // SLICE_ROWS))
-    width = max(1, ((high or 0) - (low or 0)) // slices + 1)
-    cut = keyed.withColumn("slice", F.floor((F.col("captured_at") - F.lit(low or 0)) / width))
+    complete = F.col("url_key").isNotNull() & F.col("captured_at").isNotNull()
     response = F.when(F.col("kind") == "response", F.struct("captured_at", "record_id", "etag", "last_modified", _entries(F.col("headers")).alias("headers")))
-    at = Window.partitionBy("url_key", "slice")
-    inside = cut.withColumn("inside", F.max(response).over(at.orderBy("captured_at").rangeBetween(Window.unboundedPreceding, -1))).filter("kind = 'revisit'")
-    latest = cut.filter("kind = 'response'").groupBy("url_key", "slice").agg(F.max(response).alias("latest"))
-    carried = cut.select("url_key", "slice").distinct().join(latest, ["url_key", "slice"], "left").withColumn(
-        "carried", F.max("latest").over(Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).select("url_key", "slice", "carried")
-    found = inside.join(carried, ["url_key", "slice"], "left").withColumn("stored", F.coalesce("inside", "carried"))
+    asked = F.count(F.when(F.col("kind") == "revisit", 1)).alias("asked")
+    times = keyed.filter(complete).groupBy("url_key", "captured_at").agg(F.max(response).alias("here"), asked)
+    cut = write_stage(times.repartitionByRange("url_key", "captured_at").withColumn("slice", F.spark_partition_id()), "times")
+    earlier = Window.partitionBy("url_key", "slice").orderBy("captured_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = cut.withColumn("inside", F.max("here").over(earlier)).filter("asked > 0").drop("here")
+    carried = cut.groupBy("url_key", "slice").agg(F.max("here").alias("latest")).withColumn(
+        "carried", F.max("latest").over(Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
+    latest = inside.join(carried.select("url_key", "slice", "carried"), ["url_key", "slice"]).select(
+        "url_key", "captured_at", "asked", F.coalesce("inside", "carried").alias("stored"))
+    revisits = keyed.filter("kind = 'revisit'").drop("kind", "status")
+    found = join_counted(revisits.filter(complete), write_stage(latest, "latest"), ["url_key", "captured_at"], "asked").drop("asked")
+    found = found.unionByName(revisits.filter(~complete), allowMissingColumns=True)
     tag = lambda c: F.regexp_replace(F.col(c), "^W/", "")
     same = F.when(F.col("etag").isNotNull() & F.col("stored.etag").isNotNull(), tag("etag") == tag("stored.etag")).when(
         F.col("last_modified").isNotNull() & F.col("stored.last_modified").isNotNull(), F.col("last_modified") == F.col("stored.last_modified"))

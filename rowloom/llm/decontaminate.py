@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rowloom.llm.frames import map_batches
 from rowloom.session import write_stage
@@ -167,6 +168,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     The score is the best passage's share of the item's own score.
     """
     item_type, doc_type = dict(items.dtypes)["item_id"], dict(docs.dtypes)["doc_id"]
+    arrow_item = to_arrow_type(items.schema["item_id"].dataType)
     schema = f"doc_id {doc_type}, item_id {item_type}, n_passages int, score double, shingle_share double, question_share double, answer_share double"
     out = docs.sparkSession.createDataFrame([], schema)
     names = [f.split()[0] for f in schema.split(", ")]
@@ -182,7 +184,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                         best[shared.value.ids[item]] = max(best.get(shared.value.ids[item], found), found)
                     rows += [(doc, item, *found) for item, found in best.items()]
                 if rows:
-                    types = [batch.schema.field("doc_id").type, None, pa.int32(), *[pa.float64()] * 4]
+                    types = [batch.schema.field("doc_id").type, arrow_item, pa.int32(), *[pa.float64()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))

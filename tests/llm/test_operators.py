@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+import zstandard
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -389,6 +390,67 @@ def test_one_row_of_each_group_stays(spark, monkeypatch):
         assert kept == sorted([(3, "a b c d e"), (7, ""), (None, "z y x w v"), (3, "other words of a text")], key=repr)
 
 
+def test_ids_of_other_types(spark, monkeypatch):
+    """Items and documents may have INT or text ids; several blocks of items find what one finds."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 4000")
+    want = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", -(-items.count() // 5))
+    for kind in ("int", "string"):
+        found = decontaminate.contaminated(docs.withColumn("doc_id", docs.doc_id.cast(kind)), items.withColumn("item_id", items.item_id.cast(kind)))
+        assert dict(found.dtypes)["item_id"] == kind and {(int(r.doc_id), int(r.item_id)) for r in found.collect()} == want
+    assert want
+    queries = docs.filter("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "text")
+    plain = {(r.query_id, r["rank"], r.doc_id) for r in search.search_top_k(docs, queries, 3).collect()}
+    named = search.search_top_k(docs.selectExpr("concat('d', lpad(doc_id, 9, '0')) AS doc_id", "text"), queries.selectExpr("concat('q', query_id) AS query_id", "text"), 3)
+    assert {(int(r.query_id[1:]), r["rank"], int(r.doc_id[1:])) for r in named.collect()} == plain and plain
+
+
+def test_canonical_urls_keep_pages_apart(spark):
+    urls = ["a.com/p?a=2&a=1", "a.com/p?a=1&a=2", "a.com/p?ref=x", "a.com/p", "a.com/%7Eu", "a.com/~u", "a.com/p?b=1&a=2", "a.com/p?a=2&b=1", "a.com/p?utm_x=1"]
+    keys = [r.k for r in spark.createDataFrame(list(enumerate(urls)), "i int, url string").select("i", revisits.canonical_url("url").alias("k")).orderBy("i").collect()]
+    assert len(set(keys)) == 6 and keys[4] == keys[5] and keys[6] == keys[7] and keys[3] == keys[8] and keys[0] != keys[1] and keys[2] != keys[3]
+
+
+def test_one_url_within_one_second(spark, monkeypatch):
+    """Nine tenths of the records are of one URL and one second; others lack a URL, a time or both, or have odd values."""
+    monkeypatch.setattr(frames, "HOT_ROWS", 20)
+    schema = "record_id string, url string, captured_at bigint, kind string, status int, etag string, last_modified string, headers map<string,string>, slice int, here string"
+    rows = [(f"r{i}", "u.com/a", 100, "response" if i % 3 == 0 else "revisit", 200, '"t"', None, {"x": str(i)}, 1, "e") for i in range(300)]
+    rows += [(f"s{i}", "u.com/a", t, "response", 200, '"t"', None, {"x": "o" * 10_000}, 1, "e") for i, t in enumerate((50, 50, 60))]
+    rows += [(f"v{i}", "u.com/a", 101 + i, "revisit", 304, '"t"', "d", None, None, None) for i in range(5)]
+    rows += [(f"n{i}", None if i % 2 else "u.com/a", None if i % 3 else 70, "revisit", 304, '"t"', None, {}, 1, "e") for i in range(12)] + [("n0", None, None, "response", 200, None, None, {}, 1, "e")]
+    stored = [(t, r) for r, u, t, k, *_ in rows if k == "response" and u and t is not None]
+    want = []
+    for r, u, t, kind, *_ in rows:
+        if kind == "revisit":
+            best = max(((a, b) for a, b in stored if u and t is not None and a < t), default=None)
+            want.append((r, best and best[1], "resolved" if best else "no_response"))
+    got = revisits.resolve_revisits(spark.createDataFrame(rows, schema))
+    assert sorted(((r.record_id, r.response_id, r.outcome) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_languages_against_plain_compression(spark):
+    """The choice is the smallest sum of compressed pieces; dictionaries hold stretches of training texts only."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    made = language.learn_dictionaries(docs)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    for lang, content in made.items():
+        own = {language.plain(r.text) for r in rows if r.lang == lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5}
+        words = {w for t in own for w in t.split()}
+        assert sum(w in words for w in content.split()) > 0.95 * len(content.split())
+    compressors = {lang: zstandard.ZstdCompressor(level=language.LEVEL, write_content_size=False, write_dict_id=False,
+                                                  dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for lang, content in made.items()}
+    for r in language.classify_language(docs.limit(60), made).collect():
+        text = next(x.text for x in rows if x.doc_id == r.doc_id)
+        if not text or not re.search(r"[^\W\d_]", text):
+            assert r.lang_pred == "und"
+            continue
+        data = language.plain(text)
+        size = {lang: sum(len(c.compress(data[i:i + language.PIECE])) for i in range(0, len(data), language.PIECE)) for lang, c in compressors.items()}
+        assert size[r.lang_pred] <= min(size.values()) * 1.002
+
+
 def test_absent_ids_are_no_id(spark):
     """A row without an id and a row whose text id looks like a mark for that are counted both."""
     docs = spark.createDataFrame([("-", "same"), (None, "same"), ("a", "other")], "doc_id string, text string")

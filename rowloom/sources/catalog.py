@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +26,21 @@ FEATURE_FILE = "feature_list.jsonl"
 FEATURE_SCHEMA = "name string, kind string, is_target boolean, _bad string"
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel): every file below the root; contents are not read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def layout_pattern(root: str, benchmarks: list[str] | None = None) -> str:
+    """Path pattern of the dataset folders that the layout allows, level by level, for all or some benchmarks."""
+    levels = ["/".join([benchmark, second or "*", *["*"] * (depth - 2)]) for benchmark, second, depth, *_ in LAYOUT if not benchmarks or benchmark in benchmarks]
+    return f"{re.sub(r'([{}*?,\[\]\\])', r'\\\1', root.rstrip('/'))}/{{{','.join(levels)}}}"
+
+
+def list_files(spark: SparkSession, root: str, benchmarks: list[str] | None = None) -> DataFrame:
+    """(path, rel): every file in a dataset folder of the layout; other folders are not listed, and contents are not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    try:
+        listed = reader.load(layout_pattern(root, benchmarks))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, rel string")
     return listed.select("path", _relative(F.col("path"), root).alias("rel"))
 
 
@@ -59,7 +72,7 @@ def discover_datasets(spark: SparkSession, root: str, benchmarks: list[str] | No
     The first CSV by name counts. The YAML file of the same name is preferred, else the first one.
     Each of the three may also be a folder of part files, as Spark writes them.
     """
-    files = dataset_folders(list_files(spark, root), benchmarks)
+    files = dataset_folders(list_files(spark, root, benchmarks), benchmarks)
     about = ["folder", "benchmark", "sub_benchmark", "owner", "task_type", "data_type"]
     table = F.regexp_extract("file", r"^([^/]+)\.csv(/part-[^/]*)?$", 1)
     csv = files.withColumn("name", table).filter(F.col("name") != "") \
@@ -70,16 +83,25 @@ def discover_datasets(spark: SparkSession, root: str, benchmarks: list[str] | No
         "folder", F.col("path").alias("yaml_path"), "stem")
     yaml = csv.join(yaml, "folder").groupBy("folder").agg(
         F.coalesce(F.min(F.when(F.col("stem") == F.col("name"), F.col("yaml_path"))), F.min("yaml_path")).alias("yaml_path"))
-    targets = resolve_targets(features_scan(spark, root))
+    lists = f"{layout_pattern(root, benchmarks)}/{FEATURE_FILE}"
+    targets = resolve_targets(features_scan(spark, root, lists))
     return csv.join(yaml, "folder").join(targets, "folder") \
         .withColumn("dataset_key", V.dataset_key(F.col("benchmark"), F.col("sub_benchmark"),
                                                  F.concat_ws("/", F.nullif("owner", F.lit("")), "name")))
 
 
-def features_scan(spark: SparkSession, root: str) -> DataFrame:
-    """(folder, pos, name, kind, is_target) of all feature lists; a list with a broken line is left out."""
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{FEATURE_FILE},part-*.txt}}") \
-        .text(root, wholetext=True)
+FEATURES = "folder string, pos int, name string, kind string, is_target boolean"
+
+
+def features_scan(spark: SparkSession, root: str, lists: str | None = None) -> DataFrame:
+    """(folder, pos, name, kind, is_target) of all feature lists, or of those a path pattern names; a list with a broken line is left out."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{FEATURE_FILE},part-*.txt}}")
+    try:
+        texts = reader.text(lists or root, wholetext=True)
+    except AnalysisException as e:
+        if lists is None or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FEATURES)
     rel = _relative(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), root)
     lines = texts.select(
         F.regexp_extract(rel, rf"^(.*)/{re.escape(FEATURE_FILE)}(/part-[^/]*)?$", 1).alias("folder"),

@@ -51,6 +51,17 @@ def test_discovery(spark, tree):
     assert {r["benchmark"]: r["n_datasets"] for r in catalog.catalog_counts(found).collect()}["unipredict"] == 2
 
 
+def test_only_folders_of_the_layout_are_listed(spark, tree, tmp_path):
+    """Three files for each folder of the benchmark asked for; nothing of the others, nothing beside the layout."""
+    listed = catalog.list_files(spark, tree, ["openml_cc18"])
+    assert sorted(r["rel"] for r in listed.collect()) == ["openml_cc18/d 1/feature_list.jsonl", "openml_cc18/d 1/one.csv", "openml_cc18/d 1/x.yaml"]
+    assert not any("other/d3" in r["rel"] for r in catalog.list_files(spark, tree).collect())
+    assert catalog.list_files(spark, str(tmp_path)).count() == 0 and catalog.discover_datasets(spark, str(tmp_path)).count() == 0
+    odd = tmp_path / "a {b}, [c]"
+    put(odd / "openml_cc18" / "d", "t.csv", ["a,y", "1,x"], [{"name": "y", "is_target": True}])
+    assert [r["dataset_key"] for r in catalog.discover_datasets(spark, str(odd)).collect()] == ["openml_cc18/t"]
+
+
 def test_scan(spark, tree, tmp_path):
     spec = next(s for s in catalog.specs(catalog.discover_datasets(spark, tree)) if s.name == "one")
     df = load_table(spark, spec)

@@ -389,9 +389,10 @@ def sql() -> dict[str, str]:
         "retrieval_build": w + "SELECT query_id, query_text, dataset_key, count(*) AS n_rows, sum(idx)::bigint AS sum_idx FROM accepted JOIN qrels USING (query_id) JOIN corpus USING (idx) GROUP BY 1, 2, 3",
         "inner_product": "SELECT a.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) AS with_next, round(list_dot_product(a.embedding::double[], a.embedding::double[]), 6) AS with_self FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
         "l2_normalize": "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: (x::double * (label + 0.5::double))::float) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v::double[], v::double[])) AS n FROM s) "
-                        "SELECT vec_id, 1.0::double AS norm, round((v[1] / n)::float::double, 5) AS first, round((v[64] / n)::float::double, 5) AS last FROM n",
+                        "SELECT vec_id, round(sqrt(list_dot_product(list_transform(v, lambda x: (x / n)::float::double), list_transform(v, lambda x: (x / n)::float::double))), 5) AS norm, "
+                        "round(list_sum(list_transform(v, lambda x, i: (x / n)::float::double * i)), 4) AS weighted, round((v[1] / n)::float::double, 5) AS first, round((v[64] / n)::float::double, 5) AS last FROM n",
         "embedding_dim": "SELECT max(len(embedding)) AS dim, count(*) AS n_rows FROM embeddings",
-        "embed_align": "SELECT doc_id AS id, lang, len(embedding) AS dim, round(embedding[1]::double, 6) AS first FROM documents JOIN embeddings ON doc_id = vec_id",
+        "embed_align": "SELECT doc_id AS id, lang, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x, i: x::double * i)), 5) AS weighted FROM documents JOIN embeddings ON doc_id = vec_id",
         "ivf_params": f"WITH {RAW}, n AS (SELECT dataset_key, count(*) AS n_rows, greatest(least(floor(sqrt(count(*)))::bigint, 4096), 1) AS nlist FROM raw GROUP BY 1) SELECT *, least(greatest(8, least(nlist // 5, 128)), nlist) AS nprobe FROM n",
         "topk_flat": f"WITH {OTHERS} SELECT query_id, rank, idx, round(score, 6) AS score FROM hits",
         "topk_ivf_all_clusters": f"WITH {ALL_PAIRS} SELECT query_id, rank, idx, round(score, 6) AS score FROM hits WHERE rank <= 10",
@@ -408,7 +409,7 @@ def sql() -> dict[str, str]:
         "scan_missing_ints": "SELECT 'The c_custkey is ' || c_custkey || '. The c_nationkey is ' || CASE WHEN c_nationkey = 0 THEN 'unknown' ELSE c_nationkey || '.0' END "
                              "|| '. The c_name is ' || c_name || '.' AS text, nullif(c_nationkey, 0)::double AS c_nationkey FROM customer",
         "topk_ivf_checked": "SELECT vec_id AS query_id, true AS scores_right, true AS in_order, true AS ranks_dense, true AS recall_reached FROM embeddings",
-        "ivf_assign_counts": "SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_distinct, true AS in_range FROM embeddings",
+        "ivf_assign_counts": "SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_distinct, true AS nearest FROM embeddings",
         "encode_text_counts": f"WITH {BUILT} SELECT dataset_key, count(*) AS n_rows, count(*) AS n_unit FROM built GROUP BY 1",
         "clf_fit_counts": f"WITH {GUESSES} SELECT dataset_key, split, count(*) AS n_rows, count(*) AS n_predicted, true AS known_class FROM guesses GROUP BY 1, 2",
         "classification_eval_counts": f"WITH {SPLIT} SELECT dataset_key, benchmark, count(DISTINCT label) AS num_classes, count(*) FILTER (WHERE split = 'train') AS train_samples, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -611,10 +611,16 @@ def inner_product(spark: SparkSession, sf: str) -> DataFrame:
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     scaled = F.transform("embedding", lambda x: (x * (F.col("label") + 0.5)).cast("float"))
     v = vectors_table(spark, sf).withColumn("unit", vectors.l2_normalize(scaled))
-    return v.select("vec_id", F.round(vectors.l2_norm(F.col("unit")), 5).alias("norm"),
+    return v.select("vec_id", F.round(vectors.l2_norm(F.col("unit")), 5).alias("norm"), F.round(_weighted("unit"), 4).alias("weighted"),
                     F.round(F.col("unit")[0].cast("double"), 5).alias("first"), F.round(F.col("unit")[63].cast("double"), 5).alias("last"))
 
 
+def _weighted(vector: str) -> Column:
+    """Sum of all elements times their places, which tells vectors apart in any element."""
+    places = F.sequence(F.lit(1), F.size(vector))
+    return F.aggregate(F.zip_with(vector, places, lambda x, i: x.cast("double") * i), F.lit(0.0), lambda a, x: a + x)
+
+
 def embedding_dim(spark: SparkSession, sf: str) -> DataFrame:
     return encode.embedding_dim(vectors_table(spark, sf))
 
@@ -623,7 +629,7 @@ def embed_align(spark: SparkSession, sf: str) -> DataFrame:
     """External vectors attached to the documents with the same id."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
     return docs.join(vectors_table(spark, sf).withColumnRenamed("vec_id", "id"), "id").select(
-        "id", "lang", F.size("embedding").cast("bigint").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+        "id", "lang", F.size("embedding").cast("bigint").alias("dim"), F.round(_weighted("embedding"), 5).alias("weighted"))
 
 
 def ivf_params(spark: SparkSession, sf: str) -> DataFrame:
@@ -704,10 +710,15 @@ def topk_ivf_checked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ivf_assign_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Every row in exactly one of the clusters."""
-    nlist, _ = vectors.cluster_counts(vectors_table(spark, sf).count())
-    return ivf_assign(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("idx").alias("n_distinct"),
-                                     F.bool_and(F.col("_cluster").between(0, nlist - 1)).alias("in_range"))
+    """Every row in exactly one of the clusters, and in the one with the largest product."""
+    v = vectors_table(spark, sf).select(F.col("vec_id").alias("idx"), "embedding")
+    nlist, _ = vectors.cluster_counts(v.count())
+    centroids = search.train_centroids(v, nlist)
+    listed = spark.createDataFrame([(1, [[float(x) for x in c] for c in centroids])], "_one int, centroids array<array<double>>")  # at most 4096
+    made = write_stage(search.nearest_centroids(v, "idx", centroids, 1), "assigned").withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one")
+    products = F.transform("centroids", lambda c: F.aggregate(F.zip_with("embedding", c, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x))
+    nearest = F.element_at(products, F.col("_cluster") + 1) >= F.array_max(products) - 1e-9
+    return made.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("idx").alias("n_distinct"), F.bool_and(nearest).alias("nearest"))
 
 
 def vector_queries(spark: SparkSession, sf: str) -> DataFrame:

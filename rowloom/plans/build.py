@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from rowloom.sources import store
 from rowloom.sources.catalog import discover_datasets, specs
 from rowloom.sources.tables import DatasetSpec, load_table, project_samples, union_samples, with_row_id
 
+TABLES_AT_ONCE = 8       # tables that the driver loads side by side
 Tables = Sequence[tuple[DatasetSpec, DataFrame]]
 
 
@@ -33,9 +36,20 @@ class RetrievalSet:
 
 
 def discovered_tables(spark: SparkSession, root: str, config: BuildConfig = BuildConfig()) -> list[tuple[DatasetSpec, DataFrame]]:
-    """Typed, identified tables of a folder tree, in catalog order."""
+    """Typed, identified tables of a folder tree, in catalog order.
+
+    Each is written once, so that both sets and all their passes read columns of it; TABLES_AT_ONCE tables are loaded side by side.
+    """
     catalog = discover_datasets(spark, root, list(config.benchmarks) if config.benchmarks else None)
-    return [(spec, with_row_id(load_table(spark, spec))) for spec in specs(catalog)]
+    found = specs(catalog)
+
+    def load(spec: DatasetSpec) -> tuple[DatasetSpec, DataFrame]:
+        return spec, write_stage(with_row_id(load_table(spark, spec)), "table")
+
+    if not found:
+        return []
+    with ThreadPool(min(TABLES_AT_ONCE, len(found))) as pool:
+        return pool.map(inheritable_thread_target(spark)(load), found)
 
 
 def classification_cuts(spark: SparkSession, tables: Tables, config: BuildConfig = BuildConfig()) -> tuple[DataFrame, DataFrame]:

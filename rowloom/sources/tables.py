@@ -154,7 +154,8 @@ def csv_records(spark: SparkSession, path: str, splits: DataFrame) -> DataFrame:
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with missing-cell texts as null and column types inferred from all remaining cells.
 
-    Files are split over tasks, also where records span lines. Quotes are paired, as CSV writers make them.
+    Files are split over tasks, also where records span lines. Quotes are paired, as CSV writers make them. Records are parsed
+    once, into a written table of texts; typing and everything later reads columns of that.
     """
     reader = spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
     splits = write_stage(split_quotes(spark, path), "splits")
@@ -168,7 +169,7 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
         parsed = F.from_csv(text, fields.simpleString()[7:-1].replace(":", " "), {"escape": '"', "multiLine": "true"})
         raw = records.filter(text != "").select(parsed.alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
     raw = raw.select(*[V.without_na_tokens(F.col(f"`{c}`")).alias(c) for c in raw.columns])
-    return cast_inferred(raw)
+    return cast_inferred(write_stage(raw, "parsed"))
 
 
 def _all_match(col: Column, test: Column) -> Column:

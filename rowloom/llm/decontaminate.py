@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried by every training passage.
 
-Documents are cut into passages of P words that overlap by half; P is at least twice the longest item, so an item
-that stands in a document stands whole in one passage. A passage retrieves every item whose BM25 score reaches a share of the
+Documents are cut into passages of P words that overlap by half; P is at least twice the length of an item, so an item
+that stands in a document stands whole in one passage. Items are indexed by classes of length, each with its own P, so a long item does not
+lengthen the passages of the others. A passage retrieves every item whose BM25 score reaches a share of the
 score the item gives itself. Block-max WAND: items lie in blocks of 64, each (term, block) has the largest contribution, and a
 block whose sum of these stays below the threshold is skipped; a document is first searched as one passage, which
 bounds all of its passages from above. Retrieved pairs are verified: 5-word shingles of the item, words of its question and words
@@ -9,13 +10,15 @@ of its answer must be found in the passage.
 
 Items without separate fields: the last quarter of the words is the answer, the rest the question. Words: lower case, ASCII
 punctuation dropped. Null or empty texts contain and match nothing; items of fewer than five words are one shingle. Repeated rows
-each get their rows; a repeated item id has one row per document and id. The index is built for a bounded block of
-items at a time with statistics of all items, and nothing is shuffled but the counts of item words.
+each get their rows; a repeated item id has one row per document and id. Indexes are built for bounded blocks of items with statistics of
+all items; as many blocks as PASS_BYTES allows are held at a time, and a document is split into words once for all of them. Nothing is
+shuffled but the counts of item words.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -34,7 +37,9 @@ SHINGLE = 5
 SHINGLES, QUESTION, ANSWER = 0.8, 0.8, 0.8
 ANSWER_PART = 4         # the last 1/4 of the words
 LEAST_PASSAGE = 128
-ITEM_BLOCK = 20_000     # items held in one index
+ITEM_BLOCK = 20_000     # items held in one index, and
+ITEM_BYTES = 16 * 2**20 # bytes of their words
+PASS_BYTES = 64 * 2**20 # size of the indexes that one pass over the documents holds
 WAND_BLOCK = 64
 
 _SPACES = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
@@ -44,6 +49,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode().translate(_SPACES).split() if text else []
 
 
+def passage_words(n: int) -> int:
+    """Words of the passages that items of n words are looked for in: the next power of two from 2 n on, at least LEAST_PASSAGE."""
+    return max(LEAST_PASSAGE, 2 << (n - 1).bit_length())
+
+
 def _shingles(words: list) -> set:
     if len(words) <= SHINGLE:
         return {tuple(words)} if words else set()
@@ -103,10 +113,10 @@ class ItemIndex:
         found = np.flatnonzero(scores >= 1 - 1e-9)
         return found, scores[found]
 
-    def matches(self, text: str | None) -> dict[int, tuple]:
+    def matches(self, words: list[bytes]) -> dict[int, tuple]:
         """item number -> (passages, score, shingle share, question share, answer share) of verified items."""
         get = self.vocabulary.get
-        coded = np.array([get(w, -1) for w in words_of(text)], np.int64)
+        coded = np.array([get(w, -1) for w in words], np.int64)
         distinct = np.unique(coded)
         if not len(self.search(distinct[distinct >= 0])[0]):
             return {}
@@ -141,25 +151,41 @@ def _shingles_in(words: list[int]) -> Callable[[int], set]:
     return of
 
 
-def item_indexes(items: DataFrame) -> Iterator[Callable[[], ItemIndex]]:
-    """One index per block of items; statistics are of all items."""
+def item_indexes(items: DataFrame) -> Iterator[ItemIndex]:
+    """One index per block of items of one class of length; statistics are of all items."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        return {"item_id": batch.column("item_id"), "words": pa.array([words_of(t) for t in batch.column("text").to_pylist()], pa.list_(pa.binary()))}
-
-    split = write_stage(map_batches(items.select("item_id", "text").distinct(), step, f"item_id {dict(items.dtypes)['item_id']}, words array<binary>").filter("size(words) > 0"), "items")
-    total, mean, longest = split.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
-    if not total:
-        return
-    passage = max(LEAST_PASSAGE, 2 * longest)
-    blocks = -(-total // ITEM_BLOCK)
+        words = [words_of(t) for t in batch.column("text").to_pylist()]
+        return {"item_id": batch.column("item_id"), "words": pa.array(words, pa.list_(pa.binary())), "passage": pa.array([passage_words(max(len(w), 1)) for w in words], pa.int64()),
+                "size": pa.array([sum(map(len, w)) for w in words], pa.int64())}
+
+    schema = f"item_id {dict(items.dtypes)['item_id']}, words array<binary>, passage bigint, size bigint"
+    split = write_stage(map_batches(items.select("item_id", "text").distinct(), step, schema).filter("size(words) > 0"), "items")
+    classes = split.groupBy("passage").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.size("words")).alias("words")).orderBy("passage").collect()
+    total = sum(r["n"] for r in classes)
+    mean = sum(r["words"] for r in classes) / max(total, 1)
     counts = split.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    for block in range(blocks):
-        part = split.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == block)
-        held = [(r["item_id"], [bytes(w) for w in r["words"]]) for r in part.collect()]  # at most about ITEM_BLOCK items
-        used = part.select(F.explode("words").alias("word")).distinct()
-        frequency = {bytes(r["word"]): r["df"] for r in used.join(counts, "word").collect()}
-        yield ItemIndex(held, frequency, total, mean, passage)
+    for r in classes:
+        blocks = max(-(-r["n"] // ITEM_BLOCK), -(-r["size"] // ITEM_BYTES))
+        for block in range(blocks):
+            part = split.filter((F.col("passage") == r["passage"]) & (F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == block))
+            held = [(x["item_id"], [bytes(w) for w in x["words"]]) for x in part.select("item_id", "words").collect()]  # about ITEM_BLOCK items, ITEM_BYTES bytes
+            used = part.select(F.explode("words").alias("word")).distinct()
+            frequency = {bytes(x["word"]): x["df"] for x in used.join(counts, "word").collect()}
+            yield ItemIndex(held, frequency, total, mean, r["passage"])
+
+
+def index_passes(items: DataFrame) -> Iterator[list[bytes]]:
+    """The indexes, serialised, in groups that one pass over the documents holds."""
+    held: list[bytes] = []
+    for index in item_indexes(items):
+        made = pickle.dumps(index)
+        if held and sum(map(len, held)) + len(made) > PASS_BYTES:
+            yield held
+            held = []
+        held.append(made)
+    if held:
+        yield held
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -172,16 +198,19 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     schema = f"doc_id {doc_type}, item_id {item_type}, n_passages int, score double, shingle_share double, question_share double, answer_share double"
     out = docs.sparkSession.createDataFrame([], schema)
     names = [f.split()[0] for f in schema.split(", ")]
-    for index in item_indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for held in index_passes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            indexes = [pickle.loads(x) for x in shared.value]
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                     best: dict = {}
-                    for item, found in shared.value.matches(text.as_py()).items():
-                        best[shared.value.ids[item]] = max(best.get(shared.value.ids[item], found), found)
+                    words = words_of(text.as_py())
+                    for index in indexes:
+                        for item, found in index.matches(words).items():
+                            best[index.ids[item]] = max(best.get(index.ids[item], found), found)
                     rows += [(doc, item, *found) for item, found in best.items()]
                 if rows:
                     types = [batch.schema.field("doc_id").type, arrow_item, pa.int32(), *[pa.float64()] * 4]
@@ -193,12 +222,18 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, that contain no item."""
-    for index in item_indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for held in index_passes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            indexes = [pickle.loads(x) for x in shared.value]
+
+            def clean(text: str | None) -> bool:
+                words = words_of(text)
+                return not any(index.matches(words) for index in indexes)
+
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.matches(t.as_py()) for t in batch.column("text")], pa.bool_()))
+                yield batch.filter(pa.array([clean(t.as_py()) for t in batch.column("text")], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

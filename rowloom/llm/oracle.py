@@ -109,18 +109,19 @@ def op7() -> str:
     spaces = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     split = f"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '{spaces}', ' ', 'g'), ' '), lambda w: w <> '')"
     return rf"""
-WITH items AS (SELECT item_id, words, len(words) AS n FROM (SELECT DISTINCT item_id, {split} AS words FROM benchmark) WHERE len(words) > 0),
-stat AS (SELECT count(*) AS docs, avg(n) AS mean, greatest({d.LEAST_PASSAGE}, 2 * max(n)) AS size FROM items),
-tf AS (SELECT item_id, any_value(n) AS n, w, count(*) AS tf FROM (SELECT item_id, n, unnest(words) AS w FROM items) GROUP BY item_id, w),
+WITH items AS (SELECT item_id, words, len(words) AS n, greatest({d.LEAST_PASSAGE}, pow(2, ceil(log2(len(words))) + 1)::bigint) AS size FROM (SELECT DISTINCT item_id, {split} AS words FROM benchmark) WHERE len(words) > 0),
+stat AS (SELECT count(*) AS docs, avg(n) AS mean FROM items),
+tf AS (SELECT item_id, any_value(n) AS n, any_value(size) AS size, w, count(*) AS tf FROM (SELECT item_id, n, size, unnest(words) AS w FROM items) GROUP BY item_id, w),
 df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
-gain AS (SELECT item_id, w, ln(1 + (docs - df + 0.5::double) / (df + 0.5::double)) * tf * {d.K1 + 1}::double / (tf + {d.K1}::double * ({1 - d.B}::double + {d.B}::double * n / mean)) AS g FROM tf JOIN df USING (w), stat),
+gain AS (SELECT item_id, size, w, ln(1 + (docs - df + 0.5::double) / (df + 0.5::double)) * tf * {d.K1 + 1}::double / (tf + {d.K1}::double * ({1 - d.B}::double + {d.B}::double * n / mean)) AS g FROM tf JOIN df USING (w), stat),
 own AS (SELECT item_id, sum(g) AS own FROM gain GROUP BY item_id),
 docs AS (SELECT doc_id, {split} AS words FROM documents),
-passages AS (SELECT doc_id, start, words[start + 1:start + size] AS words FROM (SELECT doc_id, words, size, unnest(range(0, greatest(1, (len(words) + size // 2 - 1) // (size // 2) - 1)::bigint * (size // 2), size // 2)) AS start FROM docs, stat)),
-there AS (SELECT DISTINCT doc_id, start, unnest(words) AS w FROM passages),
-found AS (SELECT doc_id, start, item_id, sum(g) / any_value(own) AS score FROM there JOIN gain USING (w) JOIN own USING (item_id) GROUP BY doc_id, start, item_id HAVING sum(g) >= {d.RETRIEVE} * any_value(own) - 1e-9),
+passages AS (SELECT doc_id, size, start, words[start + 1:start + size] AS words FROM (SELECT doc_id, words, size, unnest(range(0, greatest(1, (len(words) + size // 2 - 1) // (size // 2) - 1)::bigint * (size // 2), size // 2)) AS start
+  FROM docs, (SELECT DISTINCT size FROM items))),
+there AS (SELECT DISTINCT doc_id, size, start, unnest(words) AS w FROM passages),
+found AS (SELECT doc_id, size, start, item_id, sum(g) / any_value(own) AS score FROM there JOIN gain USING (w, size) JOIN own USING (item_id) GROUP BY doc_id, size, start, item_id HAVING sum(g) >= {d.RETRIEVE} * any_value(own) - 1e-9),
 pairs AS (SELECT f.*, p.words AS pw, i.words AS iw, i.n, least({d.SHINGLE}, i.n) AS g, CASE WHEN i.n > 1 THEN i.n - greatest(1, i.n // {d.ANSWER_PART}) ELSE 1 END AS cut
-  FROM found f JOIN passages p USING (doc_id, start) JOIN items i USING (item_id)),
+  FROM found f JOIN passages p USING (doc_id, size, start) JOIN items i USING (item_id)),
 sets AS (SELECT *, list_distinct([array_to_string(iw[j + 1:j + g], ' ') FOR j IN range(0, n - g + 1)]) AS ish, [array_to_string(pw[j + 1:j + g], ' ') FOR j IN range(0, len(pw) - g + 1)] AS psh,
     list_distinct(iw[1:cut]) AS question, list_distinct(CASE WHEN n > 1 THEN iw[cut + 1:n] ELSE iw END) AS answer FROM pairs),
 shares AS (SELECT *, len(list_filter(ish, lambda x: list_contains(psh, x))) / len(ish)::double AS shingle_share, len(list_filter(question, lambda x: list_contains(pw, x))) / len(question)::double AS question_share,

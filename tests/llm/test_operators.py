@@ -406,6 +406,19 @@ def test_ids_of_other_types(spark, monkeypatch):
     assert {(int(r.query_id[1:]), r["rank"], int(r.doc_id[1:])) for r in named.collect()} == plain and plain
 
 
+def test_long_items_have_passages_of_their_own(spark, monkeypatch):
+    """An item of 3,000 words is found whole, and so are short ones in the same documents, in one pass or several."""
+    long, short = prose(51, 3_000, 4_000), prose(52, 20, 4_000)
+    items = spark.createDataFrame([(1, long), (2, short), (3, prose(53, 70, 4_000))], "item_id bigint, text string")
+    docs = frame(spark, [prose(54, 500) + " " + long + " " + prose(55, 40), prose(56, 300) + " " + short, long[:6_000] + " " + short, prose(57, 200)])
+    for size in (64 * 2**20, 1):
+        monkeypatch.setattr(decontaminate, "PASS_BYTES", size)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(0, 1), (1, 2), (2, 2)}
+        assert {r.doc_id for r in decontaminate.keep_clean(docs, items).collect()} == {3}
+    sizes = {i.passage for i in decontaminate.item_indexes(items)}
+    assert sizes == {128, 256, 8192} and all(decontaminate.passage_words(n) >= 2 * n for n in range(1, 5_000))
+
+
 def test_canonical_urls_keep_pages_apart(spark):
     urls = ["a.com/p?a=2&a=1", "a.com/p?a=1&a=2", "a.com/p?ref=x", "a.com/p", "a.com/%7Eu", "a.com/~u", "a.com/p?b=1&a=2", "a.com/p?a=2&b=1", "a.com/p?utm_x=1"]
     keys = [r.k for r in spark.createDataFrame(list(enumerate(urls)), "i int, url string").select("i", revisits.canonical_url("url").alias("k")).orderBy("i").collect()]

@@ -18,7 +18,7 @@ from rowloom.operators.samples import (
     sample_per_dataset, split_metadata,
 )
 from rowloom.operators.workload import build_queries
-from rowloom.session import stage_small, write_stage
+from rowloom.session import stage_small, temporary_stages, write_stage
 from rowloom.sources import store
 from rowloom.sources.catalog import discover_datasets, specs
 from rowloom.sources.tables import DatasetSpec, load_table, project_samples, union_samples, with_row_id
@@ -112,9 +112,9 @@ def write_retrieval(spark: SparkSession, tables: Tables, root: str, config: Buil
 
 
 def build(spark: SparkSession, input_root: str, output_root: str, config: BuildConfig = BuildConfig()) -> None:
-    """Both sets from a folder tree."""
-    tables = discovered_tables(spark, input_root, config)
-    if not tables:
-        return
-    write_classification(spark, tables, output_root, config)
-    write_retrieval(spark, tables, output_root, config)
+    """Both sets from a folder tree. Intermediate tables are deleted when both are written."""
+    with temporary_stages(spark):
+        tables = discovered_tables(spark, input_root, config)
+        if tables:
+            write_classification(spark, tables, output_root, config)
+            write_retrieval(spark, tables, output_root, config)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +51,32 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
+_runs: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place for a table, in the folder of the innermost run (`temporary_stages`) or else in the shared folder."""
+    folder = (_runs.get(spark.sparkContext.applicationId) or [shared_folder(spark)])[-1]
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session wrote, wherever its file system is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[str]:
+    """Delete the tables staged inside at the end. What is needed later must have been written elsewhere by then."""
+    path = scratch_path(spark, "run")
+    runs = _runs.setdefault(spark.sparkContext.applicationId, [])
+    runs.append(path)
+    try:
+        yield path
+    finally:
+        runs.remove(path)
+        delete_folder(spark, path)
 
 
 def write_stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

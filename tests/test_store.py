@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom import session
 from rowloom.config import BuildConfig, ClassificationConfig, EvalConfig, RetrievalConfig
 from rowloom.plans import build, evaluate
 from rowloom.sources import catalog, store
@@ -77,7 +79,9 @@ def test_whole_build_and_evaluation(spark, tree, tmp_path):
     out = str(tmp_path / "out")
     config = BuildConfig(retrieval=RetrievalConfig(num_queries_per_type=6, max_samples_per_dataset=120),
                          classification=ClassificationConfig(max_samples_per_dataset=140))
+    held = set(os.listdir(session.shared_folder(spark)))
     build.build(spark, tree, out, config)
+    assert set(os.listdir(session.shared_folder(spark))) == held  # intermediate tables are gone
     rows = store.load_splits(spark, out)
     sizes = {r["dataset_key"]: r["count"] for r in rows.groupBy("dataset_key").count().collect()}
     assert sizes == {k: 140 for k in ("openml_cc18/one", "grinsztajn/num_clf/two", "openml_ctr23/a", "unipredict/u1/same")}

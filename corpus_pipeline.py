@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.llm import decontaminate, mixing, simhash, substrings, toxicity
 from rowloom.llm.frames import bound_batches, table
-from rowloom.session import write_stage
+from rowloom.session import delete_folder, scratch_path, temporary_stages
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The mixed corpus. A stage's intermediate tables are deleted when it is written, its result when the next stage is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = write_stage(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with temporary_stages(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete_folder(spark, before)
+        before = path
     return docs

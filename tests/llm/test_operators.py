@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -359,7 +360,9 @@ def test_pipeline_stages(spark):
             assert sorted(zip(after["doc_id"], after["taken"], strict=True)) == sorted(want)
             assert (after["copies"] * after["size"] == after["taken"]).all()
         docs = out
+    held = set(os.listdir(session.shared_folder(spark)))
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, out.collect()))
+    assert [n.partition("-")[0] for n in set(os.listdir(session.shared_folder(spark))) - held] == ["mixing"]  # intermediate tables are gone
 
 
 INTERNAL = ["_id", "_key", "_runs", "_row", "_values", "_same", "_mix", "_listed", "mixed", "windows", "row", "place", "code", "text_key", "stays", "first", "label", "taken", "weight"]

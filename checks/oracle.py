@@ -351,6 +351,8 @@ def sql() -> dict[str, str]:
         "stratified_split": f"WITH {SPLIT} SELECT dataset_key, row_id, label, split FROM split",
         "classification_build": f"WITH {SPLIT} SELECT dataset_key, label, split, count(*) AS n_rows, sum(length(text))::bigint AS n_chars, min(row_id) AS first_id FROM split GROUP BY 1, 2, 3",
         "empty_inputs": f"WITH {RAW} SELECT 'raw' AS stage, count(*) AS n_rows FROM raw UNION ALL SELECT unnest(['samples', 'splits', 'corpus', 'queries', 'conditions', 'qrels', 'totals']), 0",
+        "load_split_files": f"WITH {SPLIT} SELECT dataset_key, benchmark, sub_benchmark, dataset, split, label, text FROM split WHERE dataset <> 'documents'",
+        "clf_fit_optimum": "SELECT DISTINCT 'vectors/' || (vec_id % 5) AS dataset_key, true AS at_minimum FROM embeddings",
         "final_shuffle": f"WITH {SPLIT} SELECT dataset_key, split, row_number() OVER (PARTITION BY dataset_key, split ORDER BY md5(concat_ws('|', '42', 'final', dataset_key, row_id))) AS position, text FROM split",
         "corpus": f"WITH {CORPUS} SELECT idx, text, label, dataset, benchmark FROM corpus",
         "corpus_idx": f"WITH {CORPUS} SELECT idx, dataset_key, row_id FROM corpus",

@@ -243,6 +243,17 @@ def load_splits(spark: SparkSession, sf: str) -> DataFrame:
         .select("benchmark", "sub_benchmark", "dataset", "split", "label", "text")
 
 
+def load_split_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows from the plain layout, with a dataset that lacks a split."""
+    root = scratch_path(spark, "plain")
+    rows = split_samples(spark, sf).select("dataset_key", "split", "text", "label", "task_type")
+    for key, split in [tuple(r) for r in rows.select("dataset_key", "split").distinct().collect()]:  # a few datasets
+        if (key, split) != ("text/documents", "test"):
+            own = rows.filter((F.col("dataset_key") == key) & (F.col("split") == split)).select("text", "label", "task_type")
+            own.write.json(f"{root}/classification/{key}/{split}.jsonl")
+    return store.load_split_files(spark, root).select("dataset_key", "benchmark", "sub_benchmark", "dataset", "split", "label", "text")
+
+
 def final_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the written splits with their position in the files."""
     rows = spark.read.schema(store.SPLIT_SCHEMA).json(f"{split_store(spark, sf)}/classification").select(
@@ -883,6 +894,26 @@ def clf_fit_counts(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row_id").alias("n_predicted"), F.bool_and(F.col("prediction").between(0, 9)).alias("known_class"))
 
 
+def clf_fit_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """Does the regularised loss of every fitted model have no slope left? A row of another class, or other coefficients, would give it one."""
+    rows = _labelled_vectors(spark, sf)
+    train = rows.filter(F.col("split") == "train")
+    coded = write_stage(classify.label_encode(train, classify.class_index(train)).select("dataset_key", "class", "embedding"), "coded")
+    models = write_stage(classify.fit_classifiers(coded), "fitted")
+    score = F.aggregate(F.zip_with("embedding", "coef", lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, x: a + x) + F.col("intercept")
+    # every row meets the classes of its dataset, ten here
+    at = coded.withColumnRenamed("class", "own").withColumn("row", F.monotonically_increasing_id())
+    scored = write_stage(at.join(F.broadcast(models), "dataset_key").select("dataset_key", "row", "own", "class", "embedding", F.exp(score).alias("e")), "scored")
+    norm = scored.groupBy("row").agg(F.sum("e").alias("norm"))
+    gap = F.col("e") / F.col("norm") - (F.col("own") == F.col("class")).cast("double")
+    slopes = scored.join(norm, "row").withColumn("gap", gap).select("dataset_key", "class", "gap", F.posexplode(F.concat("embedding", F.array(F.lit(1.0).cast("float")))).alias("i", "x"))
+    slopes = slopes.groupBy("dataset_key", "class", "i").agg(F.sum(F.col("gap") * F.col("x")).alias("slope"))
+    weights = models.select("dataset_key", "class", F.posexplode(F.concat("coef", F.array(F.lit(0.0)))).alias("i", "w"))  # the intercept is not penalised
+    sizes = coded.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("n"))
+    total = slopes.join(weights, ["dataset_key", "class", "i"]).join(sizes, "dataset_key")
+    return total.groupBy("dataset_key").agg((F.max(F.abs(F.col("slope") + F.col("w")) / F.col("n")) < 1e-4).alias("at_minimum"))
+
+
 def classification_eval_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes of all classifiable datasets, and whether training rows are guessed at least as well as by their largest class."""
     train = split_samples(spark, sf).filter(F.col("split") == "train").groupBy("dataset_key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -930,4 +961,5 @@ QUERIES: dict[str, Query] = {
     "classification_eval_counts": classification_eval_counts,
     "match_bitmaps": match_bitmaps, "conjunction_counts": conjunction_counts, "num_blocks": num_blocks, "range_counts": range_counts,
     "hits_rel_by_condition": hits_rel_by_condition, "topk_ivf_exact": topk_ivf_exact, "final_shuffle": final_shuffle,
+    "load_split_files": load_split_files, "clf_fit_optimum": clf_fit_optimum,
 }

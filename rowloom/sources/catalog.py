@@ -29,7 +29,12 @@ FEATURE_SCHEMA = "name string, kind string, is_target boolean, _bad string"
 def layout_pattern(root: str, benchmarks: list[str] | None = None) -> str:
     """Path pattern of the dataset folders that the layout allows, level by level, for all or some benchmarks."""
     levels = ["/".join([benchmark, second or "*", *["*"] * (depth - 2)]) for benchmark, second, depth, *_ in LAYOUT if not benchmarks or benchmark in benchmarks]
-    return f"{re.sub(r'([{}*?,\[\]\\])', r'\\\1', root.rstrip('/'))}/{{{','.join(levels)}}}"
+    return f"{escaped_path(root)}/{{{','.join(levels)}}}"
+
+
+def escaped_path(path: str) -> str:
+    """The path itself as a pattern."""
+    return re.sub(r"([{}*?,\[\]\\])", r"\\\1", path.rstrip("/"))
 
 
 def list_files(spark: SparkSession, root: str, benchmarks: list[str] | None = None) -> DataFrame:

@@ -134,12 +134,12 @@ class Pair:
         self.lengths = [pa.array([len(b) for b in side.bytes], pa.int64()) for side in self.sides]
 
 
-_pairs: dict[bytes, Pair] = {}
+_pairs: dict[tuple[bytes, bytes], Pair] = {}
 
 
 def pair_of(spec: bytes, model: bytes) -> Pair:
     """The vocabularies of this worker process, loaded once."""
-    key = hashlib.sha256(hashlib.sha256(spec).digest() + hashlib.sha256(model).digest()).digest()
+    key = (spec, model)  # their hashes are kept with the objects
     if key not in _pairs:
         _pairs.clear()
         _pairs[key] = Pair(spec, model)
@@ -206,23 +206,16 @@ class Aligned:
     """Tokens, groups and links of some documents. Every token is in one group, every distinct end closes one link."""
 
     def __init__(self, a_ids: pa.ListArray, b_ids: pa.ListArray, pair: Pair) -> None:
-        self.ids, self.parents, self.starts, ends, tables = [], [], [], [], []
+        self.ids, self.parents, self.starts, ends = [], [], [], []
         for ids, lengths in zip((a_ids, b_ids), pair.lengths, strict=True):
             flat, parent = pc.list_flatten(ids), pc.list_parent_indices(ids)
             starts = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy())))
             running = pc.cumulative_sum(lengths.take(flat))
-            before = np.concatenate(([0], running.to_numpy()))[starts[:-1]]
-            end = pc.subtract(running, pa.array(before).take(parent))
             self.ids.append(flat.to_numpy())
             self.parents.append(parent.to_numpy())
             self.starts.append(starts)
             ends.append(running.to_numpy())
-            tables.append(pa.table({"doc": parent.cast(pa.int64()), "end": end, f"at{len(tables)}": pa.array(np.arange(len(flat)))}))
-        shared = tables[0].join(tables[1], ["doc", "end"], join_type="inner", use_threads=False).sort_by("at0")
-        self.last = [shared[f"at{k}"].to_numpy() for k in (0, 1)]  # last token of each group
-        self.group = [_counts_before(last, len(ids)) for last, ids in zip(self.last, self.ids, strict=True)]
-        n = len(a_ids)
-        self.n_groups = np.bincount(shared["doc"].to_numpy(), minlength=n)
+        self.ends, n = ends, len(a_ids)
         # both sides cover the same bytes of each document, so running ends are places in the same bytes
         total = int(ends[0][-1]) + 1 if len(ends[0]) else 0
         cuts = np.zeros(total, bool)
@@ -234,8 +227,23 @@ class Aligned:
         self.doc = self.parents[0][own[0]]
         self.link_starts = np.searchsorted(self.doc, np.arange(n + 1))
 
+    def close_groups(self) -> None:
+        """Find the groups: `last`, the last token of each on both sides, `group`, the group of each token, and `n_groups` of each document.
+
+        They close where the ends within a document, a cumulative sum that starts anew in each, are shared by both sides.
+        """
+        tables = []
+        for k, (end, parent, starts) in enumerate(zip(self.ends, self.parents, self.starts, strict=True)):
+            before = np.concatenate(([0], end))[starts[:-1]]
+            doc = parent.astype(np.int64)
+            tables.append(pa.table({"doc": doc, "end": end - before[doc], f"at{k}": np.arange(len(end))}))
+        shared = tables[0].join(tables[1], ["doc", "end"], join_type="inner", use_threads=False).sort_by("at0")
+        self.last = [shared[f"at{k}"].to_numpy() for k in (0, 1)]
+        self.group = [_counts_before(last, len(ids)) for last, ids in zip(self.last, self.ids, strict=True)]
+        self.n_groups = np.bincount(shared["doc"].to_numpy(), minlength=len(self.starts[0]) - 1)
+
     def group_texts(self) -> Iterator[memoryview]:
-        """`a1,a2|b1;a3|b2,b3` of each document."""
+        """`a1,a2|b1;a3|b2,b3` of each document, after `close_groups`."""
         n_a, n_b = len(self.ids[0]), len(self.ids[1])
         per_group = [np.diff(last, prepend=-1) for last in self.last]
         before = [np.concatenate(([0], np.cumsum(c))) for c in per_group]
@@ -280,6 +288,7 @@ def alignments(encoded: DataFrame, spec: bytes, model: bytes) -> DataFrame:
         parts = []
         for part in _pieces(batch):
             found = Aligned(part.column("a_ids"), part.column("b_ids"), pair_of(spec, model))
+            found.close_groups()
             bounds = pa.array(np.concatenate(([0], np.cumsum(found.n_groups))), pa.int32())
             doc = np.repeat(np.arange(part.num_rows), found.n_groups)
             parts.append([pa.ListArray.from_arrays(bounds, pa.array(last - starts[doc], pa.int32())) for last, starts in zip(found.last, found.starts, strict=True)])
@@ -343,6 +352,7 @@ def alignment_digests(encoded: DataFrame, counts: DataFrame, spec: bytes, model:
     def digests(part: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
         keys, numbers, flags = shared.value
         found = Aligned(part.column("a_ids"), part.column("b_ids"), pair_of(spec, model))
+        found.close_groups()
         wanted = found.a.astype(np.int64) << 32 | found.b
         at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
         known = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)

@@ -118,16 +118,20 @@ def _sorted_columns(batch: pa.RecordBatch) -> list[dict]:
         offsets = cells.offsets.to_numpy()
         row = np.repeat(np.arange(len(cells)), np.diff(offsets)).astype(np.uint16)
         part = slice(offsets[0], offsets[-1])
-        name = cells.keys[part].dictionary_encode()
-        code, items = name.indices.to_numpy(), cells.items[part]
+        name, items = cells.keys[part].dictionary_encode(), cells.items[part]
+        present = np.flatnonzero(items.is_valid().to_numpy(zero_copy_only=False))
+        row, code, items = row[present], name.indices.to_numpy()[present], items.take(pa.array(present))
         if kind == "numeric":
-            keys = [items.to_numpy(zero_copy_only=False).astype(np.float32)]
+            with np.errstate(over="ignore"):
+                keys = [items.to_numpy().astype(np.float32)]
         else:
             keys = [items.field(i).to_numpy() for i in (0, 1)]
         order = np.lexsort((*keys[::-1], code))
         cut = np.searchsorted(code[order], np.arange(len(name.dictionary) + 1))
         for n, column in enumerate(name.dictionary.to_pylist()):
             own = order[cut[n]:cut[n + 1]]
+            if not len(own):
+                continue
             more = keys[1][own].tobytes() if len(keys) > 1 else b""
             made.append({"name": column, "kind": kind, "keys": keys[0][own].tobytes(), "more": more, "rows": row[own].tobytes()})
     return made
@@ -135,9 +139,8 @@ def _sorted_columns(batch: pa.RecordBatch) -> list[dict]:
 
 def block_index(corpus: DataFrame) -> DataFrame:
     """(ids, columns): one row per block of corpus rows. Nothing is shuffled, and texts do not leave the JVM."""
-    numeric = F.transform_values(F.map_filter("nums", lambda _, v: v.isNotNull()), lambda _, v: v.cast("float"))
-    categorical = F.transform_values(F.map_filter("cats", lambda _, v: v.isNotNull()), lambda _, v: F.struct(*[h.alias(n) for h, n in zip(_hashes(v), "ab", strict=True)]))
-    rows = corpus.select("idx", numeric.alias("numeric"), categorical.alias("categorical"))
+    hashes = F.transform_values("cats", lambda _, v: F.when(v.isNotNull(), F.struct(*[h.alias(n) for h, n in zip(_hashes(v), "ab", strict=True)])))
+    rows = corpus.select("idx", F.col("nums").alias("numeric"), hashes.alias("categorical"))
     kind = pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("keys", pa.binary()), ("more", pa.binary()), ("rows", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

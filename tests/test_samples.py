@@ -162,3 +162,20 @@ def test_canonical_samples(spark):
 def test_no_tables(spark):
     empty = union_samples(spark, [])
     assert empty.count() == 0 and "text" in empty.columns
+
+
+def test_ordering_takes_as_many_tasks_as_its_rows_need(spark, monkeypatch):
+    """Rows of one task are bounded whatever the number of shuffle partitions, and written tables are packed tightly."""
+    from pyspark.sql import functions as F
+
+    from rowloom.operators import rank
+    from rowloom.session import WIDE_CODEC, write_stage
+
+    monkeypatch.setattr(rank, "SORTED_ROWS", 100)
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), F.md5(F.col("id").cast("string")).alias("draw"), F.col("id").cast("string").alias("row_id"))
+    made = rank.dense_position(rows, "g", "draw", "row_id")
+    sizes = made.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 300 and made.rdd.getNumPartitions() == 30
+    want = sorted((r["g"], r["draw"], r["row_id"]) for r in rows.collect())
+    assert [(r["g"], r["draw"], r["row_id"]) for r in made.orderBy("idx").collect()] == want
+    assert all(".zstd.parquet" in name for name in write_stage(rows, "packed", codec=WIDE_CODEC).inputFiles())

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.operators.rank import dense_position
-from rowloom.operators.samples import with_draw
+from rowloom.operators.rank import dense_position, places, positions
+from rowloom.operators.samples import row_draw, with_draw
+
+PLACE = ("_bucket", "_nth")   # what `place_rows` adds
 
 
 def number_corpus(samples: DataFrame, seed: int = 42) -> DataFrame:
@@ -15,6 +17,16 @@ def number_corpus(samples: DataFrame, seed: int = 42) -> DataFrame:
     return dense_position(drawn, "dataset_pos", "_draw", "row_id").select(*samples.columns, "idx")
 
 
+def place_rows(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """Add `_bucket` and `_nth` to the rows of one dataset, at most n; `number_placed` tells `idx` from them once all rows are written."""
+    return places(rows, row_draw(seed), "row_id", n)
+
+
+def number_placed(written: DataFrame) -> DataFrame:
+    """Add `idx` to placed rows, as `number_corpus` does."""
+    return positions(written, "dataset_pos")
+
+
 def corpus_table(numbered: DataFrame) -> DataFrame:
     """The published corpus columns."""
     return numbered.select("idx", "text", "label", "dataset", "benchmark")

@@ -17,6 +17,8 @@ BUCKET_DIGITS = 3
 BUCKET_ROWS = 1_000_000
 MOST_DIGITS = 16
 SORTED_ROWS = 250_000    # rows that one task orders, about
+TASK_ROWS = 125_000      # rows that one task places, about
+PLACE_BUCKET = 16_384    # rows of one bucket of placed rows, at most about
 
 
 def digits_for(rows: int) -> int:
@@ -27,16 +29,25 @@ def digits_for(rows: int) -> int:
     return digits
 
 
+def place_digits(rows: int) -> int:
+    """Leading digits that leave at most about PLACE_BUCKET rows of a group in one bucket, so that many small groups have few buckets."""
+    digits = 0
+    while digits < MOST_DIGITS and rows > PLACE_BUCKET * 16**digits:
+        digits += 1
+    return digits
+
+
 def _with_bucket(df: DataFrame, digest: str, digits: int) -> DataFrame:
     return df.withColumn("_bucket", F.substring(digest, 1, digits))
 
 
 def bucket_profile(df: DataFrame, keys: list[str], digest: str, digits: int = BUCKET_DIGITS) -> DataFrame:
     """(keys, _bucket, _n, _before, _total): rows of each bucket, rows in earlier buckets, group size."""
-    counts = (
-        _with_bucket(df.select(*keys, digest), digest, digits)
-        .groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    )
+    return _profile(_with_bucket(df.select(*keys, digest), digest, digits), keys)
+
+
+def _profile(bucketed: DataFrame, keys: list[str]) -> DataFrame:
+    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return counts.withColumn("_before", F.sum("_n").over(earlier) - F.col("_n")).withColumn(
@@ -84,6 +95,40 @@ def up_to_cut(digest: str, row_id: str) -> Column:
     )
 
 
+def places(df: DataFrame, digest: Column, row_id: str, rows: int) -> DataFrame:
+    """Add `_bucket` and `_nth`, the 1-based place in its bucket in the order (digest, row_id), to the rows of one group of at most `rows` rows.
+
+    The rows are shuffled once, to as many tasks as keep what one of them orders within its memory. Digests do not move, they are made again
+    behind the shuffle; identities that are MD5 digests are packed.
+    """
+    packed = F.when(F.col(row_id).rlike("^[0-9a-f]{32}$"), F.unhex(row_id))
+    names = df.columns
+    moved = df.select(*[c for c in names if c != row_id], packed.alias("_packed"), F.when(packed.isNull(), F.col(row_id)).alias("_plain"),
+                      F.substring(digest, 1, place_digits(rows)).alias("_bucket"))
+    back = moved.repartition(-(-rows // TASK_ROWS), "_bucket").withColumn(row_id, F.coalesce(F.lower(F.hex("_packed")), "_plain")).select(*names, "_bucket")
+    order = Window.partitionBy("_bucket").orderBy("_digest", row_id)
+    return back.withColumn("_digest", digest).withColumn("_nth", F.row_number().over(order)).drop("_digest")
+
+
+def _offsets(profile: DataFrame, group: str) -> DataFrame:
+    """(group, _bucket, _offset): rows in earlier groups and in earlier buckets of the group."""
+    totals = profile.groupBy(group).agg(F.max("_total").alias("_total"))
+    running = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = totals.withColumn("_start", F.sum("_total").over(running) - F.col("_total"))
+    return profile.join(starts.select(group, "_start"), group).select(
+        group, "_bucket", (F.col("_start") + F.col("_before")).alias("_offset")
+    )
+
+
+def positions(placed: DataFrame, group: str) -> DataFrame:
+    """Turn the `_bucket` and `_nth` of a written table of placed rows into `idx`, their 0-based position in the order (group, digest, row_id).
+
+    Offsets are counted on these columns and broadcast, so the rows need not be written again.
+    """
+    located = join_small(placed, _offsets(_profile(placed, [group]), group), [group, "_bucket"])
+    return located.withColumn("idx", F.col("_offset") + F.col("_nth") - 1).drop("_bucket", "_nth", "_offset")
+
+
 def dense_position(df: DataFrame, group: str, digest: str, row_id: str) -> DataFrame:
     """Add `idx`: 0-based position in the order (group, digest, row_id), without a global window.
 
@@ -92,13 +137,7 @@ def dense_position(df: DataFrame, group: str, digest: str, row_id: str) -> DataF
     """
     rows = df.count()
     digits = digits_for(rows)
-    profile = bucket_profile(df, [group], digest, digits)
-    totals = profile.groupBy(group).agg(F.max("_total").alias("_total"))
-    running = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = totals.withColumn("_start", F.sum("_total").over(running) - F.col("_total"))
-    offsets = profile.join(starts.select(group, "_start"), group).select(
-        group, "_bucket", (F.col("_start") + F.col("_before")).alias("_offset")
-    )
+    offsets = _offsets(bucket_profile(df, [group], digest, digits), group)
     bucketed = join_small(_with_bucket(df, digest, digits), offsets, [group, "_bucket"])
     tasks = -(-rows // SORTED_ROWS)
     if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.config import BuildConfig
@@ -11,11 +11,16 @@ from rowloom.operators.rank import group_cut, up_to_cut
 from rowloom.session import WIDE_CODEC, join_small, write_stage
 
 
+def row_draw(seed: int) -> Column:
+    """The draw of a row, 64 random bits as hex digits."""
+    return F.substring(seed_hash(seed, F.col("dataset_key"), F.col("row_id")), 1, 16)
+
+
 def with_draw(samples: DataFrame, seed: int, name: str = "_draw") -> DataFrame:
-    """Add the row's draw, 64 random bits as hex digits; a written table already carries it as draw_{seed}."""
+    """Add the row's draw; a written table already carries it as draw_{seed}."""
     if f"draw_{seed}" in samples.columns:
         return samples.withColumn(name, F.col(f"draw_{seed}"))
-    return samples.withColumn(name, F.substring(seed_hash(seed, F.col("dataset_key"), F.col("row_id")), 1, 16))
+    return samples.withColumn(name, row_draw(seed))
 
 
 def sample_cuts(samples: DataFrame, max_samples: int, seed: int = 42) -> DataFrame:

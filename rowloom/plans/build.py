@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -11,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.config import BuildConfig
-from rowloom.operators.cells import number_corpus
+from rowloom.operators.cells import PLACE, number_corpus, number_placed, place_rows
 from rowloom.operators.match import match_anchor
 from rowloom.operators.samples import (
-    build_samples, class_cuts, clf_stats, keep_classifiable, length_filter, mark_split, retrieval_stats,
-    sample_per_dataset, split_metadata,
+    build_samples, class_cuts, clf_stats, dataset_sizes, keep_classifiable, keep_sampled, length_filter, mark_split, retrieval_stats,
+    sample_cuts, sample_per_dataset, split_metadata,
 )
 from rowloom.operators.workload import build_queries
 from rowloom.session import WIDE_CODEC, stage_small, temporary_stages, write_stage
 from rowloom.sources import store
 from rowloom.sources.catalog import discover_datasets, specs
-from rowloom.sources.tables import DatasetSpec, load_table, project_samples, union_samples, with_row_id
+from rowloom.sources.tables import (
+    SAMPLE_SCHEMA, DatasetSpec, load_table, project_samples, samples_of_cells, typed_cells, union_samples, with_row_id,
+)
 
 TABLES_AT_ONCE = 8       # tables that the driver loads side by side
 Tables = Sequence[tuple[DatasetSpec, DataFrame]]
@@ -71,15 +74,35 @@ def classification_set(spark: SparkSession, tables: Tables, config: BuildConfig
 
 
 def retrieval_corpus(spark: SparkSession, tables: Tables, config: BuildConfig = BuildConfig()) -> DataFrame:
-    """Numbered samples of all tables."""
-    samples = union_samples(spark, tables, config.serializer.numeric_precision)
-    samples = build_samples(samples, config, config.retrieval.max_samples_per_dataset)
-    return number_corpus(samples, config.random_seed)
+    """Numbered samples of all tables, after row cap, size gate and length filter.
+
+    Rows are moved to their place as the tables have them and written as sentences there, once: a sample is several times as wide as its
+    row. `idx` is told from their places. The driver sees one count for each dataset.
+    """
+    seed, precision, cap = config.random_seed, config.serializer.numeric_precision, config.retrieval.max_samples_per_dataset
+    cuts, placed = None, []
+    if cap:
+        raw = union_samples(spark, tables, precision)
+        cuts = stage_small(sample_cuts(raw, cap, seed), "sample_cuts")[0]
+        sampled = [keep_sampled(raw, cuts, seed)]
+    else:
+        sampled = [df.select(F.lit(spec.key).alias("dataset_key")) for spec, df in tables]
+    sizes = {r["dataset_key"]: r["n_rows"] for r in dataset_sizes(reduce(DataFrame.unionByName, sampled)).collect()} if sampled else {}
+    for position, (spec, df) in enumerate(tables):
+        if sizes.get(spec.key, 0) < config.min_samples:
+            continue
+        rows = project_samples(df, spec, position, precision, carry=[typed_cells(df, spec)])
+        rows = length_filter(keep_sampled(rows, cuts, seed) if cap else rows, config.serializer.max_chars)
+        rows = place_rows(rows.select("dataset_pos", "dataset_key", "row_id", "cells"), sizes[spec.key], seed)
+        placed.append(samples_of_cells(rows, df, spec, position, precision, PLACE))
+    if not placed:
+        return number_corpus(spark.createDataFrame([], SAMPLE_SCHEMA), seed)
+    return number_placed(write_stage(reduce(DataFrame.unionByName, placed), "corpus", codec=WIDE_CODEC))
 
 
 def retrieval_set(spark: SparkSession, tables: Tables, config: BuildConfig = BuildConfig()) -> RetrievalSet:
     """Corpus, queries, their conditions and their exact matching rows."""
-    corpus = write_stage(retrieval_corpus(spark, tables, config), "corpus", codec=WIDE_CODEC)
+    corpus = retrieval_corpus(spark, tables, config)
     queries, conditions = build_queries(corpus, config.retrieval, config.random_seed)
     qrels = match_anchor(corpus, conditions, config.retrieval.max_conditions)
     return RetrievalSet(corpus, queries, conditions, qrels)

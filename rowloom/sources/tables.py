@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pyarrow as pa
@@ -257,11 +257,11 @@ def load_table(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
 
 
 def project_samples(df: DataFrame, spec: DatasetSpec, position: int = 0, precision: int = 2,
-                    with_csv: bool = False) -> DataFrame:
+                    with_csv: bool = False, carry: Sequence[Column] = ()) -> DataFrame:
     """Canonical samples of one table, as a single projection.
 
     Numeric cells go to `nums`, categorical ones to `cats`; a missing cell stays in its map as null,
-    so the maps also carry the table's column kinds. `with_csv` adds the row as the CSV sink writes it.
+    so the maps also carry the table's column kinds. `with_csv` adds the row as the CSV sink writes it. `carry` comes along.
     """
     if ROW_ID not in df.columns:
         df = with_row_id(df, spec.id_columns)
@@ -301,9 +301,23 @@ def project_samples(df: DataFrame, spec: DatasetSpec, position: int = 0, precisi
         num_map.alias("nums"),
         cat_map.alias("cats"),
         *csv,
+        *carry,
     )
 
 
+def typed_cells(df: DataFrame, spec: DatasetSpec) -> Column:
+    """`cells`, the columns of a row that its sample is made of, as its table has them: the form in which rows are moved."""
+    return F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([*spec.feature_columns(df), spec.target])]).alias("cells")
+
+
+def samples_of_cells(rows: DataFrame, df: DataFrame, spec: DatasetSpec, position: int = 0, precision: int = 2,
+                     carry: Sequence[str] = ()) -> DataFrame:
+    """Canonical samples of rows (row_id, cells, ...) that were taken from `df`; columns in `carry` come along."""
+    held = rows.select("cells.*", F.col("row_id").alias(ROW_ID), F.struct(*carry).alias("_row_carry"))
+    declared = replace(spec, columns=tuple(spec.feature_columns(df)))
+    return project_samples(held, declared, position, precision, carry=[F.col(f"_row_carry.{c}") for c in carry])
+
+
 SAMPLE_SCHEMA = T.StructType([
     T.StructField("dataset_pos", T.IntegerType()),
     *[T.StructField(c, T.StringType()) for c in

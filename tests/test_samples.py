@@ -179,3 +179,38 @@ def test_ordering_takes_as_many_tasks_as_its_rows_need(spark, monkeypatch):
     want = sorted((r["g"], r["draw"], r["row_id"]) for r in rows.collect())
     assert [(r["g"], r["draw"], r["row_id"]) for r in made.orderBy("idx").collect()] == want
     assert all(".zstd.parquet" in name for name in write_stage(rows, "packed", codec=WIDE_CODEC).inputFiles())
+
+
+def test_corpus_is_written_once_and_numbered_like_its_samples(spark, monkeypatch):
+    """Rows are moved as their tables have them: only the corpus itself is written as sentences. Columns may be named like helper columns."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from rowloom.config import RetrievalConfig, SerializerConfig
+    from rowloom.operators import rank
+    from rowloom.plans import build
+    from rowloom.session import temporary_stages
+
+    monkeypatch.setattr(rank, "PLACE_BUCKET", 10)
+    monkeypatch.setattr(rank, "TASK_ROWS", 50)
+    keyed = spark.range(300).select(F.col("id"), (F.col("id") % 7 / 3).alias("_bucket"), F.concat(F.lit("t"), "id").alias("text"),
+                                    F.when(F.col("id") % 5 > 0, F.repeat(F.lit("x"), (F.col("id") % 90).cast("int"))).alias("row_id"), (F.col("id") % 2 == 0).alias("y"))
+    twice = spark.createDataFrame([(i % 40, None if i % 4 else "d", "ab"[i % 2]) for i in range(120)], "v int, dataset_key string, `c.d` string")
+    small = spark.createDataFrame([(1, "a")] * 20, "v int, y string")
+    digests = keyed.withColumn("id", F.md5(F.col("id").cast("string")))
+    tables = [(DatasetSpec("keyed", "b", "y", {"_bucket": "float"}, id_columns=("id",)), keyed), (DatasetSpec("twice", "b", "c.d", {"v": "int"}), twice),
+              (DatasetSpec("small", "b", "y", {"v": "int"}), small), (DatasetSpec("digests", "b", "y", {"_bucket": "float"}, id_columns=("id",)), digests)]
+    tables = [(spec, with_row_id(df, spec.id_columns)) for spec, df in tables]
+    for cap in (None, 110):
+        config = BuildConfig(retrieval=RetrievalConfig(max_samples_per_dataset=cap), serializer=SerializerConfig(model_max_len_tokens=30))
+        want = cells.number_corpus(samples.build_samples(union_samples(spark, tables), config, cap)).drop("n_chars", "draw_42")
+        with temporary_stages(spark) as folder:
+            made = build.retrieval_corpus(spark, tables, config)
+            wide = [name for name in os.listdir(folder) if "text" in spark.read.parquet(f"{folder}/{name}").columns]
+            assert [name.split("-")[0] for name in wide] == ["corpus"]
+            assert sorted(made.columns) == sorted(want.columns)
+            got = sorted(made.select(want.columns).collect(), key=lambda r: r["idx"])
+        assert got == sorted(want.collect(), key=lambda r: r["idx"]) and 200 < len(got) < 640
+    none = build.retrieval_corpus(spark, [], BuildConfig())
+    assert none.count() == 0 and "idx" in none.columns

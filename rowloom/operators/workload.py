@@ -20,7 +20,7 @@ from rowloom.functions.draws import draw_below, draw_int, draw_unit, seed_hash
 from rowloom.operators.cells import pool_tables
 from rowloom.operators.index import block_index, conjunction_counts
 from rowloom.operators.match import CONDITION_SCHEMA
-from rowloom.session import join_small, stage_small, write_stage
+from rowloom.session import WIDE_CODEC, join_small, stage_small, write_stage
 
 QUERY_TYPES = ["numeric", "categorical", "mixed"]
 ATTEMPTS_PER_QUERY = 50
@@ -160,16 +160,17 @@ def _next_range(target: int, done: int, accepted: int) -> int:
     return min(math.ceil(left / rate * 1.2) + SPARE_ATTEMPTS, target * ATTEMPTS_PER_QUERY - done)
 
 
-def build_queries(corpus: DataFrame, config: RetrievalConfig = RetrievalConfig(), seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def build_queries(corpus: DataFrame, config: RetrievalConfig = RetrievalConfig(), seed: int = 42,
+                  index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(queries, conditions) of the accepted attempts.
 
-    The block index of the corpus is written once; a round reads it once, and the rows its attempts draw. Runs rounds of attempts until every quota is filled or its budget is spent. The driver sees one
+    The block index of the corpus is written once, unless a written `index` is given; a round reads it once, and the rows its attempts draw. Runs rounds of attempts until every quota is filled or its budget is spent. The driver sees one
     count per quota and round, nothing else.
     """
     spark = corpus.sparkSession
     tables, _ = stage_small(pool_tables(corpus), "pool_tables")
     blocks, _ = stage_small(pool_blocks(tables), "pool_blocks")
-    index = write_stage(block_index(corpus), "block_index")
+    index = write_stage(block_index(corpus), "block_index", codec=WIDE_CODEC) if index is None else index
     pools = blocks.groupBy("query_type").agg(F.max("pool_end").alias("pool_rows"))
     pool_rows = {r["query_type"]: r["pool_rows"] for r in pools.collect()}
     quotas = {(t, n): target for t, n, target in quota_rows(config) if t in pool_rows and target > 0}

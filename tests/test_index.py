@@ -154,3 +154,25 @@ def test_indexes_of_nothing(spark, skewed):
     ordered = index.value_order(none)
     assert index.num_blocks(ordered).count() == 0
     assert all(r.n_rows == 0 for r in index.range_counts(ordered, index.num_blocks(ordered), conds).collect())
+
+
+def test_a_given_index_is_not_made_again(spark, skewed):
+    """Queries are drawn and counted from the index that is there; without one it is written, packed."""
+    import glob
+
+    from rowloom.config import RetrievalConfig
+    from rowloom.operators import workload
+    from rowloom.session import WIDE_CODEC, temporary_stages
+
+    corpus = skewed[1].withColumn("dataset_pos", F.lit(0))
+    blocks = write_stage(index.block_index(corpus), "blocks", codec=WIDE_CODEC)
+    config = RetrievalConfig(num_queries_per_type=6, min_matches=1)
+    with temporary_stages(spark) as folder:
+        queries, conds = workload.build_queries(corpus, config, index=blocks)
+        got = sorted(map(tuple, conds.collect()), key=repr)
+        assert not glob.glob(f"{folder}/block_index-*")
+        counts = {r["query_id"]: r["num_matches"] for r in index.conjunction_counts(blocks, conds).collect()}
+        assert counts == {r["query_id"]: r["num_matches"] for r in queries.collect()} and counts
+    with temporary_stages(spark) as folder:
+        assert sorted(map(tuple, workload.build_queries(corpus, config)[1].collect()), key=repr) == got
+        assert glob.glob(f"{folder}/block_index-*/*.zstd.parquet")

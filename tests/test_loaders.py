@@ -1,6 +1,7 @@
 """Loaders, sinks and metrics on input that is easily lost or counted twice."""
 
 import csv
+import gzip
 import io
 import json
 
@@ -41,6 +42,21 @@ def test_dataset_names_stay_text(spark, tmp_path):
     assert store.load_splits(spark, str(tmp_path), datasets=["007"], split="train").count() == 4
 
 
+def test_splits_are_packed_and_keep_their_order(spark, tmp_path):
+    """Files are compressed; plain files beside them, of an earlier run, are read too."""
+    store.write_splits(split_rows(spark, ["one"]), str(tmp_path))
+    files = sorted(p for p in (tmp_path / "classification").rglob("part-*") if p.is_file())
+    assert files and all(p.name.endswith(".json.gz") for p in files)
+    want = split_rows(spark, ["one"]).filter("split = 'test'").withColumn("d", store.final_draw(identity="text")).orderBy("d")
+    lines = [json.loads(line)["text"] for p in files if "split=test" in str(p) for line in gzip.decompress(p.read_bytes()).decode().splitlines()]
+    assert lines == [r["text"] for r in want.collect()]
+    plain = tmp_path / "classification" / "benchmark=b" / "sub_benchmark=__HIVE_DEFAULT_PARTITION__" / "dataset=two"
+    for split in ("train", "test"):
+        (plain / f"split={split}").mkdir(parents=True)
+        (plain / f"split={split}" / "part-0.json").write_text('{"text": "t", "label": "l", "task_type": "clf", "dataset_key": "b/two"}\n')
+    assert {r["dataset"]: r["count"] for r in store.load_splits(spark, str(tmp_path)).groupBy("dataset").count().collect()} == {"one": 8, "two": 2}
+
+
 CSV = ('id,"te\nxt",n\r\n1,"a ""b"", c",7\r\n2,"line\none\r\n\n""two""",8\r\n3,plain,9\r\n4,"",10\r\n'
        '5,"\n",11\r\n\r\n6,"ends, ""here""\n",12\r\n7,"x\ny\nz",13')
 

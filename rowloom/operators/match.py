@@ -9,8 +9,11 @@ ever shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,9 @@ CONDITION_SCHEMA = T.StructType([
     T.StructField("operator", T.StringType()), T.StructField("num", T.DoubleType()),
     T.StructField("str", T.StringType()),
 ])
+PAIR_BLOCK = 65_536          # row numbers of one block of pairs
+PACKED_PAIRS = 1_000_000     # pairs that a task packs together
+UNPACKED_BLOCKS = 64         # blocks that are listed together
 _GRID = 1000.0
 _MARGIN = 2e-6
 
@@ -177,11 +183,86 @@ def match_counts(matches: DataFrame, min_matches: int = 5) -> DataFrame:
     return counts.filter(F.col("num_matches") >= min_matches)
 
 
-def ground_truth_blocks(qrels: DataFrame, block_rows: int = 65_536) -> DataFrame:
+def packed_pairs(pairs: DataFrame, block_rows: int) -> DataFrame:
+    """(query_id, block, parts): pairs (query_id, idx) by blocks of row numbers, as lists of places in the block.
+
+    Tasks pack their pairs before these are shuffled, so a pair moves as the two bytes of its place (four in blocks of more than 65,536 rows). A missing
+    row number has a block of its own, null.
+    """
+    qtype = dict(pairs.dtypes)["query_id"]
+    width = np.uint16 if block_rows <= 2**16 else np.uint32
+
+    def pack(table: pa.Table) -> pa.RecordBatch:
+        names = table["query_id"].combine_chunks().dictionary_encode()
+        query = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False)
+        idx = table["idx"].combine_chunks()
+        absent = idx.is_null().to_numpy(zero_copy_only=False)
+        idx = idx.fill_null(0).to_numpy(zero_copy_only=False)
+        order = np.lexsort((idx, absent, query))
+        query, idx, absent = query[order], idx[order], absent[order]
+        block = idx // block_rows
+        new = np.ones(len(idx), bool)
+        new[1:] = (query[1:] != query[:-1]) | (block[1:] != block[:-1]) | (absent[1:] != absent[:-1])
+        first = np.flatnonzero(new)
+        ends = np.append(first, len(idx)).astype(np.int64) * width().itemsize
+        places = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer((idx - block * block_rows).astype(width))])
+        which = pa.array(query[first], pa.int64(), mask=query[first] == len(names.dictionary))
+        return pa.RecordBatch.from_arrays([names.dictionary.take(which), pa.array(block[first], pa.int64(), mask=absent[first]), places.cast(pa.binary())],
+                                          ["query_id", "block", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= PACKED_PAIRS:
+                yield pack(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield pack(pa.Table.from_batches(held))
+
+    packed = pairs.select("query_id", F.col("idx").cast("bigint").alias("idx")).mapInArrow(run, f"query_id {qtype}, block bigint, places binary")
+    return packed.groupBy("query_id", "block").agg(F.collect_list("places").alias("parts"))
+
+
+def _unpacked(packed: DataFrame, block_rows: int, distinct: bool) -> DataFrame:
+    """(query_id, block, matching_indices) of packed pairs; a block that is null has no row numbers."""
+    qtype = dict(packed.dtypes)["query_id"]
+    width = np.uint16 if block_rows <= 2**16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, UNPACKED_BLOCKS):
+                piece = batch.slice(at, UNPACKED_BLOCKS)
+                lists = []
+                for block, parts in zip(piece.column("block").to_pylist(), piece.column("parts").to_pylist(), strict=True):
+                    places = np.frombuffer(b"".join(parts) if block is not None else b"", width)
+                    places = np.unique(places) if distinct else np.sort(places)
+                    lists.append(places.astype(np.int64) + (block or 0) * block_rows)
+                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
+                yield pa.RecordBatch.from_arrays([piece.column("query_id"), piece.column("block"), ids], ["query_id", "block", "matching_indices"])
+
+    return packed.mapInArrow(run, f"query_id {qtype}, block bigint, matching_indices array<bigint>")
+
+
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """(query_id, idx): every pair once, whatever number of times it is given."""
+    blocks = _unpacked(packed_pairs(pairs, PAIR_BLOCK), PAIR_BLOCK, distinct=True)
+    return blocks.select("query_id", F.explode(F.when(F.col("block").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.col("matching_indices"))).alias("idx"))
+
+
+def distinct_counts(pairs: DataFrame) -> DataFrame:
+    """(query_id, n): different pairs of each query. The pairs are packed, counted and never listed."""
+    sizes = _unpacked(packed_pairs(pairs, PAIR_BLOCK), PAIR_BLOCK, distinct=True).select(
+        "query_id", F.when(F.col("block").isNull(), 1).otherwise(F.size("matching_indices")).cast("bigint").alias("n"))
+    return sizes.groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
+def ground_truth_blocks(qrels: DataFrame, block_rows: int = PAIR_BLOCK) -> DataFrame:
     """(query_id, block, matching_indices): sorted row ids, in arrays of bounded length.
 
     Block b holds the ids from b * block_rows on, so no array grows with the corpus, and reading the
-    blocks in order gives the full sorted list.
+    blocks in order gives the full sorted list. Ids are packed before they are shuffled.
     """
-    block = F.floor(F.col("idx") / F.lit(block_rows)).cast("bigint")
-    return qrels.groupBy("query_id", block.alias("block")).agg(F.sort_array(F.collect_list("idx")).alias("matching_indices"))
+    return _unpacked(packed_pairs(qrels, block_rows), block_rows, distinct=False)

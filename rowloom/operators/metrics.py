@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.vectors import discount, ideal_gain
-from rowloom.operators.match import anchored, condition_width, row_holds, settled_conditions, usable_conditions
+from rowloom.operators.match import anchored, condition_width, distinct_counts, row_holds, settled_conditions, usable_conditions
 from rowloom.session import join_small
 
 TOP_K = (1, 5, 10, 20, 50, 100)
@@ -83,8 +83,7 @@ def judged_counts(qrels: Judgements) -> DataFrame:
     """(query_id, num_matches): distinct relevant rows of each query."""
     if isinstance(qrels, ClassJudgements):
         return _counts_by_class(qrels)
-    distinct = qrels.select("query_id", "idx").distinct()
-    return distinct.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_matches"))
+    return distinct_counts(qrels).withColumnRenamed("n", "num_matches")
 
 
 def _counts_by_class(qrels: ClassJudgements) -> DataFrame:

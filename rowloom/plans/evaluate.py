@@ -14,7 +14,7 @@ from rowloom.config import EvalConfig
 from rowloom.operators import classify
 from rowloom.operators.encode import Encoder, encode_sparse, encode_text
 from rowloom.operators.metrics import Judgements, compute_retrieval_metrics
-from rowloom.operators.search import INDEX_TYPES, search
+from rowloom.operators.search import INDEX_TYPES, scans, search
 from rowloom.session import WIDE_CODEC, write_stage
 from rowloom.sources import store
 
@@ -47,10 +47,11 @@ def evaluate_retrieval(queries: DataFrame, corpus: DataFrame, qrels: Judgements,
 
     An empty query set or corpus gives an empty table.
     """
-    c = write_stage(encode_text(corpus.select("idx", "text"), "text", encoder_factory, config.batch_size)
-                    .select("idx", "embedding"), "corpus_vectors")
     q = write_stage(encode_text(queries.select("query_id", "query_text"), "query_text", encoder_factory, config.batch_size)
                     .select("query_id", "embedding"), "query_vectors")
+    c = encode_text(corpus.select("idx", "text"), "text", encoder_factory, config.batch_size).select("idx", "embedding")
+    if config.retrieval_index_type != "flat" or not scans(q, max(config.retrieval_top_k)):  # else the vectors are read once
+        c = write_stage(c, "corpus_vectors")
     return evaluate_search(queries, q, c, qrels, config)
 
 

@@ -36,3 +36,28 @@ def test_distinct_pairs_and_counts(spark):
     judged = metrics.judged_counts(table)
     assert {r["query_id"]: r["num_matches"] for r in judged.collect()} == counts
     assert "MapInArrow" in judged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_queries_go_to_the_corpus(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(700)]
+    corpus = spark.createDataFrame(vectors, "idx bigint, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame(vectors[:9], "query_id bigint, embedding array<float>")
+    found = search.topk_flat(queries, corpus, 20)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(search, "SCAN_BYTES", 2000)
+    small = search.topk_flat(queries, corpus, 20)
+    rows = {tuple(r) for r in found.collect()}
+    assert rows == {tuple(r) for r in small.collect()}
+    monkeypatch.setattr(search, "SCAN_HITS", 0)
+    assert rows == {tuple(r) for r in search.topk_flat(queries, corpus, 20).collect()} and len(rows) == 180
+
+
+def test_corpus_vectors_of_a_flat_search_are_not_written(spark, monkeypatch):
+    staged, write = [], evaluate.write_stage
+    monkeypatch.setattr(evaluate, "write_stage", lambda df, name, *a, **b: (staged.append(name), write(df, name, *a, **b))[1])
+    corpus = spark.createDataFrame([(i, f"the number is {i}") for i in range(50)], "idx bigint, text string")
+    queries = spark.createDataFrame([("q", "number 7", "mixed", 1, 1)], "query_id string, query_text string, query_type string, num_conditions int, num_matches int")
+    made = evaluate.evaluate_retrieval(queries, corpus, spark.createDataFrame([("q", 7)], "query_id string, idx bigint"))
+    assert made.filter("metric = 'mrr' AND k = 100 AND breakdown = 'overall'").first()["mean"] == 1.0
+    assert "corpus_vectors" not in staged

@@ -61,3 +61,14 @@ def test_corpus_vectors_of_a_flat_search_are_not_written(spark, monkeypatch):
     made = evaluate.evaluate_retrieval(queries, corpus, spark.createDataFrame([("q", 7)], "query_id string, idx bigint"))
     assert made.filter("metric = 'mrr' AND k = 100 AND breakdown = 'overall'").first()["mean"] == 1.0
     assert "corpus_vectors" not in staged
+
+
+def test_retrieval_files_are_packed(spark, tmp_path):
+    corpus = spark.range(40).select(F.col("id").alias("idx"), F.lit("t").alias("text"), F.lit("l").alias("label"), F.lit("d").alias("dataset"), F.lit("b").alias("benchmark"))
+    queries = spark.createDataFrame([("retrieval", "q", "x", "numeric", 1, 2)], "task string, query_id string, query_text string, query_type string, num_conditions int, num_matches bigint")
+    conds = spark.createDataFrame([("q", 1, "a", "numeric", ">", 1.0, None)], match.CONDITION_SCHEMA)
+    store.write_retrieval(str(tmp_path), corpus, queries, conds, spark.createDataFrame([("q", 3), ("q", 3), ("q", 9)], "query_id string, idx bigint"))
+    for name in ("corpus", "ground_truth"):
+        assert list((tmp_path / f"retrieval/{name}.jsonl").glob("part-*.json.gz")) and not list((tmp_path / f"retrieval/{name}.jsonl").glob("part-*.json"))
+    _, qrels, loaded = store.load_retrieval(spark, str(tmp_path))
+    assert sorted(map(tuple, qrels.collect())) == [("q", 3), ("q", 9)] and loaded.count() == 40

@@ -38,6 +38,18 @@ def test_distinct_pairs_and_counts(spark):
     assert "MapInArrow" in judged._jdf.queryExecution().executedPlan().toString()
 
 
+def test_first_pairs(spark):
+    made = match.first_pairs(pairs_table(spark), 3)
+    want = {}
+    for q, i in sorted(PAIRS * 2, key=lambda p: (p[1] is not None, p[1] or 0)):
+        want.setdefault(q, []).append(i)
+    got = {}
+    for r in made.orderBy("place").collect():
+        got.setdefault(r["query_id"], []).append(r["idx"])
+    assert got == {q: v[:3] for q, v in want.items()}
+    assert match.first_pairs(pairs_table(spark).limit(0), 3).count() == 0
+
+
 def test_few_queries_go_to_the_corpus(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vectors = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(700)]
